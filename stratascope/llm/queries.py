@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_filter, vector_search
+from . import byte_bpe, mixing, url_filter, vector_search
 from .common import table
 
 URL_POLICY = url_filter.UrlPolicy(
@@ -27,11 +28,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), URL_POLICY).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encoded_digests(table(spark, sf_dir, "documents"), byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op3_exact_top_k": op3_exact_top_k,
         "op6_url_filter": op6_url_filter,
+        "op10_byte_bpe": op10_byte_bpe,
     }
 
 
