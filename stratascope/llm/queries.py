@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, url_filter, vector_search
+from . import byte_bpe, mixing, near_dedup, url_filter, vector_search
 from .common import table
 
 URL_POLICY = url_filter.UrlPolicy(
@@ -28,6 +28,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), URL_POLICY).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded_digests(table(spark, sf_dir, "documents"), byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
@@ -37,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": op1_mix_sources,
         "op3_exact_top_k": op3_exact_top_k,
         "op6_url_filter": op6_url_filter,
+        "op9_near_dedup": op9_near_dedup,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
