@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, near_dedup, personal_data, toxicity, url_filter, vector_search
+from . import byte_bpe, line_dedup, mixing, near_dedup, personal_data, toxicity, url_filter, vector_search
 from .common import table
 
 URL_POLICY = url_filter.UrlPolicy(
@@ -51,6 +51,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeat_report(table(spark, sf_dir, "documents"), edits=2, least_chars=20)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_top_k": op3_exact_top_k,
         "op6_url_filter": op6_url_filter,
         "op7_toxicity": op7_toxicity,
+        "op8_line_dedup": op8_line_dedup,
         "op9_near_dedup": op9_near_dedup,
         "op10_byte_bpe": op10_byte_bpe,
     }
