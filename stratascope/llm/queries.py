@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, mixing, near_dedup, personal_data, toxicity, url_filter, vector_search
+from . import audio, byte_bpe, line_dedup, mixing, near_dedup, personal_data, quality, toxicity, url_filter, vector_search
 from .common import table
 
 URL_POLICY = url_filter.UrlPolicy(
@@ -36,6 +36,18 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of ``conversations``, played as tones, is a recording."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    found = audio.recording_classes(audio.fingerprints(turns, audio.tones, "text", audio.TONES))
+    return found.select("conv_id", "turn", "n_frames", F.col("node").alias("prints_sha256"), "class", "n_links", F.col("other").alias("best_other"), "offset", "start", "frames", "bit_error")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), URL_POLICY).select("page_id", "host", "path", "rule", "verdict")
 
@@ -68,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": op1_mix_sources,
         "op2_personal_data": op2_personal_data,
         "op3_exact_top_k": op3_exact_top_k,
+        "op4_quality": op4_quality,
+        "op5_audio_fingerprints": op5_audio_fingerprints,
         "op6_url_filter": op6_url_filter,
         "op7_toxicity": op7_toxicity,
         "op8_line_dedup": op8_line_dedup,
