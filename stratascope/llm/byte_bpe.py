@@ -2,8 +2,9 @@
 
 1. Every task cuts its documents into pre-tokens and gathers them in chunks of about CHUNK_CHARS characters: the chunk's
    distinct words, and for each position of its documents the number of the word there.
-2. The chunks' words are dealt by hash into ``spark.sql.shuffle.partitions`` buckets; a bucket encodes each of its distinct words once and sends the ids
-   back to the chunks that asked. A word costs a row entry for each chunk that holds it, not for each occurrence.
+2. The chunks' words are dealt by hash into ``spark.sql.shuffle.partitions`` buckets; a bucket encodes each of its
+   distinct words once and sends the ids back to the chunks that asked. A word costs an entry for each chunk that holds
+   it, not for each occurrence.
 3. Each chunk meets the ids of its words again and lays them out by position. The chunk table is bucketed by chunk, so
    that only the words' ids are shuffled for this.
 
@@ -30,7 +31,6 @@ import tiktoken
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import shared_folder
@@ -201,7 +201,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: s
     return encoded.mapInArrow(look_up, StructType([*encoded.schema.fields, StructField(out, BinaryType())]))
 
 
-def encoded_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
+def encoded_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, and its ids if they are to be kept."""
     both = decode(encode(docs, ranks, pattern), ranks)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    digests = [F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests, *["ids"] * keep_ids)
