@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from stratascope.plans import event_queries, field_queries, interval_queries, record_queries
+from stratascope.plans import event_queries, field_queries, interval_queries, record_queries, source_queries
 
-MODULES = (event_queries, interval_queries, field_queries, record_queries)
+MODULES = (event_queries, interval_queries, field_queries, record_queries, source_queries)
 
 
 def queries() -> dict[str, Callable]:

@@ -58,8 +58,8 @@ def wilson_intervals(spark, d):
     return rounded(_counts(spark, d).select("antecedent", "consequent", "lo", "hi", low.alias("lower"), high.alias("upper")), "lower", "upper")
 
 
-NULL_SQL = """grid AS (SELECT DISTINCT frame FROM uev), ends AS (SELECT min(frame) AS f, max(frame) AS l, max(frame) - min(frame) + 1 AS n FROM grid),
-few AS (SELECT pattern, frame FROM uev WHERE pattern < 12),
+NULL_SQL = """grid AS (SELECT DISTINCT frame FROM ev), ends AS (SELECT min(frame) AS f, max(frame) AS l, max(frame) - min(frame) + 1 AS n FROM grid),
+few AS (SELECT pattern, frame FROM ev),
 measured AS (SELECT frame FROM grid g, ends WHERE frame + 3 <= l AND (SELECT count(*) FROM grid h WHERE h.frame BETWEEN g.frame + 1 AND g.frame + 3) = 3),
 hits AS (SELECT DISTINCT pattern AS consequent, m.frame FROM measured m JOIN few e ON e.frame BETWEEN m.frame + 1 AND m.frame + 3),
 observed AS (SELECT e.pattern AS antecedent, consequent, count(*) AS observed FROM few e JOIN hits h USING (frame) WHERE pattern <> consequent GROUP BY 1, 2),
@@ -72,29 +72,26 @@ tests AS (SELECT antecedent, consequent, observed, n + 1 - 2 * 24 AS draws, coal
 
 
 def _null(spark, d):
-    """Twelve declared users are the family; the grid and the record are whole."""
-    s = r.user_series(spark, d)
-    family = s.where("pattern < 12")
-    out = events.exact_null(family, events.observed_frames(s), 1, 3, 24)
-    return out.withColumn("test", F.concat_ws(">", F.col("antecedent").cast("string"), F.col("consequent").cast("string")))
+    s = r.series(spark, d)
+    return events.exact_null(s, events.observed_frames(s), 1, 3, 24).withColumn("test", F.concat_ws(">", "antecedent", "consequent"))
 
 
-@queries.add("precursor_exact_null", r.with_views("uev", more=NULL_SQL) + f"SELECT antecedent, consequent, observed, draws, reached, {sql_round('p_value')} FROM tests")
+@queries.add("precursor_exact_null", r.with_views("ev", more=NULL_SQL) + f"SELECT antecedent, consequent, observed, draws, reached, {sql_round('p_value')} FROM tests")
 def precursor_exact_null(spark, d):
     return rounded(_null(spark, d).drop("test"), "p_value")
 
 
-@queries.add("adjusted_family", r.with_views("uev", more=NULL_SQL + """,
-ranked AS (SELECT *, row_number() OVER (ORDER BY p_value, test) AS i FROM tests)""") + f"""SELECT test, {sql_round('least(1.0, p_value * 132)', 'bonferroni')},
-{sql_round('least(1.0, max(p_value * (132 - i + 1)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING))', 'holm')},
-{sql_round('least(1.0, min(p_value * 132 / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'bh')},
-{sql_round('least(1.0, min(p_value * 132 * (SELECT sum(1.0::DOUBLE / k) FROM range(1, 133) t(k)) / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'by')} FROM ranked""")
+@queries.add("adjusted_family", r.with_views("ev", more=NULL_SQL + """,
+ranked AS (SELECT *, row_number() OVER (ORDER BY p_value, test) AS i FROM tests)""") + f"""SELECT test, {sql_round('least(1.0, p_value * 20)', 'bonferroni')},
+{sql_round('least(1.0, max(p_value * (20 - i + 1)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING))', 'holm')},
+{sql_round('least(1.0, min(p_value * 20 / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'bh')},
+{sql_round('least(1.0, min(p_value * 20 * (SELECT sum(1.0::DOUBLE / k) FROM range(1, 21) t(k)) / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'by')} FROM ranked""")
 def adjusted_family(spark, d):
-    """The family is declared with 12 x 11 ordered pairs, whether or not a pair ever occurs."""
-    return rounded(testing.adjust(_null(spark, d).select("test", "p_value"), 132).drop("p_value"), "bonferroni", "holm", "bh", "by")
+    """The family is declared with 5 x 4 ordered pairs, whether or not a pair ever occurs."""
+    return rounded(testing.adjust(_null(spark, d).select("test", "p_value"), 20).drop("p_value"), "bonferroni", "holm", "bh", "by")
 
 
-@queries.add("p_uniformity", r.with_views("uev", more=NULL_SQL + """,
+@queries.add("p_uniformity", r.with_views("ev", more=NULL_SQL + """,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY antecedent ORDER BY p_value) AS i, count(*) OVER (PARTITION BY antecedent) AS m FROM tests)""") + f"SELECT antecedent, count(*) AS n, {sql_round('max(greatest(i / m - p_value, p_value - (i - 1) / m))', 'ks')} FROM ranked GROUP BY 1")
 def p_uniformity(spark, d):
     return rounded(testing.uniformity(_null(spark, d), "antecedent"), "ks")
@@ -107,7 +104,7 @@ def recurrence_modal_gap(spark, d):
     return rounded(events.recurrence(r.user_series(spark, d)), "concentration")
 
 
-@queries.add("frequent_chains", r.with_views("uev", more="""few AS (SELECT pattern::VARCHAR AS pattern, frame FROM uev WHERE pattern < 12), grid AS (SELECT DISTINCT frame FROM uev), l AS (SELECT max(frame) AS l FROM grid),
+@queries.add("frequent_chains", r.with_views("ev", more="""few AS (SELECT pattern, frame FROM ev), grid AS (SELECT DISTINCT frame FROM ev), l AS (SELECT max(frame) AS l FROM grid),
 m2 AS (SELECT frame FROM grid g, l WHERE frame + 2 <= l AND (SELECT count(*) FROM grid h WHERE h.frame BETWEEN g.frame + 1 AND g.frame + 2) = 2),
 m3 AS (SELECT frame FROM grid g, l WHERE frame + 4 <= l AND (SELECT count(*) FROM grid h WHERE h.frame BETWEEN g.frame + 1 AND g.frame + 4) = 4),
 r2 AS (SELECT DISTINCT a.pattern || '>' || b.pattern AS chain, a.pattern AS first, a.frame AS anchor, b.frame AS at FROM few a JOIN few b ON b.frame BETWEEN a.frame + 1 AND a.frame + 2),
@@ -116,9 +113,8 @@ r3 AS (SELECT DISTINCT r2.chain || '>' || b.pattern AS chain, first, anchor FROM
 s3 AS (SELECT chain, first, count(DISTINCT anchor) AS support FROM r3 JOIN m3 ON anchor = m3.frame GROUP BY 1, 2),
 e AS (SELECT pattern AS first, 2 AS length, count(*) AS eligible FROM few JOIN m2 USING (frame) GROUP BY 1 UNION ALL SELECT pattern, 3, count(*) FROM few JOIN m3 USING (frame) GROUP BY 1)""") + f"SELECT chain, length, eligible, support, {sql_round('support / eligible', 'confidence')} FROM (SELECT *, 2 AS length FROM s2 UNION ALL SELECT *, 3 FROM s3) JOIN e USING (first, length)")
 def frequent_chains(spark, d):
-    s = r.user_series(spark, d)
-    family = s.where("pattern < 12").withColumn("pattern", F.col("pattern").cast("string"))
-    return rounded(events.chain_support(family, events.observed_frames(s), 3, 1, 2, 5), "confidence")
+    s = r.series(spark, d)
+    return rounded(events.chain_support(s, events.observed_frames(s), 3, 1, 2, 5), "confidence")
 
 
 @queries.add("cooccurrence_frames", r.with_views("ev") + "SELECT frame, string_agg(pattern, '+' ORDER BY pattern) AS patterns FROM ev GROUP BY 1 HAVING count(*) > 1")
