@@ -29,10 +29,10 @@ def hourly_counts(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return g.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select((F.unix_seconds("w.start") / 3600).cast("long").alias("hour"), "event_type", "n", "total")
 
 
-def merged_supports(events: DataFrame, length: int) -> DataFrame:
+def merged_supports(events: DataFrame, length: int, late: str = "2 hours") -> DataFrame:
     """user_id, start, end of merged supports of ``length`` seconds; the open one of each user is state.
 
-    A support is sent on when a later event leaves a gap after it, and the last one when the user's timer runs out.
+    A support is sent on when a later event leaves a gap after it, or when the watermark has passed its end.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,11 +51,11 @@ def merged_supports(events: DataFrame, length: int) -> DataFrame:
                     closed.append(open_)
                 open_ = (s, s + length)
         state.update(open_)
-        state.setTimeoutDuration(1000)
+        state.setTimeoutTimestamp(max(open_[1] * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]] * len(closed), "start": [c[0] for c in closed], "end": [c[1] for c in closed]})
 
-    rows = events.select("user_id", F.unix_seconds("t").alias("s"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, start long, end long", "start long, end long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.withWatermark("t", late).select("user_id", "t", F.unix_seconds("t").alias("s"))
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, start long, end long", "start long, end long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_by_key(stream: DataFrame, key: str, order: str, detail: str) -> DataFrame:
