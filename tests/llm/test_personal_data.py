@@ -1,0 +1,55 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+
+from stratascope.llm import personal_data as pd_
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def holds(kind: str, value: str) -> bool:
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in value.split("."))
+    if kind == "card":
+        twice = [int(c) * 2 - 9 * (int(c) > 4) if i % 2 else int(c) for i, c in enumerate(reversed(digits))]
+        return 13 <= len(digits) <= 19 and sum(twice) % 10 == 0
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def brute(text: str | None) -> list[tuple[str, int, int]]:
+    return [(k, m.start(), m.end()) for k, p in PLAIN.items() for m in re.finditer(p, text or "") if holds(k, m.group())]
+
+
+def test_base_spans_against_brute_force(spark):
+    rnd = random.Random(9)
+    pieces = ["a.b@c.d", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+12", "é", "@", ".", "x", "9", " ", "-", "+", "\U0001f600", "\n"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(14))) for _ in range(500)] + [None, "", "4" * 400, "a" * 200_000, "1.2.3." * 5000, "a@b" + ".c" * 20_000, "1 " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pd_.personal_data(df).collect():
+        assert [tuple(s) for s in r["base"]] == brute(texts[r["doc_id"]]), texts[r["doc_id"]]
+        assert set(map(tuple, r["base"])) <= set(map(tuple, r["spans"]))
+
+
+def test_contexts_find_what_patterns_miss(spark):
+    seeds = [(i, f"noise {i} please call me at +1 555 010 {1000 + i} tomorrow") for i in range(8)]
+    rows = [*seeds, (100, "please call me at 555-010-7777 tomorrow"), (101, "the year 2024-11-28 was long"), (100, "please call me at 555-010-7777 tomorrow")]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pd_.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = rows[8][1].index("555")
+    assert got[100] == [("phone", at, at + 12)] and got[101] == []
+
+
+def test_odd_rows(spark, make_docs, odd_rows):
+    got = pd_.personal_data(make_docs(odd_rows))
+    assert got.count() == len(odd_rows) and got.where("size(spans) > 0").count() == 0
+    assert pd_.personal_data(make_docs(odd_rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("number", "good"), [("4111111111111111", True), ("4111111111111112", False)])
+def test_luhn(spark, number, good):
+    from pyspark.sql import functions as F
+
+    assert spark.range(1).select(pd_.luhn(F.lit(number)).alias("x")).first()["x"] is good
