@@ -4,11 +4,11 @@
    classes go on, each under the fingerprint of its set.
 2. The forest: the signature is cut into TREES pieces of DEPTH values. Each tree sorts all classes by its piece, over
    range partitions. A class's candidates are its neighbours in that order whose common prefix is LEAST or longer: where
-   few classes share a prefix, all of them; where many do, the neighbours with the longest common prefixes, and the first
-   class of the region at every depth, which ties a large region together. Rows at partition edges meet in a second step.
-3. Candidates are confirmed in two rounds. First every class tries two of its candidates: the one that most classes met,
-   and the one it met in most trees. Then every other candidate pair whose classes aren't in one component yet is tried,
-   so that a group of thousands of near copies costs about two comparisons a copy, and no candidate is given up.
+   few classes share a prefix, all of them; where many do, the neighbours with the longest common prefixes, and the heads
+   of the region and of its deeper parts, which tie a large region together. Rows at partition edges meet in a second step.
+3. Candidates are confirmed in two rounds. First every class tries two of its candidates: a head of its regions, and the
+   one it met in most trees. Then every other candidate pair whose classes aren't in one component yet is tried, so that
+   a group of thousands of near copies costs about two comparisons a copy, and no candidate is given up.
 
 A pair of similarity 0.8 shares LEAST = 4 values in one of 16 trees with a chance of 0.9998.
 
@@ -109,8 +109,8 @@ def _common_prefix(tree: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(tree[1:] == tree[:-1], same, -1)
 
 
-def neighbour_pairs(tree: np.ndarray, keys: np.ndarray, least: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of candidate pairs in one sorted stretch."""
+def neighbour_pairs(tree: np.ndarray, keys: np.ndarray, least: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of candidate pairs in one sorted stretch, and whether the first is the head of a region of the second."""
     n = len(tree)
     shared = _common_prefix(tree, keys) if n > 1 else np.empty(0, int)
     first, second, run = [], [], shared
@@ -122,15 +122,20 @@ def neighbour_pairs(tree: np.ndarray, keys: np.ndarray, least: int, window: int)
         second.append(i + d)
         if len(i) == 0:
             break
-    for depth in range(least, keys.shape[1] + 1):
+    head = [np.zeros(len(i), bool) for i in first]
+    for depth in range(least, keys.shape[1] + 1, 2):
         start = np.concatenate(([True], shared < depth))
         leader = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-        i = np.flatnonzero(np.arange(n) - leader > window)
+        i = np.flatnonzero(np.arange(n) > leader)
+        i = i if depth == least else i[i - leader[i] > window]
         first.append(leader[i])
         second.append(i)
-    a, b = np.concatenate(first), np.concatenate(second)
-    pairs = np.unique(a.astype(np.int64) << 32 | b.astype(np.int64))
-    return pairs >> 32, pairs & 0xFFFFFFFF
+        head.append(np.full(len(i), depth == least))
+    a, b, head = np.concatenate(first), np.concatenate(second), np.concatenate(head)
+    pairs, at = np.unique(a.astype(np.int64) << 32 | b.astype(np.int64), return_inverse=True)
+    heads = np.zeros(len(pairs), bool)
+    np.logical_or.at(heads, at, head)
+    return pairs >> 32, pairs & 0xFFFFFFFF, heads
 
 
 def _scan(depth: int, least: int, window: int, edges: bool) -> Callable:
@@ -140,18 +145,18 @@ def _scan(depth: int, least: int, window: int, edges: bool) -> Callable:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        names, at, carried = ["part", "at", "tree", "key", "a", "b", "n"], 0, None
+        names, at, carried = ["part", "at", "tree", "key", "a", "b", "n", "head"], 0, None
         for batch in batches:
             rows = batch if carried is None else pa.Table.from_batches([carried, batch]).combine_chunks().to_batches()[0] if batch.num_rows else carried
             old = carried.num_rows if carried is not None else 0
             tree = rows.column("tree").to_numpy(zero_copy_only=False)
             keys = np.frombuffer(b"".join(rows.column("key").to_pylist()), ">u4").reshape(-1, depth)
             n = rows.column("n").to_numpy(zero_copy_only=False)
-            a, b = neighbour_pairs(tree, keys, least, window)
+            a, b, head = neighbour_pairs(tree, keys, least, window)
             use = (b >= old) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
-            a, b = a[use], b[use]
+            a, b, head = a[use], b[use], head[use]
             nodes, none = rows.column("node"), pa.nulls(len(a), pa.int32())
-            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(a), pa.int64()), none, pa.nulls(len(a), pa.binary()), nodes.take(pa.array(a)), nodes.take(pa.array(b)), pa.nulls(len(a), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([none, pa.nulls(len(a), pa.int64()), none, pa.nulls(len(a), pa.binary()), nodes.take(pa.array(a)), nodes.take(pa.array(b)), pa.nulls(len(a), pa.int64()), pa.array(head)], names)
             if edges and at == 0 and rows.num_rows:
                 yield _edge(rows.slice(0, window), part, 0, names)
             at += rows.num_rows - old
@@ -170,27 +175,28 @@ def _scan(depth: int, least: int, window: int, edges: bool) -> Callable:
 
 def _edge(rows: pa.RecordBatch, part: int, at: int, names: list[str]) -> pa.RecordBatch:
     n = rows.num_rows
-    return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), rows.column("tree"), rows.column("key"), rows.column("node"), pa.nulls(n, pa.binary()), rows.column("n")], names)
+    return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), rows.column("tree"), rows.column("key"), rows.column("node"), pa.nulls(n, pa.binary()), rows.column("n"), pa.nulls(n, pa.bool_())], names)
 
 
 def candidate_pairs(classes: DataFrame, trees: int, depth: int, least: int, window: int) -> DataFrame:
-    """a, b, met: pairs of classes, and in how many trees they met. ``classes`` has node, n and sig."""
+    """a, b, met, a_heads, b_heads: pairs of classes, in how many trees they met, and whether one headed the other's region. ``classes`` has node, n and sig."""
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     planted = classes.mapInArrow(_planted(trees, depth), "tree int, key binary, node binary, n long")
     ordered = planted.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    found = written(ordered.mapInArrow(_scan(depth, least, window, True), "part int, at long, tree int, key binary, a binary, b binary, n long"), "neighbours")
+    found = written(ordered.mapInArrow(_scan(depth, least, window, True), "part int, at long, tree int, key binary, a binary, b binary, n long, head boolean"), "neighbours")
     # A partition's last rows and the next one's first rows, dealt out by boundary; empty partitions have none.
     edge = found.where("b IS NULL").select("part", "at", "tree", "key", F.col("a").alias("node"), "n")
     used = [r[0] for r in edge.select("part").distinct().orderBy("part").collect()]
     if len(used) > 1:
         place = F.create_map(*[F.lit(x) for i, p in enumerate(used) for x in (p, i)])[F.col("part")]
         edge = edge.withColumn("boundary", place - F.when(F.col("at") < 1 << 40, 1).otherwise(0))
-        met = edge.groupBy("boundary").applyInArrow(_across(depth, least, window), "a binary, b binary")
-        both = found.where("b IS NOT NULL").select("a", "b").unionByName(met)
+        met = edge.groupBy("boundary").applyInArrow(_across(depth, least, window), "a binary, b binary, head boolean")
+        both = found.where("b IS NOT NULL").select("a", "b", "head").unionByName(met)
     else:
-        both = found.where("b IS NOT NULL").select("a", "b")
-    pairs = written(both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("met")), "candidates")
+        both = found.where("b IS NOT NULL").select("a", "b", "head")
+    ordered_pair = both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("head") & (F.col("a") < F.col("b"))).cast("int").alias("a_heads"), (F.col("head") & (F.col("a") > F.col("b"))).cast("int").alias("b_heads"))
+    pairs = written(ordered_pair.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("a_heads").alias("a_heads"), F.max("b_heads").alias("b_heads")), "candidates")
     drop_written(found)
     return pairs
 
@@ -200,10 +206,10 @@ def _across(depth: int, least: int, window: int) -> Callable[[pa.Table], pa.Tabl
         rows = rows.sort_by([("part", "ascending"), ("at", "ascending")])
         part, n = rows.column("part").to_numpy(), rows.column("n").to_numpy()
         keys = np.frombuffer(b"".join(rows.column("key").to_pylist()), ">u4").reshape(-1, depth)
-        a, b = neighbour_pairs(rows.column("tree").to_numpy(), keys, least, 2 * window)
+        a, b, head = neighbour_pairs(rows.column("tree").to_numpy(), keys, least, 2 * window)
         use = (part[a] != part[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
         node = rows.column("node").combine_chunks()
-        return pa.table([node.take(pa.array(a[use])), node.take(pa.array(b[use]))], names=["a", "b"])
+        return pa.table([node.take(pa.array(a[use])), node.take(pa.array(b[use])), pa.array(head[use])], names=["a", "b", "head"])
 
     return meet
 
@@ -244,13 +250,13 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _partners(pairs: DataFrame) -> DataFrame:
-    """For each class two of its pairs: with the partner that most classes met, and with the one it met in most trees.
+    """For each class two of its pairs: with a head of its regions, and with the class that it met in most trees.
 
-    The first partner is mostly the head of a region, so that a large group hangs together after one confirmation a class.
+    All classes of a region that take a head take the one with the greatest name, so that a large group hangs together
+    after one confirmation a class.
     """
-    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "met").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "met"))
-    degree = both.groupBy(F.col("y")).agg(F.count("*").alias("degree"))
-    best = both.join(degree, "y").groupBy("x").agg(F.max_by("y", F.struct("degree", "y")).alias("hub"), F.max_by("y", F.struct("met", "y")).alias("near"))
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "met", F.col("b_heads").alias("heads")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "met", F.col("a_heads").alias("heads")))
+    best = both.groupBy("x").agg(F.max_by("y", F.struct("heads", "y")).alias("hub"), F.max_by("y", F.struct("met", "y")).alias("near"))
     two = best.select("x", F.explode(F.array("hub", "near")).alias("y"))
     return two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
