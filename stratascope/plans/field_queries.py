@@ -52,9 +52,9 @@ def gradient(spark, d):
     return rounded(rounded(out, "north", "east", "magnitude", digits=9), "direction")
 
 
-@queries.add("laplacian", r.with_views("fld") + f"SELECT c.y, c.x, {sql_round('n.value + s.value + e.value + w.value - 4 * c.value', 'laplacian', 3)} FROM fld c JOIN fld n ON n.y = c.y + 1 AND n.x = c.x JOIN fld s ON s.y = c.y - 1 AND s.x = c.x JOIN fld e ON e.y = c.y AND e.x = c.x + 1 JOIN fld w ON w.y = c.y AND w.x = c.x - 1")
+@queries.add("laplacian", r.with_views("fld") + f"SELECT c.y, c.x, {sql_round('n.value + s.value + e.value + w.value - 4 * c.value', 'laplacian', 6)} FROM fld c JOIN fld n ON n.y = c.y + 1 AND n.x = c.x JOIN fld s ON s.y = c.y - 1 AND s.x = c.x JOIN fld e ON e.y = c.y AND e.x = c.x + 1 JOIN fld w ON w.y = c.y AND w.x = c.x - 1")
 def laplacian(spark, d):
-    return rounded(grids.laplacian(r.field(spark, d)), "laplacian", digits=3)
+    return rounded(grids.laplacian(r.field(spark, d)), "laplacian")
 
 
 def _block(source: str, out: str) -> str:
@@ -73,10 +73,10 @@ def haar_energies(spark, d):
     return rounded(rounded(out, "energy", "density", digits=3), "fraction")
 
 
-@queries.add("haar_round_trip", r.with_views("fld", more="b AS (SELECT y // 2 AS b, x // 2 AS c FROM fld GROUP BY 1, 2 HAVING count(value) = 4)") + f"SELECT y, x, {sql_round('value', digits=3)} FROM fld JOIN b ON y // 2 = b AND x // 2 = c")
+@queries.add("haar_round_trip", r.with_views("fld", more="b AS (SELECT y // 2 AS b, x // 2 AS c FROM fld GROUP BY 1, 2 HAVING count(value) = 4)") + f"SELECT y, x, {sql_round('value', digits=6)} FROM fld JOIN b ON y // 2 = b AND x // 2 = c")
 def haar_round_trip(spark, d):
     back = grids.inverse_haar(grids.haar(r.field(spark, d)))
-    return rounded(back, "value", digits=3)
+    return rounded(back, "value")
 
 
 @queries.add("stationary_haar", r.with_views("ch", more="l AS (SELECT *, lead(value, 4) OVER (PARTITION BY channel ORDER BY frame) AS later FROM ch)") + f"SELECT channel, frame, {sql_round('(value + later) / 2', 'approximation')}, {sql_round('(value - later) / 2', 'detail')} FROM l WHERE later IS NOT NULL")
@@ -168,9 +168,9 @@ def matched_truth(spark, d):
     return rounded(out, "forecast")
 
 
-@queries.add("ensemble_crps", r.with_views("ens", more="i AS (SELECT *, row_number() OVER (PARTITION BY nation, frame ORDER BY value) AS i, count(*) OVER (PARTITION BY nation, frame) AS m FROM ens)") + f"SELECT nation, frame, count(*) AS members, {sql_round('avg(abs(value - truth)) - sum((2 * i - m - 1) * value / (m * m))', 'crps')} FROM i GROUP BY 1, 2")
+@queries.add("ensemble_crps", r.with_views("ens", more="i AS (SELECT *, row_number() OVER (PARTITION BY nation, frame ORDER BY value) AS i, count(*) OVER (PARTITION BY nation, frame) AS m FROM ens)") + f"SELECT nation, frame, count(*) AS members, {sql_round('avg(abs(value - truth)) - sum((2 * i - m - 1) * value / (m * m))', 'crps', 9)} FROM i GROUP BY 1, 2")
 def ensemble_crps(spark, d):
-    return rounded(verification.crps(r.ensemble(spark, d), "nation", "frame"), "crps")
+    return rounded(verification.crps(r.ensemble(spark, d), "nation", "frame"), "crps", digits=9)
 
 
 @queries.add("rank_histogram", r.with_views("ens", more="u AS (SELECT count(*) FILTER (value < truth) AS u, count(*) FILTER (value = truth) AS q FROM ens GROUP BY nation, frame), k AS (SELECT unnest(range(u, u + q + 1)) AS rank, q FROM u)") + f"SELECT rank, {sql_round('sum(1 / (q + 1))', 'share')} FROM k GROUP BY 1")

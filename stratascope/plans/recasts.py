@@ -58,7 +58,7 @@ def field(spark, d) -> DataFrame:
     c = read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("x"))
     o = read(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).withColumn("m", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long"))
     first = o.agg(F.min("m").alias("first"))
-    return o.crossJoin(F.broadcast(first)).groupBy((F.col("m") - F.col("first")).alias("y"), "x").agg(F.round(F.sum("o_totalprice") / 1000, 3).alias("value"))
+    return o.crossJoin(F.broadcast(first)).groupBy((F.col("m") - F.col("first")).alias("y"), "x").agg((F.round(F.sum("o_totalprice"), 2) / 1000).alias("value"))
 
 
 def pairs(spark, d) -> DataFrame:
@@ -102,7 +102,7 @@ SQL = {
     "sup": f"sup AS (SELECT l_orderkey AS orderkey, min({DAY.format('l_shipdate')}) AS \"start\", max({DAY.format('l_shipdate')}) + 1 AS \"end\" FROM lineitem GROUP BY 1)",
     "smp": "smp AS (SELECT l_quantity AS quantity, l_discount AS discount, l_tax AS tax, p_size::DOUBLE AS size, p_retailprice AS retail, l_extendedprice AS target, l_returnflag AS flag FROM lineitem JOIN part ON l_partkey = p_partkey)",
     "om": "om AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS m, c_nationkey::BIGINT AS x, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey)",
-    "fld": "fld AS (SELECT m - (SELECT min(m) FROM om) AS y, x, round(sum(o_totalprice) / 1000, 3) AS value FROM om GROUP BY 1, 2)",
+    "fld": "fld AS (SELECT m - (SELECT min(m) FROM om) AS y, x, round(sum(o_totalprice), 2) / 1000 AS value FROM om GROUP BY 1, 2)",
     "prs": "prs AS (SELECT a.y, a.x, a.value AS truth, b.value AS forecast FROM fld a JOIN fld b ON a.y = b.y + 1 AND a.x = b.x)",
     "mon": "mon AS (SELECT a.x AS nation, a.y AS frame, a.value, (a.value + b.value + c.value) / 3 AS forecast FROM fld a LEFT JOIN (fld b JOIN fld c ON b.x = c.x AND b.y = c.y + 1) ON a.x = b.x AND a.y = b.y + 1)",
     "ens": "ens AS (SELECT a.x AS nation, a.y AS frame, k AS member, b.value, a.value AS truth FROM fld a, range(1, 6) r(k), fld b WHERE b.x = a.x AND b.y = a.y - k)",
