@@ -12,8 +12,9 @@ evidence is the sum of lambda S - ln(K n) over its significant passages; a logis
 without its own counts.
 
 Cases: null and empty texts have no tokens and get the score of a text without evidence; labels that are null are not
-used, and of several labels for one doc_id the highest counts; without labels of both kinds every score is 0; rows alike
-are scored alike; an empty table gives an empty result. Extra columns are not read.
+used, and of several labels for one doc_id the highest counts; without labels of both kinds, or without a feature that
+tells them apart, every score is 0; rows alike are scored alike; an empty table gives an empty result. Extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -126,12 +127,12 @@ def _words(text) -> list[str]:
 
 
 def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, toxic, copy: alike for copies, and mostly for near copies: the two least hashes of the words."""
+    """doc_id, toxic, copy: alike for copies, and mostly for near copies: the four least hashes of the words."""
     for batch in batches:
         keys = []
         for text in batch.column("text"):
             h = np.unique(pd.util.hash_array(np.array(sorted(set(_words(text))), dtype=object), categorize=False)) if text.as_py() else []
-            keys.append(" ".join(str(x) for x in h[:2]))
+            keys.append(" ".join(str(x) for x in h[:4]))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(keys, pa.string())], ["doc_id", "toxic", "copy"])
 
 
@@ -261,6 +262,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     strong = (F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") * nc > 2 * F.col("clean") * nt)
     top = summed.where(strong).orderBy(F.desc(F.col("toxic") * nc - F.col("clean") * nt), "feature").limit(MOST_FEATURES).toArrow()
     keys = top.column(0).to_numpy().view(np.uint64)
+    if not len(keys):
+        drop_written(ids, chosen)
+        return ToxicityModel(none, 1.0, 1.0, 0.0, -50.0)
     order = np.argsort(keys)
     tokens = TokenModel(keys[order], top.column(1).to_numpy()[order], top.column(2).to_numpy()[order], nt, nc)
     shared = spark.sparkContext.broadcast(tokens)

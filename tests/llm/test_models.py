@@ -80,7 +80,8 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_toxicity_of_odd_rows(spark, make_docs, odd_rows):
-    rows = [*odd_rows, *[(i, f"you utter bleep word{i}" if i % 2 else f"a kind word{i}", "s") for i in range(100, 160)]]
+    own = lambda i: f"{chr(97 + i % 26)}q{chr(97 + i // 26)}z"
+    rows = [*odd_rows, *[(i, f"you utter bleep {own(i)}" if i % 2 else f"a kind {own(i)}", "s") for i in range(100, 160)]]
     docs = make_docs(rows)
     labels = spark.createDataFrame([(i, i % 2) for i in range(100, 160)] + [(1, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
