@@ -52,7 +52,7 @@ def base_rates(series: DataFrame, grid: DataFrame, lags: Lags) -> DataFrame:
     measured = window_status(grid, lags).where("status = 'MEASURED'")
     positions = measured.groupBy("lo", "hi").agg(F.count("*").alias("positions"))
     hits = measured.join(window_hits(series, lags), ["lo", "hi", "frame"]).groupBy("lo", "hi", F.col("pattern").alias("consequent")).agg(F.count("*").alias("hits"))
-    every = positions.crossJoin(F.broadcast(series.select(F.col("pattern").alias("consequent")).distinct()))
+    every = positions.crossJoin(series.select(F.col("pattern").alias("consequent")).distinct())
     out = every.join(hits, ["lo", "hi", "consequent"], "left").fillna(0, ["hits"])
     return out.withColumn("base_rate", F.col("hits") / F.col("positions"))
 
@@ -115,14 +115,14 @@ def chain_support(series: DataFrame, grid: DataFrame, length: int, lo: int, hi:
     return out
 
 
-def rotated_supports(series: DataFrame, grid: DataFrame, lo: int, hi: int, floor: int, share: float = 1.0) -> DataFrame:
+def rotated_supports(series: DataFrame, grid: DataFrame, lo: int, hi: int, floor: int) -> DataFrame:
     """antecedent, consequent, shift, support: supports after moving the antecedent round the grid by every admissible shift.
 
     Shifts nearer than ``floor`` to either end are left out. The null is enumerated, not drawn: it needs no random numbers.
     """
     ends = grid.agg(F.min("frame").alias("first"), (F.max("frame") - F.min("frame") + 1).alias("n"))
     shifts = ends.select("first", "n", F.explode(F.sequence(F.lit(floor).cast("long"), F.col("n") - floor)).alias("shift"))
-    moved = series.withColumnRenamed("pattern", "antecedent").crossJoin(F.broadcast(shifts)).select("antecedent", "shift", (F.col("first") + (F.col("frame") - F.col("first") + F.col("shift")) % F.col("n")).alias("frame"))
+    moved = series.withColumnRenamed("pattern", "antecedent").crossJoin(shifts).select("antecedent", "shift", (F.col("first") + (F.col("frame") - F.col("first") + F.col("shift")) % F.col("n")).alias("frame"))
     measured = window_status(grid, [(lo, hi)]).where("status = 'MEASURED'").select("frame")
     hits = window_hits(series, [(lo, hi)]).select(F.col("pattern").alias("consequent"), "frame").join(measured, "frame")
     return moved.join(hits, "frame").where("antecedent <> consequent").groupBy("antecedent", "consequent", "shift").agg(F.count("*").alias("support"))
