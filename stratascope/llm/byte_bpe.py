@@ -35,7 +35,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import shared_folder
 
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 12_000_000
 CHUNK = "chunk long, doc_ids array<long>, sizes binary, codes binary, buckets array<struct<bucket:int,codes:binary,words:binary>>, n_words long"
 
 
@@ -135,7 +135,11 @@ def _encode_bucket(ranks) -> Callable[[pa.Table], pa.Table]:
 
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for each size, one after the other."""
-    return np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum()) if len(sizes) else np.empty(0, np.int64)
+    if not len(sizes):
+        return np.empty(0, np.int32)
+    out = np.repeat((starts - np.cumsum(sizes, dtype=np.int64) + sizes).astype(np.int32), sizes)  # a chunk has far fewer than 2^31 ids
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def _lay_out(chunk: pa.Table, blocks: pa.Table) -> pa.Table:

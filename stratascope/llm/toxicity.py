@@ -96,7 +96,7 @@ class TokenModel:
 class Scorer:
     """Token scores of a model. What was looked up is remembered, and forgotten when it grows."""
 
-    def __init__(self, model: TokenModel, without: int | None = None, most: int = 400_000):
+    def __init__(self, model: TokenModel, without: int | None = None, most: int = 200_000):
         self.keys, self.odds, self.known, self.most = model.keys, model.log_odds(without), {}, most
 
     def positive(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
