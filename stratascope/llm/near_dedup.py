@@ -9,6 +9,10 @@
 3. Candidates are confirmed in two rounds. First every class tries two of its candidates: a head of its regions, and the
    one it met in most trees. Then every other candidate pair whose classes aren't in one component yet is tried, so that
    a group of thousands of near copies costs about two comparisons a copy, and no candidate is given up.
+4. Where three classes or more share LEAST values of a tree and aren't all in one component by then, the order alone
+   doesn't bring all pairs together. The classes of all such regions are joined exactly: with shingles in order of how
+   few of these classes hold them, two sets that overlap enough share one among their first n - need + 1. Texts of one
+   template differ in just these, so they meet only where they agree beyond the template.
 
 A pair of similarity 0.8 shares LEAST = 4 values in one of 16 trees with a chance of 0.9998.
 
@@ -138,7 +142,7 @@ def neighbour_pairs(tree: np.ndarray, keys: np.ndarray, least: int, window: int)
     return pairs >> 32, pairs & 0xFFFFFFFF, heads
 
 
-def _scan(depth: int, least: int, window: int, edges: bool) -> Callable:
+def _scan(depth: int, least: int, window: int, edges: bool, percent: int) -> Callable:
     """Sorted rows to candidate pairs; with ``edges`` also the first and last rows of the partition, as pairs without b."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +157,7 @@ def _scan(depth: int, least: int, window: int, edges: bool) -> Callable:
             keys = np.frombuffer(b"".join(rows.column("key").to_pylist()), ">u4").reshape(-1, depth)
             n = rows.column("n").to_numpy(zero_copy_only=False)
             a, b, head = neighbour_pairs(tree, keys, least, window)
-            use = (b >= old) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+            use = (b >= old) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
             a, b, head = a[use], b[use], head[use]
             nodes, none = rows.column("node"), pa.nulls(len(a), pa.int32())
             yield pa.RecordBatch.from_arrays([none, pa.nulls(len(a), pa.int64()), none, pa.nulls(len(a), pa.binary()), nodes.take(pa.array(a)), nodes.take(pa.array(b)), pa.nulls(len(a), pa.int64()), pa.array(head)], names)
@@ -178,20 +182,20 @@ def _edge(rows: pa.RecordBatch, part: int, at: int, names: list[str]) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), rows.column("tree"), rows.column("key"), rows.column("node"), pa.nulls(n, pa.binary()), rows.column("n"), pa.nulls(n, pa.bool_())], names)
 
 
-def candidate_pairs(classes: DataFrame, trees: int, depth: int, least: int, window: int) -> DataFrame:
+def candidate_pairs(classes: DataFrame, trees: int, depth: int, least: int, window: int, percent: int) -> DataFrame:
     """a, b, met, a_heads, b_heads: pairs of classes, in how many trees they met, and whether one headed the other's region. ``classes`` has node, n and sig."""
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     planted = classes.mapInArrow(_planted(trees, depth), "tree int, key binary, node binary, n long")
     ordered = planted.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    found = written(ordered.mapInArrow(_scan(depth, least, window, True), "part int, at long, tree int, key binary, a binary, b binary, n long, head boolean"), "neighbours")
+    found = written(ordered.mapInArrow(_scan(depth, least, window, True, percent), "part int, at long, tree int, key binary, a binary, b binary, n long, head boolean"), "neighbours")
     # A partition's last rows and the next one's first rows, dealt out by boundary; empty partitions have none.
     edge = found.where("b IS NULL").select("part", "at", "tree", "key", F.col("a").alias("node"), "n")
     used = [r[0] for r in edge.select("part").distinct().orderBy("part").collect()]
     if len(used) > 1:
         place = F.create_map(*[F.lit(x) for i, p in enumerate(used) for x in (p, i)])[F.col("part")]
         edge = edge.withColumn("boundary", place - F.when(F.col("at") < 1 << 40, 1).otherwise(0))
-        met = edge.groupBy("boundary").applyInArrow(_across(depth, least, window), "a binary, b binary, head boolean")
+        met = edge.groupBy("boundary").applyInArrow(_across(depth, least, window, percent), "a binary, b binary, head boolean")
         both = found.where("b IS NOT NULL").select("a", "b", "head").unionByName(met)
     else:
         both = found.where("b IS NOT NULL").select("a", "b", "head")
@@ -201,13 +205,13 @@ def candidate_pairs(classes: DataFrame, trees: int, depth: int, least: int, wind
     return pairs
 
 
-def _across(depth: int, least: int, window: int) -> Callable[[pa.Table], pa.Table]:
+def _across(depth: int, least: int, window: int, percent: int) -> Callable[[pa.Table], pa.Table]:
     def meet(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("part", "ascending"), ("at", "ascending")])
         part, n = rows.column("part").to_numpy(), rows.column("n").to_numpy()
         keys = np.frombuffer(b"".join(rows.column("key").to_pylist()), ">u4").reshape(-1, depth)
         a, b, head = neighbour_pairs(rows.column("tree").to_numpy(), keys, least, 2 * window)
-        use = (part[a] != part[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+        use = (part[a] != part[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
         node = rows.column("node").combine_chunks()
         return pa.table([node.take(pa.array(a[use])), node.take(pa.array(b[use])), pa.array(head[use])], names=["a", "b", "head"])
 
@@ -261,8 +265,8 @@ def _partners(pairs: DataFrame) -> DataFrame:
     return two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def linked_components(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """node, component after two rounds of confirmations; None if nothing is linked."""
+def linked_components(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, component after two rounds of confirmations; empty if nothing is linked."""
     first = written(_confirmed(_partners(pairs), sets, percent), "confirmed")
     labels = written(components(first.where("linked").select("a", "b")), "labels")
     of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
@@ -272,14 +276,85 @@ def linked_components(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFr
     second = _confirmed(rest, sets, percent).where("linked").join(rest, ["a", "b"]).select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
     second = written(second, "confirmed")
     drop_written(rest)
-    if second.isEmpty():
-        drop_written(first, second)
+    out = _merged(labels, second)
+    drop_written(first, second, *([labels] if out is not labels else []))
+    return out
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component of ``labels`` after links a, b between components; a class without a label is its own component."""
+    if links.isEmpty():
         return labels
-    merged = written(components(second), "merged")
+    merged = written(components(links), "merged")
     moved = merged.select(F.col("node").alias("component"), F.col("component").alias("final"))
     old = labels.join(moved, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
     out = written(old.unionByName(merged.join(labels, "node", "left_anti").select("node", "component")), "labels")
-    drop_written(first, second, merged, labels)
+    drop_written(merged)
+    return out
+
+
+def _crowded(classes: DataFrame, labels: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
+    """node, doc_id, n, label of the classes in regions of three classes or more that aren't in one component yet."""
+    label = F.coalesce("component", "node").alias("label")
+    known = written(classes.join(labels, "node", "left").select("node", "doc_id", "n", "sig", label), "labelled")
+    prefix = lambda t: F.xxhash64(t, F.substring("sig", t * (4 * depth) + 1, F.lit(4 * least)))
+    members = known.select("node", "label", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), prefix)).alias("region"))
+    open_ = members.groupBy("region").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).where("k > 2 AND low <> high")
+    open_ = written(open_.select("region"), "regions")
+    few = open_.count() <= MOST_BROADCAST
+    inside = members.join(F.broadcast(open_) if few else open_, "region").select("node").distinct()
+    out = written(known.select("node", "doc_id", "n", "label").join(inside, "node"), "crowded")
+    drop_written(known, open_)
+    return out
+
+
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, shingle: a row for each shingle of a set."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            some = batch.slice(at, 256)
+            sets = [np.frombuffer(x.as_py(), np.int64) for x in some.column("shingles")]
+            repeat = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([some.column("node").take(pa.array(repeat)), pa.array(np.concatenate(sets))], ["node", "shingle"])
+
+
+def rare_pairs(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, a_label, b_label: all pairs of these classes that may overlap enough and aren't in one component.
+
+    Shingles are in order of how many of the classes hold them. Two sets of n and m shingles that share ``need`` of them
+    share one among the first n - need + 1 of the one and m - need + 1 of the other.
+    """
+    rows = sets.select("node", "shingles").mapInArrow(_set_rows, "node binary, shingle long")
+    shared = written(rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"), "shared-shingles")
+    place = F.array_sort(F.collect_list(F.struct("held", "shingle")))  # the shingles of one text
+    by_class = rows.join(shared, "shingle").groupBy("node").agg(place.alias("own")).join(crowded.select("node", "n", "label"), "node")
+    alone = F.col("n") - F.size("own")  # shingles that nothing else holds stand first and meet nothing
+    first = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - alone
+    postings = by_class.where(first > 0).select("node", "n", "label", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), F.greatest(F.lit(1), first).cast("int"))).alias("at", "s"))
+    postings = postings.select("node", "n", "label", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("s.shingle").alias("shingle"))
+    postings = written(postings, "rare-shingles")
+    mixed = postings.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
+    postings_here = postings.join(mixed, "shingle")
+    a, b = (postings_here.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "label", "left")]) for side in "ab")
+    # 100 * both >= percent * (n + m - both), where both is at most what is left from here on of either set
+    enough = F.expr(f"a_node < b_node AND a_label <> b_label AND (100 + {percent}) * least(a_left, b_left) >= {percent} * (a_n + b_n)")
+    met = a.join(b.withColumnRenamed("shingle", "shingle_b"), (F.col("shingle") == F.col("shingle_b")) & enough)
+    out = written(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_label", "b_label").distinct(), "rare-pairs")
+    drop_written(shared, postings)
+    return out
+
+
+def joined_regions(docs: DataFrame, classes: DataFrame, labels: DataFrame, words: int, percent: int, trees: int, depth: int, least: int) -> DataFrame:
+    """``labels`` after all pairs of crowded regions have been compared."""
+    crowded = _crowded(classes, labels, trees, depth, least)
+    if crowded.isEmpty():
+        drop_written(crowded)
+        return labels
+    sets = written(_full_sets(docs, crowded.select("node", "doc_id"), words), "sets")
+    pairs = rare_pairs(crowded, sets, percent)
+    links = written(_confirmed(pairs, sets, percent).where("linked").join(pairs, ["a", "b"]).select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct(), "confirmed")
+    out = _merged(labels, links)
+    drop_written(crowded, sets, pairs, links)
     return out
 
 
@@ -292,19 +367,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     pairs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     sketches = written(pairs.mapInArrow(_sketches(words, trees * depth), "doc_id long, n long, node binary, sig binary"), "sketches")
     classes = written(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    candidates = candidate_pairs(classes, trees, depth, least, window)
+    candidates = candidate_pairs(classes, trees, depth, least, window, percent)
     wanted = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
     wanted = written(classes.select("node", "doc_id").join(wanted, "node"), "wanted")
     sets = written(_full_sets(pairs, wanted, words), "sets")
-    labels = None if candidates.isEmpty() else linked_components(candidates, sets, percent)
+    none = classes.sparkSession.createDataFrame([], "node binary, component binary")
+    labels = none if candidates.isEmpty() else linked_components(candidates, sets, percent)
     drop_written(sets, wanted)
-    ids = classes.select("node", "doc_id")
-    if labels is None:
-        of_class = ids.select("node", F.col("doc_id").alias("component_id"))
-    else:
-        named = ids.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least_id = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        of_class = named.join(least_id, "component").select("node", "component_id")
+    labels = joined_regions(pairs, classes, labels, words, percent, trees, depth, least)
+    named = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least_id = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = named.join(least_id, "component").select("node", "component_id")
     of_class = written(of_class, "components")
     out = sketches.select("doc_id", "n", "node").join(of_class, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

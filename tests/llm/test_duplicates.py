@@ -111,6 +111,20 @@ def test_near_duplicates_against_brute_force(spark, make_docs):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(sets[i]), least[label[i]], least[label[i]] == i) for i in range(len(docs))}
 
 
+def test_near_copies_within_a_template(spark, make_docs):
+    rnd, docs = random.Random(8), []
+    template = [f"w{rnd.randrange(10**9)}" for _ in range(450)]
+    for i in range(80):  # texts of one template are alike at about 0.73, and every second one has a copy at 0.82
+        own = rnd.sample(template, 380)
+        docs.append((2 * i, own))
+        if i % 2:
+            docs.append((2 * i + 1, own[38:] + rnd.sample(sorted(set(template) - set(own)), 38)))
+    alike = {(i, j) for i, x in docs for j, y in docs if i < j and 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y))}
+    assert alike == {(i - 1, i) for i, _ in docs if i % 2}
+    got = near_dedup.near_duplicates(make_docs([(i, " ".join(x), "s") for i, x in docs]), words=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in docs}
+
+
 def test_near_duplicates_of_odd_rows(spark, make_docs, odd_rows):
     docs = make_docs(odd_rows)
     got = near_dedup.near_duplicates(docs).collect()
