@@ -120,6 +120,17 @@ def test_audio_finds_a_shared_passage(spark):
     assert audio.recording_classes(audio.fingerprints(df.limit(0), audio.tones, "text", audio.TONES)).count() == 0
 
 
+def test_audio_passage_behind_short_leaders(spark):
+    rng = np.random.default_rng(5)
+    new = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    passage = new(40)
+    rows = [(f"a{i:02}", np.concatenate([new(20), passage[3 * i : 3 * i + 8], new(20)])) for i in range(12)]  # each too short to be linked
+    rows += [(f"a{20 + i}", np.concatenate([new(20), passage[i : i + 9], new(20)])) for i in range(0, 32)]
+    rows += [(f"b{i}", np.concatenate([new(5 + i), passage, new(9)])) for i in range(2)]
+    links = audio.aligned(spark.createDataFrame([(k, bytearray(p.tobytes())) for k, p in rows], "node string, prints binary")).collect()
+    assert any((r["node"], r["other"], r["offset"]) == ("b1", "b0", -1) and r["frames"] >= 40 for r in links)
+
+
 def test_integral_image_against_sums():
     image = np.random.default_rng(1).uniform(size=(20, 12))
     one, other = audio.box_filters(8)[3]
