@@ -59,8 +59,9 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity.toxic_scores(docs, toxicity_model(spark, docs, sf_dir), threshold=0.3)
-    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    score = toxicity.toxic_score(F.col("text"), toxicity_model(spark, docs, sf_dir), docs)
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

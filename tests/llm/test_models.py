@@ -1,15 +1,18 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import random
+import re
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
-from stratascope.llm import audio, byte_bpe, quality, toxicity, vector_search
+from stratascope.llm import audio, byte_bpe, quality, tokens, toxicity, vector_search
 
 SF = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -58,16 +61,104 @@ def test_search_against_brute_force(spark):
     assert vector_search.top_k(df.limit(0), df["vec_id"] % 20 == 0).count() == 0
 
 
+def plain_segments(s: list[float], low: int = 0, high: int | None = None) -> list[tuple[int, int, float]]:
+    """Maximal segments by their definition: the best stretch, then those to its left and to its right."""
+    high = len(s) if high is None else high
+    best = max(((sum(s[i : j + 1]), i, j) for i in range(low, high) for j in range(i, high)), default=(0.0, 0, 0))
+    if best[0] <= 0:
+        return []
+    return [*plain_segments(s, low, best[1]), (best[1], best[2], best[0]), *plain_segments(s, best[2] + 1, high)]
+
+
 def test_segments_against_brute_force():
     rnd = random.Random(3)
-    for _ in range(200):
-        n = rnd.randrange(1, 30)
-        s = np.array([rnd.choice([-1.0, -1.0, 0.5, 1.5, 2.5]) for _ in range(n)])
-        at = np.flatnonzero(s > 0)
-        got = toxicity.maximal_segments(at, s[at], 1.0)
-        best = max((s[i : j + 1].sum() for i in range(n) for j in range(i, n)), default=0)
-        assert max((x for _, _, x in got), default=0) == pytest.approx(max(0, best))
-        assert all(x == pytest.approx(s[a : b + 1].sum()) for a, b, x in got) and all(p[1] < q[0] for p, q in zip(got, got[1:]))
+    for _ in range(300):
+        n = rnd.randrange(1, 40)
+        s = [rnd.random() * 3 if rnd.random() < 0.4 else -1.0 for _ in range(n)]
+        at = np.flatnonzero(np.array(s) > 0)
+        got = toxicity.maximal_segments(at, np.array(s)[at], 1.0)
+        want = plain_segments(s)
+        assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+@pytest.mark.parametrize("between", [1, 3])
+def test_segments_take_linear_time(between):
+    at = np.arange(0, 200_000 * (between + 1), between + 1)
+    for scores in (np.full(len(at), 0.5), np.full(len(at), between + 0.5), np.linspace(0.1, 3 * between, len(at)), np.linspace(3 * between, 0.1, len(at))):
+        began = time.process_time()
+        toxicity.maximal_segments(at, scores, 1.0)
+        assert time.process_time() - began < 5
+
+
+def test_words_against_regex():
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice("aBc 1_-é\u0130ß\U0001d400\ud800\n") for _ in range(rnd.randrange(60))) for _ in range(200)] + ["", "x" * 5000]
+    names: dict[str, int] = {}
+    for some in tokens.blocks(texts):
+        w = tokens.letter_words(some, (2,))
+        for k, t in enumerate(some):
+            found = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t)]
+            a, b = w.first[k], w.first[k + 1]
+            assert list(zip(w.start[a:b].tolist(), w.end[a:b].tolist())) == found
+            for (x, y), h, p, short in zip(found, w.whole[a:b].tolist(), w.prefixes[0][a:b].tolist(), w.short[0][a:b].tolist()):
+                low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t[x:y])
+                assert names.setdefault(low, h) == h and short == (y - x <= 2) and (short or names.setdefault(f"{low[:2]}-", p) == p)
+    assert len(set(names.values())) == len(names)
+
+
+def test_scores_against_plain_version(spark, make_docs):
+    """The whole score of every row, from counts of strings and segments by definition."""
+    rnd = random.Random(21)
+    vocabulary, bad = [f"{a}{b}{c}" for a in "bdgk" for b in "aeiou" for c in ("lm", "rt", "nsss", "ppqqrr")], ["vile", "vilest", "filthy", "rotten"]
+    rows = []
+    for i in range(240):
+        own = [rnd.choice(vocabulary) for _ in range(rnd.randrange(5, 40))]
+        if i % 3 == 0:
+            own[2:2] = [rnd.choice(bad) for _ in range(rnd.randrange(2, 6))]
+        rows.append((i, " ".join(own).title(), "s"))
+    rows += [(300, None, "s"), (301, "", "s"), (3, rows[3][1], "s")]
+    toxic = {i: int(i % 3 == 0) for i in range(180)}
+    features = lambda w: {w} | {f"{w[:k]}-{k}" for k in toxicity.PREFIXES if len(w) > k}
+    texts = {i: (t or "").lower().split() for i, t, _ in rows}
+    distinct = {(frozenset(texts[i]), y): i for i, y in sorted(toxic.items(), reverse=True)}
+    n, counts = [0, 0], {}
+    for (words_, y), i in distinct.items():
+        n[y] += 1
+        for f in set().union(*map(features, words_)):
+            counts.setdefault(f, [0, 0])[y] += 1
+
+    def gain(word: str, without: int | None) -> float:
+        out = 0.0
+        for f in features(word):
+            c, t = counts.get(f, (0, 0))
+            if t < toxicity.LEAST_DOCS:
+                continue
+            c, t, nc, nt = c - (without == 0), t - (without == 1), n[0] - (without == 0), n[1] - (without == 1)
+            if t > 0:
+                out = max(out, toxicity.log_odds(t, c, nt, nc, math.log, math.sqrt) - toxicity.DRIFT)
+        return out
+
+    marks, segments, chars = [], {}, 0
+    for (_, y), i in distinct.items():
+        s = [gain(w, y) or -toxicity.DRIFT for w in texts[i]]
+        segments[i] = (y, len(s), [x[2] for x in plain_segments(s)])
+        if not y:
+            marks += [round(x, 1) for x in s if x > 0]
+            chars += len(s)
+    lam = toxicity._karlin_lambda(np.array(sorted(set(marks))), np.array([marks.count(x) for x in sorted(set(marks))], float), chars)
+    chance = [x for y, _, own in segments.values() if not y for x in own]
+    k = (len(chance) + 1) * math.exp(min(50, lam * min(chance, default=0.0))) / (chars + 1)
+    model = toxicity.ToxicityModel(None, lam, k, 0.0, 0.0)
+    model.slope, model.intercept = toxicity._logistic(np.array([model.evidence(s, m) for _, m, s in segments.values()]), np.array([y for y, _, _ in segments.values()], float))
+    want = {i: model.probability(model.evidence([x[2] for x in plain_segments([gain(w, None) or -toxicity.DRIFT for w in own])], len(own))) for i, own in texts.items()}
+    docs = make_docs(rows)
+    learned = toxicity.train(docs, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
+    got = toxicity.toxic_scores(docs, learned).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, abs=1e-3)
+    assert {r["score"] for r in docs.select(toxicity.toxic_score(docs["text"], learned, docs).alias("score")).collect()} == {r["score"] for r in got}
+    for r in got:
+        for p in r["passages"]:
+            assert set(rows[r["doc_id"]][1][p["start"] : p["end"]].lower().split()) & set(bad)
 
 
 @tables
