@@ -1,11 +1,15 @@
 """Personal data by pattern, and by contexts learned from what the patterns found; DataFrame functions only.
 
-Base spans come from four fixed patterns. They are the seeds of a bootstrap: the words around a seed make lexical
-patterns (the two words before; the word before and the word after), and the same contexts of other identifier-like
-tokens make a graph of patterns and instances. In each round a pattern's confidence in a kind is the share of its
-distinct instances that belong to the kind, and an instance's is the noisy-or of its patterns; seeds stay certain. Tokens
-that reach CONFIDENT in patterns with LEAST_SEEDS seeds or more become spans of that kind too, anywhere they occur with
-such a pattern.
+Base spans come from four fixed patterns. They are the seeds of a bootstrap, and so are tokens that have the form of a
+secret by themselves (SECRET): a known prefix, or 32 characters or more between quotes. Other tokens with digits or an
+``@`` are candidates: single tokens, and groups of digits joined by blanks, dots, hyphens or brackets.
+
+What stands around a seed or a candidate makes its lexical patterns: the word before; the two words before; the word
+before and the one after; the sign before, quotes left out. So does its form: the kinds of its characters, and whether it
+is long. Patterns and instances are a graph. In each round a pattern's confidence in a kind is the mean of what its
+distinct instances score for the kind, and an instance's score is the noisy-or of its patterns; seeds stay certain.
+Candidates that reach CONFIDENT become spans of that kind wherever they occur with a pattern of their surroundings that
+reaches it too; a form alone never decides. Patterns count with LEAST_SEEDS distinct seeds or more.
 
 Offsets are code points, end exclusive. A pattern's matches and the text between them come from the same left-to-right
 scan, and a running sum over them gives the places; patterns start only where a run of their characters starts, so that
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_written, written
+from .common import drop_written, keeps, written
 
 KINDS = ("email", "ip", "card", "phone")
 # fixed values: the base patterns, written so that a scan can't backtrack
@@ -33,8 +37,12 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Tokens that may be identifiers: a digit among the characters that identifiers are made of.
-CANDIDATE = r"(?<![A-Za-z0-9@._+-])[A-Za-z@._+-]*+[0-9][A-Za-z0-9@._+-]*+"
+#: What the bootstrap may add: the base kinds, and secrets.
+LEARNED = (*KINDS, "secret")
+#: Tokens that may be identifiers: groups of digits, or a token with a digit or an @.
+CANDIDATE = r"(?<![A-Za-z0-9@._+-])(?:\(?[0-9]++(?:[\x20.()-]{1,2}[0-9]++){1,18}+(?![A-Za-z0-9@_+-])|[A-Za-z._+-]*+[0-9@][A-Za-z0-9@._+-]*+)"
+# fixed values: prefixes of keys that services hand out
+SECRET = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[opusr]_[0-9A-Za-z]{36}$|^xox[abprs]-[0-9A-Za-z-]{10,}$"
 ROUNDS, CONFIDENT, LEAST_SEEDS, LEAST_DIGITS, CONTEXT = 3, 0.8, 3, 4, 48
 
 
@@ -72,7 +80,7 @@ def _valid(kind: Column, value: Column) -> Column:
         F.when(kind == "ip", parts)
         .when(kind == "card", F.when((n >= 13) & (n <= 19), luhn(_digits(value))).otherwise(False))
         .when(kind == "phone", (n >= 9) & (n <= 15))
-        .when(kind == "candidate", (n >= LEAST_DIGITS) | value.contains("@"))
+        .when(kind == "candidate", (n >= LEAST_DIGITS) | value.rlike("[^@]@[^@]") | value.rlike(SECRET))
         .otherwise(True)
     )
 
@@ -99,70 +107,87 @@ def _apart(spans: DataFrame) -> DataFrame:
     return marked.where(base | clear).drop("before", "after")
 
 
+def _form(value: Column) -> Column:
+    """The kinds of characters of a value, and whether it is long."""
+    letters = F.when(value.rlike("^[0-9]+$"), "digits").when(value.rlike("^(?=.*[a-f])[0-9a-f]+$"), "hex").when(value.rlike("^[0-9a-z]+$"), "lower").when(value.rlike("^[0-9A-Z]+$"), "upper").when(value.rlike("^[0-9A-Za-z]+$"), "mixed")
+    signs = F.concat(F.lit("signs "), F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace(value, "[0-9A-Za-z]", ""), ""))), ""))
+    return F.concat(F.coalesce(letters, signs), F.when(F.length(value) >= 16, " long").otherwise(" short"))
+
+
 def _contexts(spans: DataFrame) -> DataFrame:
-    """Each span once for each of its lexical patterns."""
+    """Each span once for each of its lexical patterns; ``near`` tells those of its surroundings from those of its form."""
     plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]+", "0")
     left = F.filter(F.split(plain(F.col("left")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     right = F.filter(F.split(plain(F.col("right")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    one, two, after = F.try_element_at(left, F.lit(-1)), F.try_element_at(left, F.lit(-2)), F.try_element_at(right, F.lit(1))
-    none = F.lit("")
+    word = lambda words, i: F.coalesce(F.try_element_at(words, F.lit(i)), F.lit(""))
+    sign = F.regexp_extract("left", r"""([^\x20\x09-\x0DA-Za-z0-9"'])[\x20"']*$""", 1)
+    made = spans.withColumn("l", left).withColumn("r", right)
     patterns = F.array(
-        F.concat_ws(" ", F.coalesce(two, none), F.coalesce(one, none), F.lit("_")),
-        F.concat_ws(" ", F.coalesce(one, none), F.lit("_"), F.coalesce(after, none)),
+        F.struct(F.concat(word("l", -1), F.lit(" _")).alias("pattern"), F.lit(True).alias("near")),
+        F.struct(F.concat(word("l", -2), F.lit(" "), word("l", -1), F.lit(" _")).alias("pattern"), F.lit(True).alias("near")),
+        F.struct(F.concat(word("l", -1), F.lit(" _ "), word("r", 1)).alias("pattern"), F.lit(True).alias("near")),
+        F.struct(F.concat(F.lit("sign "), sign).alias("pattern"), F.lit(True).alias("near")),
+        F.struct(F.concat(F.lit("form "), _form(F.col("value"))).alias("pattern"), F.lit(False).alias("near")),
     )
-    return spans.withColumn("pattern", F.explode(patterns))
+    return made.withColumn("p", F.explode(patterns)).select(*spans.columns, "p.*").where("pattern NOT IN ('sign ', ' _')")
+
+
+def _seeds(spans: DataFrame) -> DataFrame:
+    """The spans, with candidates that are secrets by their form as seeds of that kind."""
+    quoted = (F.length("value") >= 32) & F.col("value").rlike("[0-9].*[0-9].*[0-9].*[0-9]") & F.col("left").rlike("[\"']$") & F.col("right").rlike("^[\"']")
+    return spans.withColumn("kind", F.when((F.col("kind") == "candidate") & (F.col("value").rlike(SECRET) | quoted), "secret").otherwise(F.col("kind")))
 
 
 def learned(spans: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, least_seeds: int = LEAST_SEEDS) -> DataFrame:
     """rid, kind, start, end of the candidates that the bootstrap adds."""
-    seen = written(_contexts(spans).select("rid", F.col("kind").alias("found_as"), "start", "end", F.lower("value").alias("instance"), "pattern"), "contexts")
-    edges = written(seen.groupBy("pattern", "instance").agg(*[F.max((F.col("found_as") == k).cast("int")).alias(f"seed_{k}") for k in KINDS]), "graph")
-    support = edges.groupBy("pattern").agg(F.count("*").alias("n"), *[F.sum(f"seed_{k}").alias(f"n_{k}") for k in KINDS])
-    usable = written(support.where(reduce(Column.__or__, [F.col(f"n_{k}") >= least_seeds for k in KINDS])), "patterns")
-    if usable.isEmpty():
-        drop_written(edges, usable)
-        return seen.where("false").select("rid", F.col("found_as").alias("kind"), "start", "end")
+    kinds = LEARNED
+    seen = written(_contexts(spans).select("rid", F.col("kind").alias("found_as"), "start", "end", F.lower("value").alias("instance"), "pattern", "near"), "contexts")
+    edges = written(seen.groupBy("pattern", "instance").agg(*[F.max((F.col("found_as") == k).cast("int")).alias(f"seed_{k}") for k in kinds]), "graph")
+    support = edges.groupBy("pattern").agg(F.count("*").alias("n"), *[F.sum(f"seed_{k}").alias(f"n_{k}") for k in kinds])
+    usable = written(support.where(reduce(Column.__or__, [F.col(f"n_{k}") >= least_seeds for k in kinds])), "patterns")
     graph = written(edges.join(usable, "pattern"), "edges")
-    scores, old = graph.groupBy("instance").agg(*[F.max(f"seed_{k}").cast("double").alias(k) for k in KINDS]), None
+    scores, old = graph.groupBy("instance").agg(*[F.max(f"seed_{k}").cast("double").alias(k) for k in kinds]), None
     scores = written(scores, "instances")
     for _ in range(rounds):
         rated = graph.join(scores, "instance")
         share = lambda k: F.when(F.max(f"n_{k}") >= least_seeds, F.sum(k) / F.count("*")).otherwise(0.0)
-        patterns = written(rated.groupBy("pattern").agg(*[share(k).alias(f"p_{k}") for k in KINDS]), "confidence")
+        patterns = written(rated.groupBy("pattern").agg(*[share(k).alias(f"p_{k}") for k in kinds]), "confidence")
         doubt = lambda k: F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col(f"p_{k}"))))
-        again = graph.join(patterns, "pattern").groupBy("instance").agg(*[F.greatest(F.max(f"seed_{k}").cast("double"), 1 - F.exp(doubt(k))).alias(k) for k in KINDS])
+        again = graph.join(patterns, "pattern").groupBy("instance").agg(*[F.greatest(F.max(f"seed_{k}").cast("double"), 1 - F.exp(doubt(k))).alias(k) for k in kinds])
         again = written(again, "instances")
         drop_written(scores, old)
         scores, old = again, patterns
-    kind = lambda p: F.greatest(*[F.struct(F.col(f"{p}{k}").alias("by"), F.lit(k).alias("kind")) for k in KINDS])
-    sure = scores.select("instance", kind("").alias("k")).where(F.col("k.by") >= confident).select("instance", F.col("k.kind").alias("kind"))
-    held = old.select("pattern", *[F.when(F.col(f"p_{k}") >= confident, F.lit(k)).alias(f"is_{k}") for k in KINDS]).where(F.coalesce(*[f"is_{k}" for k in KINDS]).isNotNull())
-    out = seen.where("found_as = 'candidate'").join(held, "pattern").join(sure, "instance").where(F.array_contains(F.array(*[f"is_{k}" for k in KINDS]), F.col("kind")))
-    out = written(out.select("rid", "kind", "start", "end").distinct(), "learned")
+    kind = F.greatest(*[F.struct(F.col(k).alias("by"), F.lit(k).alias("kind")) for k in kinds])
+    sure = scores.select("instance", kind.alias("k")).where(F.col("k.by") >= confident).select("instance", F.col("k.kind").alias("kind"))
+    held = old.select("pattern", *[F.when(F.col(f"p_{k}") >= confident, F.lit(k)).alias(f"is_{k}") for k in kinds]).where(F.coalesce(*[f"is_{k}" for k in kinds]).isNotNull())
+    out = seen.where("found_as = 'candidate' AND near").join(held, "pattern").join(sure, "instance").where(F.array_contains(F.array(*[f"is_{k}" for k in kinds]), F.col("kind")))
+    seeds = seen.where("found_as = 'secret'").select("rid", F.col("found_as").alias("kind"), "start", "end")
+    out = written(out.select("rid", "kind", "start", "end").unionByName(seeds).distinct(), "learned")
     drop_written(seen, edges, usable, graph, scores, old)
     return out
 
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, confident: float = CONFIDENT, least_seeds: int = LEAST_SEEDS) -> DataFrame:
-    """doc_id, base and spans of every row: arrays of (kind, start, end), by kind as in KINDS, then start.
+    """doc_id, base and spans of every row: arrays of (kind, start, end), by kind as in LEARNED, then start.
 
-    ``base`` holds what the patterns find; ``spans`` also what the bootstrap adds.
+    ``base`` holds what the four patterns find; ``spans`` also secrets and what the bootstrap adds.
     """
     own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     digit = F.col("text").rlike("[0-9]")
-    needs = {"email": F.col("text").contains("@"), "ip": digit, "card": digit, "phone": F.col("text").contains("+"), "candidate": digit}
+    needs = {"email": F.col("text").contains("@"), "ip": digit, "card": digit, "phone": F.col("text").contains("+"), "candidate": F.col("text").rlike("[0-9@]")}
     hits = written(_pieces(own, PATTERNS | {"candidate": CANDIDATE}, needs), "matches")
-    spans = written(_apart(_spans(hits)), "spans")
+    spans = written(_seeds(_apart(_spans(hits))), "spans")
     more = learned(spans, rounds, confident, least_seeds)
-    place = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])[F.col("kind")]
-    every = spans.where("kind <> 'candidate'").select("rid", "kind", "start", "end", F.lit(True).alias("base")).unionByName(more.select("rid", "kind", "start", "end", F.lit(False).alias("base")))
+    place = F.create_map(*[F.lit(x) for i, k in enumerate(LEARNED) for x in (k, i)])[F.col("kind")]
+    every = spans.where("kind NOT IN ('candidate', 'secret')").select("rid", "kind", "start", "end", F.lit(True).alias("base")).unionByName(more.select("rid", "kind", "start", "end", F.lit(False).alias("base")))
     in_order = F.array_sort(F.collect_list(F.struct(place.alias("place"), "start", "end", "kind", "base")))  # the spans of one text
     by_row = every.groupBy("rid").agg(in_order.alias("all"))
     joined = hits.select("rid", "doc_id").join(by_row, "rid", "left")
     none = F.array().cast("array<struct<place:int,start:bigint,end:bigint,kind:string,base:boolean>>")
     whole = F.coalesce("all", none)
     plain = lambda a: F.transform(a, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return joined.select("doc_id", plain(F.filter(whole, lambda x: x["base"])).alias("base"), plain(whole).alias("spans"))
+    out = joined.select("doc_id", plain(F.filter(whole, lambda x: x["base"])).alias("base"), plain(whole).alias("spans"))
+    return keeps(out, hits, spans, more)
 
 
 def as_text(spans: Column) -> Column:

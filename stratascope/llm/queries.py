@@ -22,13 +22,15 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.personal_data(table(spark, sf_dir, "documents"))
-    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    count = lambda a, k: F.size(F.filter(a, lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
         "doc_id",
-        *[count(k) for k in personal_data.KINDS],
+        *[count("base", k) for k in personal_data.KINDS],
         F.sha2(personal_data.as_text(F.col("base")), 256).alias("base_sha256"),
         personal_data.as_text(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_learned"),
+        count("spans", "secret"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
