@@ -32,23 +32,34 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back: short lineage, and nothing is computed twice.
 
-    The table outlives lost executors. ``drop_written`` removes it once nothing reads it any more.
+    The table outlives lost executors. ``drop_written`` removes it once nothing reads it any more; what is left goes when
+    the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stratascope/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
+def keeps(df: DataFrame, *frames: DataFrame | None) -> DataFrame:
+    """``df``, which reads these written frames: dropping it drops them."""
+    df._written_reads = frames
+    return df
+
+
 def drop_written(*frames: DataFrame | None) -> None:
     """Deletes what ``written`` stored for these frames."""
     for df in frames:
+        drop_written(*getattr(df, "_written_reads", ()))
+        if dropped := getattr(df, "_drop_table", None):  # a table of the catalog
+            dropped()
         if path := getattr(df, "_written_path", None):
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def count_words(text: Column) -> Column:

@@ -6,11 +6,12 @@ stretch of it; SplitMix64's finish spreads it. Texts are taken in blocks of abou
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 BLOCK = 400_000
 _BASE = 0x9E3779B97F4A7C15
@@ -81,7 +82,13 @@ class Words:
     short: list[np.ndarray]
 
 
-def blocks(texts: Sequence[str | None]) -> Iterator[list[str]]:
+def each(column: pa.Array, rows: int = 256) -> Iterator:
+    """The values of a column, made into Python objects a few at a time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
+def blocks(texts: Iterable[str | None]) -> Iterator[list[str]]:
     """Runs of texts of BLOCK characters or one text."""
     held, chars = [], 0
     for t in texts:
@@ -113,3 +120,35 @@ def letter_words(texts: list[str], prefixes: Sequence[int] = ()) -> Words:
         short.append(few)
     shift = np.repeat(begins[:-1], np.diff(first))
     return Words(start - shift, end - shift, first, whole, heads, short)
+
+
+def blank_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words between ASCII white space, A-Z counted as a-z, and where each text's words begin in them."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    codes = np.frombuffer(b"\n".join(raw).lower(), np.uint8)
+    inside = np.concatenate(([False], (codes != 32) & ((codes < 9) | (codes > 13)), [False]))
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    first = np.searchsorted(start, np.cumsum([0, *[len(t) + 1 for t in raw]]))
+    first[-1] = len(start)
+    return Stretches(codes).hashes(start, end, 0), first
+
+
+def shingle_sets(texts: Iterable[str | None], words: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its word shingles; a text of fewer words is one shingle of them all."""
+    for some in blocks(texts):
+        h, first = blank_words(some)
+        n = max(0, len(h) - words + 1)
+        whole = np.full(n, np.uint64(words))
+        for i in range(words):
+            whole = mixed(whole * np.uint64(_BASE) + h[i : n + i])
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            if b - a >= words:
+                yield np.unique(whole[a : b - words + 1])
+            elif b == a:
+                yield np.empty(0, np.uint64)
+            else:
+                one = np.full(1, np.uint64(b - a))
+                for i in range(a, b):
+                    one = mixed(one * np.uint64(_BASE) + h[i])
+                yield one

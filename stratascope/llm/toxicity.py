@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, tidy, written
-from .tokens import Words, blocks, letter_words
+from .tokens import Words, blocks, each, letter_words
 
 #: Labelled rows to train on, at most; more are thinned evenly by a hash of their id.
 MOST_LABELLED = 200_000
@@ -144,7 +144,7 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, toxic, copy and text: ``copy`` names the set of a text's words."""
     for batch in batches:
         keys = []
-        for some in blocks(batch.column("text").to_pylist()):
+        for some in blocks(each(batch.column("text"))):
             words = letter_words(some)
             for a, b in zip(words.first, words.first[1:]):
                 own = np.unique(words.whole[a:b])
@@ -171,7 +171,7 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     n = 0
     for batch in batches:
         labels, at = batch.column("toxic").to_pylist(), 0
-        for some in blocks(batch.column("text").to_pylist()):
+        for some in blocks(each(batch.column("text"))):
             words = letter_words(some, PREFIXES)
             for a, b in zip(words.first, words.first[1:]):
                 own = np.unique(np.concatenate([words.whole[a:b], *[h[a:b][~few[a:b]] for h, few in zip(words.prefixes, words.short)]]))
@@ -327,7 +327,7 @@ def toxic_scores(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id",
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for batch in batches:
-            scores, passages = zip(*judge.texts(batch.column(1).to_pylist(), True)) if batch.num_rows else ((), ())
+            scores, passages = zip(*judge.texts(each(batch.column(1)), True)) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(passages, kind)], ["doc_id", "score", "passages"])
 
     found = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(tidy(judge), "doc_id long, score double, passages array<struct<start:long,end:long,score:double>>")
