@@ -5,6 +5,8 @@ Codes are the number of interior quantile edges at or below a value; entropies a
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,14 @@ def quantile_codes(record: DataFrame, bins: int, *keys: str, value: str = "value
     return joined.withColumn(code, F.aggregate("_edges", F.lit(0), lambda n, e: n + F.when(e <= F.col(value), 1).otherwise(0))).drop("_edges")
 
 
-def entropy(codes: DataFrame, groups: list[str], *cells: str) -> DataFrame:
-    """groups, n, h: entropy over the cells within each group."""
-    each = codes.groupBy(*groups, *cells).agg(F.count("*").alias("k"))
+def joint_counts(codes: DataFrame, groups: list[str], *cells: str) -> DataFrame:
+    """groups, cells, k: how often each joint cell occurs; what the entropies of any of its parts come from."""
+    return codes.groupBy(*groups, *cells).agg(F.count("*").alias("k"))
+
+
+def entropy(joint: DataFrame, groups: list[str], *cells: str) -> DataFrame:
+    """groups, n, h: entropy over the cells within each group, from joint counts."""
+    each = joint.groupBy(*groups, *cells).agg(F.sum("k").alias("k"))
     n = each.groupBy(*groups).agg(F.sum("k").alias("n"), F.count("*").alias("m"), F.sum(F.col("k") * F.log("k")).alias("s"))
     # -sum p ln p = ln n - sum k ln k / n
     return n.select(*groups, "n", (F.log("n") - F.col("s") / F.col("n") + (F.col("m") - 1) / (2 * F.col("n"))).alias("h"))
@@ -34,14 +41,16 @@ def _together(parts: list[DataFrame], groups: list[str], names: list[str]) -> Da
 
 def mutual_information(codes: DataFrame, groups: list[str], x: str = "x", y: str = "y", floored: bool = True) -> DataFrame:
     """groups, n, mi = H(x) + H(y) - H(x, y), no less than 0 if floored."""
-    h = _together([entropy(codes, groups, x), entropy(codes, groups, y), entropy(codes, groups, x, y)], groups, ["hx", "hy", "hxy"])
+    joint = joint_counts(codes, groups, x, y)
+    h = _together([entropy(joint, groups, x), entropy(joint, groups, y), entropy(joint, groups, x, y)], groups, ["hx", "hy", "hxy"])
     mi = F.col("hx") + F.col("hy") - F.col("hxy")
     return h.select(*groups, "n", (F.greatest(F.lit(0.0), mi) if floored else mi).alias("mi"))
 
 
 def conditional_information(codes: DataFrame, groups: list[str], x: str, y: str, z: str) -> DataFrame:
     """groups, n, cmi = H(x, z) + H(y, z) - H(z) - H(x, y, z)."""
-    h = _together([entropy(codes, groups, x, z), entropy(codes, groups, y, z), entropy(codes, groups, z), entropy(codes, groups, x, y, z)], groups, ["a", "b", "c", "d"])
+    joint = joint_counts(codes, groups, x, y, z)
+    h = _together([entropy(joint, groups, x, z), entropy(joint, groups, y, z), entropy(joint, groups, z), entropy(joint, groups, x, y, z)], groups, ["a", "b", "c", "d"])
     return h.select(*groups, "n", (F.col("a") + F.col("b") - F.col("c") - F.col("d")).alias("cmi"))
 
 
@@ -57,9 +66,9 @@ def lagged_codes(codes: DataFrame, lags: list[int], length: int, wrap: bool = Tr
 
 
 def transfer_entropy(codes: DataFrame, lags: list[int], length: int, wrap: bool = True) -> DataFrame:
-    """source, target, lag, n, te = I(future; source | past) for lags of 1 and more."""
+    """source, target, lag, n, te = I(future; source | past), no less than 0, for lags of 1 and more."""
     rows = lagged_codes(codes, [k for k in lags if k >= 1], length, wrap)
-    return conditional_information(rows, ["source", "target", "lag"], "future", "x", "past").withColumnRenamed("cmi", "te")
+    return conditional_information(rows, ["source", "target", "lag"], "future", "x", "past").withColumn("te", F.greatest(F.lit(0.0), "cmi")).drop("cmi")
 
 
 def lagged_information(codes: DataFrame, lags: list[int], length: int, wrap: bool = True) -> DataFrame:
@@ -72,7 +81,8 @@ def pair_structure(codes: DataFrame, features: list[str], target: str) -> DataFr
     pairs = [F.struct(F.lit(p).alias("a"), F.lit(q).alias("b"), F.col(p).alias("x"), F.col(q).alias("y")) for i, p in enumerate(features) for q in features[i + 1 :]]
     rows = codes.select(F.col(target).alias("t"), F.explode(F.array(*pairs)).alias("p")).select("t", "p.*")
     g = ["a", "b"]
-    h = _together([entropy(rows, g, *c) for c in (("x",), ("y",), ("t",), ("x", "t"), ("y", "t"), ("x", "y"), ("x", "y", "t"))], g, ["hx", "hy", "ht", "hxt", "hyt", "hxy", "hxyt"])
+    joint = joint_counts(rows, g, "x", "y", "t")
+    h = _together([entropy(joint, g, *c) for c in (("x",), ("y",), ("t",), ("x", "t"), ("y", "t"), ("x", "y"), ("x", "y", "t"))], g, ["hx", "hy", "ht", "hxt", "hyt", "hxy", "hxyt"])
     a, b, ab = F.col("hx") + F.col("ht") - F.col("hxt"), F.col("hy") + F.col("ht") - F.col("hyt"), F.col("hxy") + F.col("ht") - F.col("hxyt")
     return h.select("a", "b", "n", a.alias("mi_a"), b.alias("mi_b"), ab.alias("mi_ab"), (a + b - ab).alias("interaction"))
 
@@ -90,9 +100,36 @@ def admissible_shifts(spark, length: int, lag: int, clear: int) -> DataFrame:
     return spark.range(1, length).where(far(s) & far(s + lag)).select(s.alias("shift"))
 
 
-def shifted_information(codes: DataFrame, source: str, target: str, lag: int, length: int, clear: int) -> DataFrame:
-    """shift, mi between the shifted source and the target, for every admissible shift."""
-    shifts = F.broadcast(admissible_shifts(codes.sparkSession, length, lag, clear))
-    x = codes.where(F.col("channel") == source).select("frame", F.col("code").alias("x")).crossJoin(shifts).withColumn("frame", F.pmod(F.col("frame") + F.col("shift"), F.lit(length)))
-    y = codes.where(F.col("channel") == target).select(F.pmod(F.col("frame") - lag, F.lit(length)).alias("frame"), F.col("code").alias("y"))
-    return mutual_information(x.join(y, "frame"), ["shift"])
+def shifted_information(codes: DataFrame, lag: int, length: int, clear: int) -> DataFrame:
+    """source, target, shift, mi between each shifted source and each other target, for every admissible shift.
+
+    ``codes`` has channel, frame and code. How often two codes meet at every shift is a circular correlation of where they
+    stand; a row a pair of channels holds their codes, a number a frame, and missing frames meet nothing.
+    """
+    whole = codes.groupBy("channel").agg(F.collect_list(F.struct(F.col("frame").cast("int").alias("frame"), "code")).alias("at"))
+    pairs = whole.select(F.col("channel").alias("source"), F.col("at").alias("a")).join(whole.select(F.col("channel").alias("target"), F.col("at").alias("b")), F.col("source") != F.col("target"))
+
+    def planes(at) -> np.ndarray:
+        frames, own = np.array([r["frame"] for r in at], int) % length, np.array([r["code"] for r in at], int)
+        out = np.zeros((own.max(initial=0) + 1, length))
+        out[own, frames] = 1
+        return np.fft.rfft(out, axis=1)
+
+    def entropy_of(k: np.ndarray) -> np.ndarray:
+        n = k.sum(axis=0)
+        with np.errstate(all="ignore"):
+            return np.log(n) - np.where(k > 0, k * np.log(k), 0).sum(axis=0) / n + ((k > 0).sum(axis=0) - 1) / (2 * n)
+
+    def shift(batches):
+        s = np.arange(1, length)
+        far = lambda d: np.minimum(d % length, (-d) % length) >= clear
+        use = s[far(s) & far(s + lag)]
+        for rows in batches:
+            for r in rows.itertuples():
+                x, y = planes(r.a), planes(r.b)
+                both = np.rint(np.fft.irfft(np.conj(x)[:, None] * y[None], length, axis=2))[:, :, (use + lag) % length]
+                mi = entropy_of(both.sum(axis=1)) + entropy_of(both.sum(axis=0)) - entropy_of(both.reshape(-1, len(use)))
+                yield pd.DataFrame({"source": r.source, "target": r.target, "shift": use, "mi": np.maximum(mi, 0.0)})
+
+    kind = codes.schema["channel"].dataType.simpleString()
+    return pairs.mapInPandas(shift, f"source {kind}, target {kind}, shift long, mi double")

@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stratascope.folders import stored
+
 Lags = Sequence[tuple[int, int]]
 
 
@@ -49,9 +53,13 @@ def window_hits(series: DataFrame, lags: Lags) -> DataFrame:
 
 def base_rates(series: DataFrame, grid: DataFrame, lags: Lags) -> DataFrame:
     """lo, hi, consequent, positions, hits, base_rate over all measured windows of the grid."""
-    measured = window_status(grid, lags).where("status = 'MEASURED'")
+    return _base_rates(series, window_status(grid, lags), window_hits(series, lags))
+
+
+def _base_rates(series: DataFrame, status: DataFrame, found: DataFrame) -> DataFrame:
+    measured = status.where("status = 'MEASURED'")
     positions = measured.groupBy("lo", "hi").agg(F.count("*").alias("positions"))
-    hits = measured.join(window_hits(series, lags), ["lo", "hi", "frame"]).groupBy("lo", "hi", F.col("pattern").alias("consequent")).agg(F.count("*").alias("hits"))
+    hits = measured.join(found, ["lo", "hi", "frame"]).groupBy("lo", "hi", F.col("pattern").alias("consequent")).agg(F.count("*").alias("hits"))
     every = positions.crossJoin(series.select(F.col("pattern").alias("consequent")).distinct())
     out = every.join(hits, ["lo", "hi", "consequent"], "left").fillna(0, ["hits"])
     return out.withColumn("base_rate", F.col("hits") / F.col("positions"))
@@ -62,12 +70,13 @@ def precursor_counts(series: DataFrame, grid: DataFrame, lags: Lags) -> DataFram
 
     ``anchors - eligible`` are those whose window wasn't fully seen.
     """
-    status = window_status(grid, lags)
+    status = stored(window_status(grid, lags), "status")
     anchors = series.select(F.col("pattern").alias("antecedent"), "frame").join(status, "frame")
     totals = anchors.groupBy("lo", "hi", "antecedent").agg(F.count("*").alias("anchors"), F.count_if(F.col("status") == "MEASURED").alias("eligible"))
-    hits = window_hits(series, lags).withColumnRenamed("pattern", "consequent")
+    found = stored(window_hits(series, lags), "hits")
+    hits = found.withColumnRenamed("pattern", "consequent")
     support = anchors.where("status = 'MEASURED'").join(hits, ["lo", "hi", "frame"]).groupBy("lo", "hi", "antecedent", "consequent").agg(F.count("*").alias("support"))
-    pairs = totals.join(base_rates(series, grid, lags), ["lo", "hi"]).where("antecedent <> consequent")
+    pairs = totals.join(_base_rates(series, status, found), ["lo", "hi"]).where("antecedent <> consequent")
     out = pairs.join(support, ["lo", "hi", "antecedent", "consequent"], "left").fillna(0, ["support"])
     confidence = F.when(F.col("eligible") > 0, F.col("support") / F.col("eligible"))
     return out.select("antecedent", "consequent", "lo", "hi", "anchors", "eligible", "support", confidence.alias("confidence"), "base_rate", F.when(F.col("base_rate") > 0, confidence / F.col("base_rate")).alias("lift"))
@@ -103,11 +112,12 @@ def chain_support(series: DataFrame, grid: DataFrame, length: int, lo: int, hi:
     out = None
     for k in range(2, length + 1):
         nxt = reach.crossJoin(step).select("chain", "anchor", (F.col("at") + F.col("lag")).alias("frame")).join(series, "frame")
-        reach = nxt.select(F.concat_ws(">", "chain", "pattern").alias("chain"), "anchor", F.col("frame").alias("at")).distinct()
+        reach = stored(nxt.select(F.concat_ws(">", "chain", "pattern").alias("chain"), "anchor", F.col("frame").alias("at")).distinct(), "reach")
         measured = window_status(grid, [(lo, (k - 1) * hi)]).where("status = 'MEASURED'").select(F.col("frame").alias("anchor"))
         done = reach.select("chain", "anchor").distinct().join(measured, "anchor").groupBy("chain").agg(F.count("*").alias("support"))
         eligible = series.withColumnRenamed("frame", "anchor").join(measured, "anchor").groupBy(F.col("pattern").alias("first")).agg(F.count("*").alias("eligible"))
         level = done.withColumn("first", F.substring_index("chain", ">", 1)).join(eligible, "first").select("chain", F.lit(k).alias("length"), "eligible", "support", (F.col("support") / F.col("eligible")).alias("confidence"))
+        level = stored(level, "level")
         if level.count() > budget:
             raise ValueError(f"more than {budget} candidate chains of length {k}")
         out = level if out is None else out.unionByName(level)
@@ -115,17 +125,34 @@ def chain_support(series: DataFrame, grid: DataFrame, length: int, lo: int, hi:
     return out
 
 
+def circular_supports(length: int, a: list[int], b: list[int]) -> np.ndarray:
+    """For every shift how many of the places ``a``, moved on round the circle, fall on places ``b``; by Fourier transforms."""
+    one, other = np.zeros(length), np.zeros(length)
+    one[a], other[b] = 1, 1
+    return np.rint(np.fft.irfft(np.conj(np.fft.rfft(one)) * np.fft.rfft(other), length)).astype(np.int64)
+
+
 def rotated_supports(series: DataFrame, grid: DataFrame, lo: int, hi: int, floor: int) -> DataFrame:
     """antecedent, consequent, shift, support: supports after moving the antecedent round the grid by every admissible shift.
 
     Shifts nearer than ``floor`` to either end are left out. The null is enumerated, not drawn: it needs no random numbers.
+    A row a pair of patterns holds their places on the grid, a number an occurrence.
     """
-    ends = grid.agg(F.min("frame").alias("first"), (F.max("frame") - F.min("frame") + 1).alias("n"))
-    shifts = ends.select("first", "n", F.explode(F.sequence(F.lit(floor).cast("long"), F.col("n") - floor)).alias("shift"))
-    moved = series.withColumnRenamed("pattern", "antecedent").crossJoin(shifts).select("antecedent", "shift", (F.col("first") + (F.col("frame") - F.col("first") + F.col("shift")) % F.col("n")).alias("frame"))
+    ends = grid.agg(F.min("frame").alias("first"), (F.max("frame") - F.min("frame") + 1).cast("int").alias("n"))
     measured = window_status(grid, [(lo, hi)]).where("status = 'MEASURED'").select("frame")
-    hits = window_hits(series, [(lo, hi)]).select(F.col("pattern").alias("consequent"), "frame").join(measured, "frame")
-    return moved.join(hits, "frame").where("antecedent <> consequent").groupBy("antecedent", "consequent", "shift").agg(F.count("*").alias("support"))
+    hits = window_hits(series, [(lo, hi)]).join(measured, "frame")
+    places = lambda df, name, at: df.crossJoin(F.broadcast(ends)).groupBy(F.col("pattern").alias(name), "n").agg(F.collect_list((F.col("frame") - F.col("first")).cast("int")).alias(at))
+    pairs = places(series, "antecedent", "a").join(places(hits, "consequent", "b").drop("n"), F.col("antecedent") != F.col("consequent"))
+
+    def rotate(batches):
+        for rows in batches:
+            for r in rows.itertuples():
+                support = circular_supports(r.n, r.a, r.b)
+                shift = np.arange(floor, r.n - floor + 1)
+                yield pd.DataFrame({"antecedent": r.antecedent, "consequent": r.consequent, "shift": shift, "support": support[shift % r.n]})
+
+    kind = series.schema["pattern"].dataType.simpleString()
+    return pairs.mapInPandas(rotate, f"antecedent {kind}, consequent {kind}, shift long, support long")
 
 
 def exact_null(series: DataFrame, grid: DataFrame, lo: int, hi: int, floor: int) -> DataFrame:

@@ -82,13 +82,14 @@ def precursor_exact_null(spark, d):
 
 
 @queries.add("adjusted_family", r.with_views("ev", more=NULL_SQL + """,
-ranked AS (SELECT *, row_number() OVER (ORDER BY p_value, test) AS i FROM tests)""") + f"""SELECT test, {sql_round('least(1.0, p_value * 20)', 'bonferroni')},
-{sql_round('least(1.0, max(p_value * (20 - i + 1)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING))', 'holm')},
-{sql_round('least(1.0, min(p_value * 20 / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'bh')},
-{sql_round('least(1.0, min(p_value * 20 * (SELECT sum(1.0::DOUBLE / k) FROM range(1, 21) t(k)) / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'by')} FROM ranked""")
+size AS (SELECT count(DISTINCT pattern) * (count(DISTINCT pattern) - 1) AS m FROM ev), ranked AS (SELECT *, row_number() OVER (ORDER BY p_value, test) AS i FROM tests)""") + f"""SELECT test, {sql_round('least(1.0, p_value * m)', 'bonferroni')},
+{sql_round('least(1.0, max(p_value * (m - i + 1)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING))', 'holm')},
+{sql_round('least(1.0, min(p_value * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'bh')},
+{sql_round('least(1.0, min(p_value * m * harmonic / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'by')} FROM ranked, size, (SELECT sum(1.0::DOUBLE / k) AS harmonic FROM size, range(1, m + 1) t(k))""")
 def adjusted_family(spark, d):
-    """The family is declared with 5 x 4 ordered pairs, whether or not a pair ever occurs."""
-    return rounded(testing.adjust(_null(spark, d).select("test", "p_value"), 20).drop("p_value"), "bonferroni", "holm", "bh", "by")
+    """The family is all ordered pairs of patterns, whether or not a pair ever occurs."""
+    patterns = r.series(spark, d).select("pattern").distinct().count()
+    return rounded(testing.adjust(_null(spark, d).select("test", "p_value"), patterns * (patterns - 1)).drop("p_value"), "bonferroni", "holm", "bh", "by")
 
 
 @queries.add("p_uniformity", r.with_views("ev", more=NULL_SQL + """,
@@ -257,17 +258,17 @@ def quantile_codes(spark, d):
     return _codes(spark, d)
 
 
-LAGGED_SQL = CODES_SQL + """, lg AS (SELECT s.channel AS source, t.channel AS target, k AS lag, s.code AS x, t.code AS past, f.code AS future FROM range({0}, {1}) z(k), codes s JOIN codes t ON s.frame = t.frame AND s.channel <> t.channel JOIN codes f ON f.channel = t.channel WHERE f.frame = (t.frame + k) % 720)"""
+LAGGED_SQL = CODES_SQL + """, lg AS (SELECT s.channel AS source, t.channel AS target, k AS lag, s.code AS x, t.code AS past, f.code AS future FROM range({0}, {1}) z(k), codes s JOIN codes t ON s.frame = t.frame AND s.channel <> t.channel JOIN codes f ON f.channel = t.channel WHERE f.frame = (t.frame + k) % (SELECT max(frame) + 1 FROM codes))"""
 
 
 @queries.add("lagged_information", r.with_views("ch", more=LAGGED_SQL.format(0, 4)) + f"SELECT source, target, lag, a.n, {sql_round('greatest(0.0, a.h + b.h - c.h)', 'mi')} FROM {entropy_sql('x', 'source, target, lag', 'lg')} a JOIN {entropy_sql('future', 'source, target, lag', 'lg')} b USING (source, target, lag) JOIN {entropy_sql('x, future', 'source, target, lag', 'lg')} c USING (source, target, lag)")
 def lagged_information(spark, d):
-    return rounded(dependence.lagged_information(_codes(spark, d), [0, 1, 2, 3], 720), "mi")
+    return rounded(dependence.lagged_information(_codes(spark, d), [0, 1, 2, 3], r.record_length(spark, d)), "mi")
 
 
-@queries.add("transfer_entropy", r.with_views("ch", more=LAGGED_SQL.format(1, 4)) + f"SELECT source, target, lag, a.n, {sql_round('a.h + b.h - c.h - e.h', 'te')} FROM {entropy_sql('future, past', 'source, target, lag', 'lg')} a JOIN {entropy_sql('x, past', 'source, target, lag', 'lg')} b USING (source, target, lag) JOIN {entropy_sql('past', 'source, target, lag', 'lg')} c USING (source, target, lag) JOIN {entropy_sql('future, x, past', 'source, target, lag', 'lg')} e USING (source, target, lag)")
+@queries.add("transfer_entropy", r.with_views("ch", more=LAGGED_SQL.format(1, 4)) + f"SELECT source, target, lag, a.n, {sql_round('greatest(0.0, a.h + b.h - c.h - e.h)', 'te')} FROM {entropy_sql('future, past', 'source, target, lag', 'lg')} a JOIN {entropy_sql('x, past', 'source, target, lag', 'lg')} b USING (source, target, lag) JOIN {entropy_sql('past', 'source, target, lag', 'lg')} c USING (source, target, lag) JOIN {entropy_sql('future, x, past', 'source, target, lag', 'lg')} e USING (source, target, lag)")
 def transfer_entropy(spark, d):
-    return rounded(dependence.transfer_entropy(_codes(spark, d), [1, 2, 3], 720), "te")
+    return rounded(dependence.transfer_entropy(_codes(spark, d), [1, 2, 3], r.record_length(spark, d)), "te")
 
 
 SAMPLE_SQL = "q AS (SELECT quantile_cont(quantity, [0.25, 0.5, 0.75]) AS a, quantile_cont(discount, [0.25, 0.5, 0.75]) AS b, quantile_cont(tax, [0.25, 0.5, 0.75]) AS c, quantile_cont(target, [0.25, 0.5, 0.75]) AS t FROM smp), sc AS (SELECT len([x FOR x IN a IF x <= quantity]) AS quantity, len([x FOR x IN b IF x <= discount]) AS discount, len([x FOR x IN c IF x <= tax]) AS tax, len([x FOR x IN t IF x <= target]) AS target, flag FROM smp, q)"
@@ -301,10 +302,8 @@ def conditional_information(spark, d):
     return rounded(dependence.conditional_information(rows, ["one"], "quantity", "target", "flag").drop("one"), "cmi")
 
 
-@queries.add("shift_null", r.with_views("ch", more=CODES_SQL + """, pr AS (SELECT min(channel) AS s, max(channel) AS t FROM codes),
-sh AS (SELECT unnest(range(1, 720)) AS shift), ok AS (SELECT shift FROM sh WHERE least(shift % 720, 720 - shift % 720) >= 24 AND least((shift + 1) % 720, 720 - (shift + 1) % 720) >= 24),
-sx AS (SELECT shift, x.code AS x, y.code AS y FROM ok, pr, codes x, codes y WHERE x.channel = s AND y.channel = t AND (y.frame - 1 + 720) % 720 = (x.frame + shift) % 720)""") + f"SELECT shift, {sql_round('greatest(0.0, a.h + b.h - c.h)', 'mi')} FROM {entropy_sql('x', 'shift', 'sx')} a JOIN {entropy_sql('y', 'shift', 'sx')} b USING (shift) JOIN {entropy_sql('x, y', 'shift', 'sx')} c USING (shift)")
+@queries.add("shift_null", r.with_views("ch", more=CODES_SQL + """, pr AS (SELECT a.channel AS s, b.channel AS t FROM (SELECT DISTINCT channel FROM codes) a JOIN (SELECT DISTINCT channel FROM codes) b ON a.channel <> b.channel), len AS (SELECT max(frame) + 1 AS n FROM codes),
+sh AS (SELECT n, unnest(range(1, n)) AS shift FROM len), ok AS (SELECT n, shift FROM sh WHERE least(shift % n, n - shift % n) >= 24 AND least((shift + 1) % n, n - (shift + 1) % n) >= 24),
+sx AS (SELECT x.channel AS source, y.channel AS target, shift, x.code AS x, y.code AS y FROM ok JOIN codes x ON true JOIN codes y ON y.frame = (x.frame + shift + 1) % n AND y.channel <> x.channel)""") + f"SELECT source, target, shift, {sql_round('greatest(0.0, a.h + b.h - c.h)', 'mi')} FROM {entropy_sql('x', 'source, target, shift', 'sx')} a JOIN {entropy_sql('y', 'source, target, shift', 'sx')} b USING (source, target, shift) JOIN {entropy_sql('x, y', 'source, target, shift', 'sx')} c USING (source, target, shift)")
 def shift_null(spark, d):
-    codes = _codes(spark, d)
-    ends = codes.agg(F.min("channel"), F.max("channel")).first()
-    return rounded(dependence.shifted_information(codes, ends[0], ends[1], 1, 720, 24).drop("n"), "mi")
+    return rounded(dependence.shifted_information(_codes(spark, d), 1, r.record_length(spark, d), 24), "mi")

@@ -29,17 +29,17 @@ def area_weighted_moments(spark, d):
 
 
 ERR = "sqrt(avg(({f} - {t}) * ({f} - {t})))"
-ERRORS_SQL = f"""SELECT {{keys}}{sql_round('sqrt(avg(e * e))', 'rmse')}, {sql_round('avg(abs(e))', 'mae')}, {sql_round('avg(e)', 'bias')}, {sql_round('sqrt(sum(w * e * e) / sum(w))', 'weighted_rmse')}, {sql_round('sum(w * abs(e)) / sum(w)', 'weighted_mae')}, {sql_round('sum(w * e) / sum(w)', 'weighted_bias')}, {sql_round('CASE WHEN sqrt(avg(e * e)) = 0 THEN 1.0 ELSE sqrt(sum(w * e * e) / sum(w)) / sqrt(avg(e * e)) END', 'effect')} FROM w GROUP BY ALL"""
+ERRORS_SQL = f"""SELECT {{keys}}{sql_round('sqrt(avg(e * e))', 'rmse', digits=4)}, {sql_round('avg(abs(e))', 'mae', digits=4)}, {sql_round('avg(e)', 'bias', digits=4)}, {sql_round('sqrt(sum(w * e * e) / sum(w))', 'weighted_rmse', digits=4)}, {sql_round('sum(w * abs(e)) / sum(w)', 'weighted_mae', digits=4)}, {sql_round('sum(w * e) / sum(w)', 'weighted_bias', digits=4)}, {sql_round('CASE WHEN sqrt(avg(e * e)) = 0 THEN 1.0 ELSE sqrt(sum(w * e * e) / sum(w)) / sqrt(avg(e * e)) END', 'effect', digits=4)} FROM w GROUP BY ALL"""
 
 
 @queries.add("area_weighted_errors", r.with_views("prs", more=f"w AS (SELECT y, {WEIGHT_SQL} AS w, forecast - truth AS e, x FROM prs)") + ERRORS_SQL.replace("{keys}", "x, "))
 def area_weighted_errors(spark, d):
-    return rounded(grids.weighted_errors(r.pairs(spark, d), weight(), "x"), "rmse", "mae", "bias", "weighted_rmse", "weighted_mae", "weighted_bias", "effect")
+    return rounded(grids.weighted_errors(r.pairs(spark, d), weight(), "x"), "rmse", "mae", "bias", "weighted_rmse", "weighted_mae", "weighted_bias", "effect", digits=4)
 
 
-@queries.add("boundary_rings", r.with_views("prs") + f"SELECT least(y, 79 - y, x, 24 - x) AS ring, count(*) AS n, {sql_round('sqrt(avg((forecast - truth) * (forecast - truth)))', 'rmse')}, {sql_round('avg(abs(forecast - truth))', 'mae')} FROM prs GROUP BY 1")
+@queries.add("boundary_rings", r.with_views("prs") + f"SELECT least(y, (SELECT max(y) FROM fld) - y, x, (SELECT max(x) FROM fld) - x) AS ring, count(*) AS n, {sql_round('sqrt(avg((forecast - truth) * (forecast - truth)))', 'rmse')}, {sql_round('avg(abs(forecast - truth))', 'mae')} FROM prs GROUP BY 1")
 def boundary_rings(spark, d):
-    return rounded(grids.boundary_rings(r.pairs(spark, d), 80, 25), "rmse", "mae")
+    return rounded(grids.boundary_rings(r.pairs(spark, d), *r.extent(spark, d)), "rmse", "mae")
 
 
 GRAD_SQL = f"""g AS (SELECT c.y, c.x, (n.value - s.value) / (2 * (6371000.0::DOUBLE * radians(1.0::DOUBLE))) AS north, (e.value - w.value) / (2 * (6371000.0::DOUBLE * cos(radians(c.y - 60.0::DOUBLE)) * radians(2.0::DOUBLE))) AS east

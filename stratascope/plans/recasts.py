@@ -61,6 +61,17 @@ def field(spark, d) -> DataFrame:
     return o.crossJoin(F.broadcast(first)).groupBy((F.col("m") - F.col("first")).alias("y"), "x").agg((F.round(F.sum("o_totalprice"), 2) / 1000).alias("value"))
 
 
+def extent(spark, d) -> tuple[int, int]:
+    """Rows and columns of the field."""
+    last = field(spark, d).agg(F.max("y"), F.max("x")).first()
+    return (last[0] or 0) + 1, (last[1] or 0) + 1
+
+
+def record_length(spark, d) -> int:
+    """Frames of the channels' record."""
+    return (channels(spark, d).agg(F.max("frame")).first()[0] or 0) + 1
+
+
 def pairs(spark, d) -> DataFrame:
     """(y, x, truth, forecast): a cell's revenue, and that of the month before as its forecast."""
     f = field(spark, d)
