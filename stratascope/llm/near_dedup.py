@@ -14,77 +14,74 @@
    few of these classes hold them, two sets that overlap enough share one among their first n - need + 1. Texts of one
    template differ in just these, so they meet only where they agree beyond the template.
 
-A pair of similarity 0.8 shares LEAST = 4 values in one of 16 trees with a chance of 0.9998.
+The trees and LEAST follow from the threshold (``forest``): a pair of similarity 0.8 shares 4 values in one of 16 trees with
+a chance of 0.9998.
 
 Cases: null and empty texts, and texts of white space only, have no set and link with nothing; fewer words than a shingle
 make one shingle of all words; equal sets are linked; rows that repeat a doc_id are judged each by its own text; a null
-doc_id gets the least id of its component, or null; empty tables give empty results. Other columns are not read.
+doc_id gets the least id of its component, or null; empty tables give empty results. Other columns are carried along,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, keeps, packed, tidy, unpacked, written
 from .graph import components
+from .tokens import each, mixed, shingle_sets
 
-TREES, DEPTH, LEAST, WINDOW = 16, 8, 4, 4
+DEPTH, WINDOW = 8, 4
 #: Up to this many ids go to all tasks as a filter; beyond it the documents are joined with them.
 MOST_BROADCAST = 1_000_000
-_MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
+#: The chance that a pair at the threshold shares no tree's prefix, at most, and the trees that this may take.
+MISS, MOST_TREES = 2.5e-4, 32
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """SplitMix64's finish, element by element."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
 
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's word shingles; words end at ASCII white space, A-Z count as a-z."""
-    own = (text or "").encode().lower().split()
-    if not own:
-        return np.empty(0, np.uint64)
-    h = pd.util.hash_array(np.array(own, dtype=object), categorize=len(own) > 64)
-    n = min(words, len(own))
-    out = np.full(len(own) - n + 1, np.uint64(n))
-    for i in range(n):
-        out = _mixed(out * _STEP + h[i : len(own) - n + 1 + i])
-    return np.unique(out)
+def forest(percent: int) -> tuple[int, int]:
+    """How many trees, and how many values of a tree candidates share at least: the more the better, as long as few pairs are missed."""
+    p = min(0.999, max(0.05, percent / 100))
+    for least in range(4, 0, -1):
+        trees = math.ceil(math.log(MISS) / math.log(1 - p**least))
+        if trees <= MOST_TREES or least == 1:
+            return max(4, trees), least
 
 
 def _multipliers(count: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _mixed(np.arange(1, 2 * count + 1, dtype=np.uint64) * _STEP)
-    return base[:count] | np.uint64(1), base[count:]
+    base = (mixed(np.arange(1, 2 * count + 1, dtype=np.uint64) * _STEP) >> np.uint64(32)).astype(np.uint32)
+    return base[:count] | np.uint32(1), base[count:]
 
 
 def signature(shingles: np.ndarray, count: int) -> np.ndarray:
-    """``count`` 32-bit minima of multiply-shift hashes, big-endian so that bytes sort as numbers do."""
+    """``count`` 32-bit minima of linear hashes of the shingles' upper halves, big-endian so that bytes sort as numbers do."""
     a, b = _multipliers(count)
-    low = np.full(count, np.iinfo(np.uint64).max)
-    for at in range(0, len(shingles), 2048):
-        low = np.minimum(low, (shingles[at : at + 2048, None] * a + b).min(axis=0))
-    return (low >> np.uint64(32)).astype(">u4")
+    x, low, room = (shingles >> np.uint64(32)).astype(np.uint32), np.full(count, np.iinfo(np.uint32).max, np.uint32), np.empty((min(512, len(shingles)), count), np.uint32)
+    for at in range(0, len(x), 512):
+        part = x[at : at + 512, None]
+        h = np.multiply(part, a, out=room[: len(part)])
+        h += b
+        np.minimum(low, h.min(axis=0), out=low)
+    return low.astype(">u4")
 
 
 def fingerprint(shingles: np.ndarray) -> bytes:
-    x = shingles
-    return b"".join(int(np.bitwise_xor.reduce(_mixed(x * _MIX1 + k)) ^ _mixed(np.array([len(x)], np.uint64) + k)[0]).to_bytes(8, "big") for k in (_MIX2, _STEP))
+    size = np.array([len(shingles)], np.uint64)
+    return b"".join(int(np.bitwise_xor.reduce(mixed(shingles + k)) ^ mixed(size * _STEP + k)[0]).to_bytes(8, "big") for k in (_STEP, ~_STEP))
 
 
 def _sketches(words: int, count: int) -> Callable:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, nodes, sigs = [], [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), words)
+            for s in shingle_sets(each(batch.column(1)), words):
                 n.append(len(s))
                 nodes.append(fingerprint(s) if len(s) else None)
                 sigs.append(signature(s, count).tobytes() if len(s) else None)
@@ -186,9 +183,9 @@ def candidate_pairs(classes: DataFrame, trees: int, depth: int, least: int, wind
     """a, b, met, a_heads, b_heads: pairs of classes, in how many trees they met, and whether one headed the other's region. ``classes`` has node, n and sig."""
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    planted = classes.mapInArrow(_planted(trees, depth), "tree int, key binary, node binary, n long")
+    planted = classes.mapInArrow(tidy(_planted(trees, depth)), "tree int, key binary, node binary, n long")
     ordered = planted.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    found = written(ordered.mapInArrow(_scan(depth, least, window, True, percent), "part int, at long, tree int, key binary, a binary, b binary, n long, head boolean"), "neighbours")
+    found = written(ordered.mapInArrow(tidy(_scan(depth, least, window, True, percent)), "part int, at long, tree int, key binary, a binary, b binary, n long, head boolean"), "neighbours")
     # A partition's last rows and the next one's first rows, dealt out by boundary; empty partitions have none.
     edge = found.where("b IS NULL").select("part", "at", "tree", "key", F.col("a").alias("node"), "n")
     used = [r[0] for r in edge.select("part").distinct().orderBy("part").collect()]
@@ -235,7 +232,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, linked for pairs of classes, by their full sets."""
     one = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary, linked boolean")
+    return two.select("a", "b", "x", "y").mapInArrow(tidy(_confirm(percent)), "a binary, b binary, linked boolean")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -243,13 +240,14 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+            for at in range(0, batch.num_rows, 256):
+                sets = list(shingle_sets(batch.column(1).slice(at, 256).to_pylist(), words))
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
     ids = wanted.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
     chosen = docs.alias("d").join(ids.alias("i"), F.expr("d.doc_id <=> i.doc_id"), "left_semi")
-    made = chosen.mapInArrow(make, "node binary, shingles binary")
+    made = chosen.mapInArrow(tidy(make), "node binary, shingles binary")
     return made.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
@@ -324,7 +322,7 @@ def rare_pairs(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Shingles are in order of how many of the classes hold them. Two sets of n and m shingles that share ``need`` of them
     share one among the first n - need + 1 of the one and m - need + 1 of the other.
     """
-    rows = sets.select("node", "shingles").mapInArrow(_set_rows, "node binary, shingle long")
+    rows = sets.select("node", "shingles").mapInArrow(tidy(_set_rows), "node binary, shingle long")
     shared = written(rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"), "shared-shingles")
     place = F.array_sort(F.collect_list(F.struct("held", "shingle")))  # the shingles of one text
     by_class = rows.join(shared, "shingle").groupBy("node").agg(place.alias("own")).join(crowded.select("node", "n", "label"), "node")
@@ -358,33 +356,46 @@ def joined_regions(docs: DataFrame, classes: DataFrame, labels: DataFrame, words
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", trees: int = TREES, depth: int = DEPTH, least: int = LEAST, window: int = WINDOW) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", trees: int | None = None, depth: int = DEPTH, least: int | None = None, window: int = WINDOW) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
     Documents whose sets overlap in ``percent`` of their union or more are linked; component_id is the least doc_id that
-    links lead to, and the document with that id is kept.
+    links lead to, and the document with that id is kept. The forest's size follows from ``percent`` unless it is given.
     """
+    trees, least = trees or forest(percent)[0], least or forest(percent)[1]
     pairs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    sketches = written(pairs.mapInArrow(_sketches(words, trees * depth), "doc_id long, n long, node binary, sig binary"), "sketches")
+    sketches = written(pairs.mapInArrow(tidy(_sketches(words, trees * depth)), "doc_id long, n long, node binary, sig binary"), "sketches")
     classes = written(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("sig").alias("sig")), "classes")
     candidates = candidate_pairs(classes, trees, depth, least, window, percent)
     wanted = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
     wanted = written(classes.select("node", "doc_id").join(wanted, "node"), "wanted")
     sets = written(_full_sets(pairs, wanted, words), "sets")
     none = classes.sparkSession.createDataFrame([], "node binary, component binary")
-    labels = none if candidates.isEmpty() else linked_components(candidates, sets, percent)
-    drop_written(sets, wanted)
-    labels = joined_regions(pairs, classes, labels, words, percent, trees, depth, least)
+    first = none if candidates.isEmpty() else linked_components(candidates, sets, percent)
+    drop_written(sets, wanted, candidates)
+    labels = joined_regions(pairs, classes, first, words, percent, trees, depth, least)
     named = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(least_id, "component").select("node", "component_id")
-    of_class = written(of_class, "components")
+    of_class = written(named.join(least_id, "component").select("node", "component_id"), "components")
+    drop_written(classes, first, labels)
     out = sketches.select("doc_id", "n", "node").join(of_class, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return keeps(out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept")), sketches, of_class)
 
 
 def near_unique(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns: one document of each group."""
-    gone = written(near_duplicates(docs, words, percent, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("gone_")).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, F.col(f"`{doc_id}`").cast("long") == F.col("gone_"), "left_anti")
+    """The rows of ``docs`` that are kept, with their own columns: one row of each group, the one with the least doc_id.
+
+    Each row is judged by its own text, also where rows share an id or have none; of rows alike in a group one stays.
+    """
+    rows = written(packed(docs, rid=F.monotonically_increasing_id(), doc_id=F.col(f"`{doc_id}`").cast("long"), text=F.col(f"`{text}`").cast("string")), "rows")
+    found = near_duplicates(rows.select("rid", "text"), words, percent, "rid", "text")
+    groups = found.where("component_id IS NOT NULL").select(F.col("doc_id").alias("rid"), "component_id")
+    groups = written(groups.join(groups.where("rid <> component_id").select("component_id").distinct(), "component_id", "left_semi"), "groups")
+    drop_written(found)
+    named = groups.join(rows.select("rid", "doc_id"), "rid")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))
+    gone = written(named.join(first, "component_id").where("rid <> first.rid").select("rid"), "gone")
+    drop_written(groups)
+    few = gone.count() <= MOST_BROADCAST
+    return keeps(unpacked(rows.select("row", "rid").join(F.broadcast(gone) if few else gone, "rid", "left_anti")), rows, gone)

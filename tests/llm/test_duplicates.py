@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -56,13 +57,13 @@ def test_lines_against_brute_force(spark, make_docs, monkeypatch):
     first: dict[str, tuple[int, int]] = {}
     for i, text, _ in docs:
         for k, line in enumerate(text.split("\n")):
-            if len(line.strip()) >= 20:
+            if line.strip():
                 first.setdefault(line.strip(), (i, k))
     names = list(first)
     label = list(range(len(names)))
     for i in range(len(names)):
         for j in range(i):
-            if abs(len(names[i]) - len(names[j])) <= 2 and plain_distance(names[i], names[j]) <= 2:
+            if min(len(names[i]), len(names[j])) >= 20 and abs(len(names[i]) - len(names[j])) <= 2 and plain_distance(names[i], names[j]) <= 2:
                 old, new = label[i], label[j]
                 label = [new if x == old else x for x in label]
     head = {c: min(first[names[i]] for i in range(len(names)) if label[i] == c) for c in set(label)}
@@ -71,9 +72,44 @@ def test_lines_against_brute_force(spark, make_docs, monkeypatch):
     got = line_dedup.repeated_lines(make_docs(docs)).collect()
     assert {(r["doc_id"], r["line_no"]) for r in got} == want and len(got) == len(want)
     monkeypatch.setattr(line_dedup, "MOST", 3)  # large groups are dealt out in blocks
+    monkeypatch.setattr(line_dedup, "FEW", 2)  # and cut again
     assert {(r["doc_id"], r["line_no"]) for r in line_dedup.repeated_lines(make_docs(docs)).collect()} == want
 
 
+@pytest.mark.parametrize("few", [2, 8])
+def test_groups_cut_again_against_brute_force(few, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    for seed in range(12):
+        rnd = random.Random(seed)
+        digits = lambda n: "".join(rnd.choice("01") for _ in range(n))
+        shape = rnd.choice([lambda: f"item {digits(6)} costs {digits(3)} today", lambda: digits(rnd.randrange(3, 9)), lambda: f"ab{digits(4)}{'ab' * rnd.randrange(4)}{digits(2)}"])
+        texts = sorted({edited(rnd, shape(), rnd.randrange(2)) or "x" for _ in range(60)})
+        label, got = list(range(len(texts))), list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                if plain_distance(texts[i], texts[j]) <= 2:
+                    label = [label[j] if x == label[i] else x for x in label]
+        links = line_dedup.group_links(texts, np.ones(len(texts), bool), 2)
+        for i, j in links:
+            assert plain_distance(texts[i], texts[j]) <= 2
+            got = [got[j] if x == got[i] else x for x in got]
+        assert len(links) == len(texts) - len(set(label)) and len(set(zip(label, got))) == len(set(label))
+
+
+@pytest.mark.parametrize("shape", ["order number {a:08d} was shipped", "user {a:05d} signed in from {b:06d} on node {c:04d} today", "{a:06d}{b:06d} and no more than that"])
+def test_many_lines_of_one_template(shape):
+    rnd = random.Random(1)
+    texts = list(dict.fromkeys(shape.format(a=rnd.randrange(10**5 if "user" in shape else 10**6 if "more" in shape else 10**8), b=rnd.randrange(10**6), c=rnd.randrange(10**4)) for _ in range(50_000)))
+    began = time.process_time()
+    line_dedup.group_links(texts, np.ones(len(texts), bool), 2)
+    assert time.process_time() - began < 60
+
+
+def test_short_lines_repeat_exactly(spark, make_docs):
+    docs = make_docs([(1, "yes\n\nno, not", "a"), (2, "yes\n\nyet", "a"), (3, "yes", "a"), (4, "no, no", "b")])
+    assert {(r["doc_id"], r["text"]) for r in line_dedup.without_repeats(docs).collect()} == {(1, "yes\n\nno, not"), (2, "\nyet"), (4, "no, no")}
+
+
 def test_lines_of_odd_rows(spark, make_docs, odd_rows):
     docs = make_docs([*odd_rows, (8, "a line that is long enough to count\nand another one, quite long too", "a"), (9, "a line that is long enough to count", "a")])
     left = line_dedup.without_repeats(docs)
@@ -86,14 +122,15 @@ def words(text: str | None, n: int) -> frozenset:
     return frozenset(tuple(own[i : i + n]) for i in range(len(own) - n + 1)) if len(own) >= n else frozenset([tuple(own)] if own else [])
 
 
-def test_near_duplicates_against_brute_force(spark, make_docs):
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_near_duplicates_against_brute_force(spark, make_docs, percent):
     rnd = random.Random(6)
     vocabulary = [f"w{i}" for i in range(400)]
     docs = []
     for i in range(150):
         if i % 3 and docs:
             own = rnd.choice(docs)[1].split()
-            for _ in range(rnd.randrange(4)):
+            for _ in range(rnd.randrange(4 if percent == 80 else 9)):
                 own[rnd.randrange(len(own))] = rnd.choice(vocabulary).upper()
         else:
             own = [rnd.choice(vocabulary) for _ in range(rnd.randrange(3, 200))]
@@ -103,11 +140,11 @@ def test_near_duplicates_against_brute_force(spark, make_docs):
     for i in range(len(docs)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 old, new = label[i], label[j]
                 label = [new if x == old else x for x in label]
     least = {c: min(i for i in range(len(docs)) if label[i] == c) for c in set(label)}
-    got = near_dedup.near_duplicates(make_docs(docs), words=4).collect()
+    got = near_dedup.near_duplicates(make_docs(docs), words=4, percent=percent).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(sets[i]), least[label[i]], least[label[i]] == i) for i in range(len(docs))}
 
 
@@ -129,10 +166,28 @@ def test_near_duplicates_of_odd_rows(spark, make_docs, odd_rows):
     docs = make_docs(odd_rows)
     got = near_dedup.near_duplicates(docs).collect()
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == sorted([("1", "1"), ("2", "2"), ("3", "3"), ("3", "3"), ("4", "4"), ("5", "5"), ("None", "None"), ("7", "3")])
-    assert near_dedup.near_unique(docs).columns == docs.columns and near_dedup.near_unique(docs).count() == 7
+    assert near_dedup.near_unique(docs).columns == docs.columns and near_dedup.near_unique(docs.limit(0)).count() == 0
+    assert sorted(str(r["doc_id"]) for r in near_dedup.near_unique(docs).collect()) == ["1", "2", "3", "4", "5", "None"]
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_unique_judges_rows_by_their_own_text(spark):
+    words_ = [f"w{i}" for i in range(60)]
+    text = " ".join(words_)
+    rows = [(5, "another text that stands alone here", 1), (5, text + " more", 2), (3, text, 3), (None, text + " else", 4), (9, "quite another text of no id", 5), (None, "no id and no copy", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rid long").withColumnsRenamed({})
+    kept = near_dedup.near_unique(docs)
+    assert kept.columns == docs.columns and sorted(r["rid"] for r in kept.collect()) == [1, 3, 5, 6]
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(2)
+    both, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))
+    x, y = (near_dedup.signature(np.concatenate((both, own)), 2048) for own in (a, b))
+    assert abs((x == y).mean() - 0.8) < 0.03
+    assert near_dedup.forest(80) == (16, 4) and near_dedup.forest(60)[1] == 2
+
+
 def test_one_row_partitions_still_meet():
     rng = np.random.default_rng(3)
     keys = np.sort(rng.integers(0, 3, size=(40, 8)).astype(">u4").view("S32").ravel())
