@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset one of our own, if everything runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: driver and executors share no folder")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -37,14 +39,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stratascope/{name}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    goes_at_exit(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
+def goes_at_exit(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def keeps(df: DataFrame, *frames: DataFrame | None) -> DataFrame:
     """``df``, which reads these written frames: dropping it drops them."""
     df._written_reads = frames
