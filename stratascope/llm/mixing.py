@@ -7,8 +7,8 @@ next 12 bits within the one bucket where the target falls, and so on until that
 sorted by hash, and every histogram has at most 4,096 rows a source.
 
 Cases: a null text has no words; a null source is a source of its own, last in order; sources without words have target
-0; rows alike in id and text share one hash and are taken or left together, whichever comes nearer to the target; an
-empty table gives an empty result. Columns of the input never clash with those used here.
+0; rows alike in id and text share one hash: where a threshold falls on it, as many of them are taken as come nearest to
+the target; an empty table gives an empty result. Columns of the input never clash with those used here.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import count_words, drop_written, packed, unpacked, written
+from .common import count_words, drop_written, keeps, packed, unpacked, written
 
 HASH_BITS, LEVEL_BITS = 60, 12
 
@@ -58,10 +58,10 @@ def source_targets(sizes: DataFrame, cycle: Sequence[int], share: float, cap: in
 
 
 def source_thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, source_size, target, copies, threshold, at_threshold: what ``copies_of`` needs.
+    """source, source_size, target, copies, threshold, ties and take.
 
-    ``slim`` has source, size and h. A document gets ``copies`` copies, one more below the threshold, and one more at it
-    if at_threshold.
+    ``slim`` has source, size and h. A document gets ``copies`` copies, one more below the threshold, and so do ``take`` of
+    the ``ties`` rows at it.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = written(targets.withColumn("copies", whole).withColumn("rest", F.when(F.col("source_size") > 0, F.col("target") - F.col("copies") * F.col("source_size")).otherwise(0.0)), "targets")
@@ -69,12 +69,12 @@ def source_thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
     for level in range(1, HASH_BITS // LEVEL_BITS + 1):
         shift = HASH_BITS - LEVEL_BITS * level
         inside = slim.alias("d").join(open_.alias("o"), F.expr("d.source <=> o.source") & (F.shiftright("d.h", shift + LEVEL_BITS) == F.col("o.prefix")))
-        buckets = inside.groupBy("o.source", "o.rest", "o.below", F.shiftright("d.h", shift).alias("bucket")).agg(F.sum("d.size").alias("words"), F.min("d.h").alias("low"), F.max("d.h").alias("high"))
+        buckets = inside.groupBy("o.source", "o.rest", "o.below", F.shiftright("d.h", shift).alias("bucket")).agg(F.sum("d.size").alias("words"), F.min("d.h").alias("low"), F.max("d.h").alias("high"), F.count("*").alias("ties"))
         upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))  # at most 4,096 rows a source
         edge = buckets.withColumn("upto", F.col("below") + upto).where("upto >= rest and upto - words < rest")
-        edge = written(edge.select("source", "rest", F.col("bucket").alias("prefix"), (F.col("upto") - F.col("words")).alias("below"), "words", "low", "high"), "edges")
+        edge = written(edge.select("source", "rest", F.col("bucket").alias("prefix"), (F.col("upto") - F.col("words")).alias("below"), "words", "low", "high", "ties"), "edges")
         used.append(edge)
-        found.append(edge.where("low = high").select("source", F.col("low").alias("threshold"), (F.col("below") + F.col("words") - F.col("rest") < F.col("rest") - F.col("below")).alias("at_threshold")))
+        found.append(edge.where("low = high").select("source", F.col("low").alias("threshold"), "ties", F.ceil((F.col("rest") - F.col("below")) / (F.col("words") / F.col("ties")) - 0.5).cast("long").alias("take")))
         open_ = edge.where("low < high").select("source", "rest", "prefix", "below")
         if open_.isEmpty():
             break
@@ -82,33 +82,58 @@ def source_thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
     for more in found[1:]:
         edges = edges.unionByName(more)
     out = plan.alias("p").join(edges.alias("e"), F.expr("p.source <=> e.source"), "left")
-    out = written(out.select("p.source", "source_size", "target", "copies", F.coalesce("threshold", F.lit(-1)).alias("threshold"), F.coalesce("at_threshold", F.lit(False)).alias("at_threshold")), "thresholds")
+    out = written(out.select("p.source", "source_size", "target", "copies", F.coalesce("threshold", F.lit(-1)).alias("threshold"), F.coalesce("ties", F.lit(0)).alias("ties"), F.coalesce("take", F.lit(0)).alias("take")), "thresholds")
     drop_written(plan, *used)
     return out
 
 
-def planned(docs: DataFrame, cycle: Sequence[int], share: float, cap: int, doc_id: str, text: str, source: str) -> DataFrame:
-    """row (the document), size, source_size, target and n (the document's copies)."""
-    keyed = packed(docs, source=F.col(f"`{source}`"), size=count_words(F.col(f"`{text}`")), h=document_hash(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
-    slim = written(keyed.drop("row"), "sizes")
+SALTS = 1024
+
+
+def _ties(slim: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """rid of the rows taken where only some of those alike at a threshold are; each source's are dealt over SALTS groups."""
+    split = thresholds.where("take > 0 AND take < ties").select("source", "threshold", "take")
+    at = slim.alias("d").join(split.alias("t"), F.expr("d.source <=> t.source AND d.h = t.threshold")).select(F.struct("d.source").alias("s"), "rid", "take", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).alias("salt"))
+    counts = at.groupBy("s", "salt", "take").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("s").orderBy("salt")) - F.col("n")  # SALTS rows a source
+    share = counts.select(F.col("s").alias("s_"), F.col("salt").alias("salt_"), (F.col("take") - before).alias("share"))
+    each = at.withColumn("i", F.row_number().over(Window.partitionBy("s", "salt").orderBy("rid")))
+    return each.join(share, F.expr("s = s_ AND salt = salt_ AND i <= share")).select("rid")
+
+
+def _copies(rows: DataFrame, cycle: Sequence[int], share: float, cap: int) -> DataFrame:
+    """``rows`` (with rid, source, size and h) with source_size, target and n, the row's copies."""
+    slim = rows.select("rid", "source", "size", "h")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     thresholds = source_thresholds(slim, source_targets(sizes, cycle, share, cap))
-    drop_written(slim)
-    extra = (F.col("h") < F.col("threshold")) | ((F.col("h") == F.col("threshold")) & F.col("at_threshold"))
-    joined = keyed.alias("d").join(thresholds.alias("t"), F.expr("d.source <=> t.source"))
-    return joined.select("row", "size", "source_size", "target", (F.col("copies") + extra.cast("long")).alias("n"))
+    out = rows.alias("d").join(thresholds.alias("t"), F.expr("d.source <=> t.source")).select("d.*", "source_size", "target", "copies", "threshold", "ties", "take")
+    extra = (F.col("h") < F.col("threshold")) | ((F.col("h") == F.col("threshold")) & (F.col("take") >= F.col("ties")))
+    if thresholds.where("take > 0 AND take < ties").isEmpty():
+        chosen = None
+    else:
+        chosen = written(_ties(slim, thresholds), "ties")
+        out = out.join(chosen.withColumn("chosen", F.lit(True)), "rid", "left")
+        extra = extra | F.coalesce("chosen", F.lit(False))
+    return keeps(out.withColumn("n", F.col("copies") + extra.cast("long")), rows, thresholds, chosen)
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str, source: str) -> dict:
+    return {"rid": F.monotonically_increasing_id(), "source": F.col(f"`{source}`"), "size": count_words(F.col(f"`{text}`")), "h": document_hash(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))}
 
 
 def mix_plan(docs: DataFrame, cycle: Sequence[int] = (5, 2, 1), share: float = 1.0, cap: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (size times copies) of every document."""
-    out = planned(docs, cycle, share, cap, doc_id, text, source)
-    return out.select(F.col(f"row.`{doc_id}`").alias("doc_id"), F.col(f"row.`{source}`").alias("source"), "size", "source_size", "target", F.col("n").alias("copies"), (F.col("size") * F.col("n")).alias("taken"))
+    keys = _keyed(docs, doc_id, text, source)
+    rows = written(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *[c.alias(k) for k, c in keys.items()]), "sizes")
+    out = _copies(rows, cycle, share, cap)
+    return keeps(out.select("doc_id", "source", "size", "source_size", "target", F.col("n").alias("copies"), (F.col("size") * F.col("n")).alias("taken")), out)
 
 
 def mixed(docs: DataFrame, cycle: Sequence[int] = (5, 2, 1), share: float = 1.0, cap: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it."""
-    out = planned(docs, cycle, share, cap, doc_id, text, source)
-    return unpacked(out.where("n > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))))
+    rows = written(packed(docs, **_keyed(docs, doc_id, text, source)), "rows")
+    out = _copies(rows, cycle, share, cap)
+    return keeps(unpacked(out.where("n > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))))), out)
 
 
 #: DuckDB's form of ``mix_plan`` with the default parameters, for a relation named by {docs}.
@@ -123,8 +148,8 @@ level_ AS (SELECT rest, ws FROM levels_ WHERE w * rest / ws <= 3 * source_size O
 targets_ AS (SELECT source, source_size, least(3 * source_size::DOUBLE, w::DOUBLE * rest / ws::DOUBLE) AS target FROM sources_, level_),
 plans_ AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies_ FROM targets_),
 sums_ AS (SELECT d.*, p.source_size, p.target, p.copies_, CASE WHEN p.source_size > 0 THEN p.target - p.copies_ * p.source_size ELSE 0 END AS rest,
-    sum(size_) OVER (PARTITION BY d.source ORDER BY h_ RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-    coalesce(sum(size_) OVER (PARTITION BY d.source ORDER BY h_ RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+    sum(size_) OVER (PARTITION BY d.source ORDER BY h_ ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+    coalesce(sum(size_) OVER (PARTITION BY d.source ORDER BY h_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
     FROM docs_ d JOIN plans_ p ON d.source IS NOT DISTINCT FROM p.source),
 mixed_ AS (SELECT *, copies_ + CASE WHEN rest > 0 AND (upto < rest OR (below < rest AND upto - rest < rest - below)) THEN 1 ELSE 0 END AS n_ FROM sums_)
 """

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import duckdb
 from compare import duck, rows
 
 from stratascope.llm import mixing, queries, url_filter
@@ -26,6 +27,18 @@ def test_mix_comes_near_its_targets(spark, make_docs):
     assert rows(got) == rows(again)
 
 
+def test_rows_alike_are_split(spark, make_docs):
+    docs = make_docs([(1, "a b c d", "hot")] * 1000 + [(i, "a b " * (i % 3 + 1), f"s{i % 4}") for i in range(2, 300)])
+    got = mixing.mix_plan(docs).toPandas()
+    for _, g in got.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= g["size"].max()
+    db = duckdb.connect()
+    frame = docs.select("doc_id", "text", "source").toPandas()
+    want = db.sql(f"WITH {mixing.MIX_SQL.format(docs='frame')} SELECT doc_id, source, size_ AS size, source_size, target, n_::BIGINT AS copies, (size_ * n_)::BIGINT AS taken FROM mixed_").df()
+    assert len(frame) == len(got) and rows(got) == rows(want)
+    assert sorted(r["doc_id"] for r in mixing.mixed(docs).collect()) == sorted(i for i, n in zip(got["doc_id"], got["copies"]) for _ in range(n))
+
+
 def test_larger_shares_hold_smaller_ones(spark, make_docs):
     docs = make_docs([(i, "w " * 5, "one") for i in range(300)])
     small, large = ({r["doc_id"] for r in mixing.mix_plan(docs, share=s).where("taken > 0").collect()} for s in (0.3, 0.6))
@@ -63,3 +76,13 @@ def test_vocabulary_against_regex(spark):
     for r in got:
         u = urls[r["page_id"]]
         assert r["strict_terms"] == [t for t in ("ab", "ca") if bounded(t, u)] and r["soft_terms"] == [t for t in ("a-b", "b", "cc") if bounded(t, u)]
+
+
+def test_vocabulary_from_a_table_and_odd_pages(spark):
+    terms = spark.createDataFrame([("Bad", "strict", None), ("meh", "soft", 0.5), ("MEH", "soft", 1.0), ("so", "soft", None), (None, "soft", 1.0), ("x", None, 1.0)], "term string, kind string, weight double")
+    policy = url_filter.policy_from(terms)
+    assert policy.strict == ("bad",) and policy.soft == {"meh": 1.0, "so": 1.0}
+    pages = spark.createDataFrame([(1, "http://a.org/meh/so", "v", "r"), (2, "http://a.org/meh/meh", None, "r"), (3, None, "v", "r"), (1, "http://bad.org", "v", "r")], "page_id long, url string, verdict string, rule string")
+    assert [r["verdict"] for r in url_filter.url_verdicts(pages, policy).orderBy("page_id", "host").collect()] == ["block", "block", "allow", "allow"]
+    assert url_filter.allowed_pages(pages, policy).columns == pages.columns and url_filter.allowed_pages(pages, policy).count() == 2
+    assert url_filter.url_verdicts(pages.limit(0), policy).count() == 0
