@@ -26,14 +26,14 @@ MOST_TERMS = 200_000
 
 # fixed values: default vocabulary
 STRICT = ("casino", "escort", "gambling", "hentai", "poker", "porn", "viagra", "warez", "xxx")
-SOFT = ("adult", "bet", "bonus", "cheap", "crack", "dating", "diet", "farm", "free", "jackpot", "loan", "nude", "pills", "sex", "slots", "spam", "win")
+SOFT = {"adult": 1.5, "bet": 1.5, "bonus": 1.0, "cheap": 1.0, "crack": 1.0, "dating": 1.0, "diet": 1.0, "farm": 1.0, "free": 1.0, "jackpot": 1.5, "loan": 1.0, "nude": 1.5, "pills": 1.0, "sex": 1.5, "slots": 1.5, "spam": 1.0, "win": 1.0}
 
 
 @dataclass(frozen=True)
 class UrlPolicy:
     rules: Sequence[Rule] = ()
     strict: Sequence[str] = STRICT
-    soft: Mapping[str, float] = field(default_factory=lambda: dict.fromkeys(SOFT, 1.0))
+    soft: Mapping[str, float] = field(default_factory=lambda: dict(SOFT))
     soft_limit: float = 2.0
 
     def __post_init__(self):
@@ -41,6 +41,19 @@ class UrlPolicy:
             raise ValueError(f"a policy holds at most {MOST_TERMS} rules and terms")
 
 
+def policy_from(terms: DataFrame, rules: Sequence[Rule] = (), soft_limit: float = 2.0) -> UrlPolicy:
+    """A policy whose vocabulary is a table: term, kind (strict or soft) and the weight of soft terms.
+
+    Null terms and kinds are left out, and of several weights for a term the largest counts; more than MOST_TERMS terms are
+    refused before any is fetched.
+    """
+    own = terms.where("term IS NOT NULL AND term <> '' AND kind IN ('strict', 'soft')").groupBy(lower_ascii(F.col("term")).alias("term"), "kind").agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("weight"))
+    if own.count() > MOST_TERMS:
+        raise ValueError(f"a policy holds at most {MOST_TERMS} rules and terms")
+    rows = own.collect()  # MOST_TERMS at most
+    return UrlPolicy(rules, tuple(sorted(r["term"] for r in rows if r["kind"] == "strict")), {r["term"]: float(r["weight"]) for r in sorted(rows) if r["kind"] == "soft"}, soft_limit)
+
+
 def after_scheme(url: Column) -> Column:
     at = F.instr(url, "://")
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")

@@ -22,9 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_written, written
+from .common import drop_written, keeps, tidy, written
 
 FIRST_BITS, NEXT_BITS = 10, 8
+FOUND = "query_id long, vec_id long, score long"
 NONE = np.iinfo(np.int64).min
 
 
@@ -88,7 +89,7 @@ def _histogram(vectors: DataFrame, given, scale: int, k: int, shift: int, bits:
         r, b = np.nonzero((counts > 0) & (above < k))
         yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(b + low, pa.int64()), pa.array(counts[r, b], pa.int64())], ["query", "bin", "n"])
 
-    return vectors.mapInArrow(count, "query long, bin long, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+    return vectors.mapInArrow(tidy(count), "query long, bin long, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
 
 
 def _edges(histogram: DataFrame, need: DataFrame) -> list:
@@ -108,7 +109,7 @@ def top_k(table: DataFrame, queries: Column, k: int = 10, scale: int = 1024, vec
     slices = max(1, -(-n // slice_rows))
     asking = asking.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)))
     largest = vectors.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))), F.max(F.size("vector"))).first()
-    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    found = []  # each slice's result is a table of its own, so that the plan stays as short for many slices as for one
     for i in range(slices if n else 0):
         rows = asking.where(F.col("slice") == i).select("vec_id", "vector").toArrow()  # about slice_rows rows
         if not rows.num_rows:
@@ -136,9 +137,11 @@ def top_k(table: DataFrame, queries: Column, k: int = 10, scale: int = 1024, vec
             shift = max(0, shift - NEXT_BITS)
         kth = np.where(short, NONE + 1, state[0])
         given = spark.sparkContext.broadcast((q_ids, q, kth, k - state[1]))
-        out = out.unionByName(vectors.mapInArrow(_chosen(given, scale), "query_id long, vec_id long, score long"))
+        found.append(written(vectors.mapInArrow(tidy(_chosen(given, scale)), FOUND), "found"))
+    drop_written(asking)
+    out = spark.read.schema(FOUND).parquet(*[f._written_path for f in found]) if found else spark.createDataFrame([], FOUND)
     drop = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(drop)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return keeps(out.withColumn("rank", F.row_number().over(drop)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), *found)
 
 
 def _chosen(given, scale: int):
