@@ -211,6 +211,45 @@ def test_audio_finds_a_shared_passage(spark):
     assert audio.recording_classes(audio.fingerprints(df.limit(0), audio.tones, "text", audio.TONES)).count() == 0
 
 
+def test_audio_of_odd_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h i j k l " * 4, 5, 6, 7), (2, None, 5, 6, 7), (1, "x " * 70_000, 5, 6, 7)], "id long, text string, node int, offset int, prints int")
+    got = audio.recording_classes(audio.fingerprints(df, audio.tones, "text", audio.TONES))
+    assert len(set(got.columns)) == len(got.columns) and got.count() == 3 and got.where("node IS NULL").count() == 1
+
+
+def test_fingerprints_together_and_alone():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(str(x) for x in rng.integers(0, 99, n)) for n in (30, 0, 3, 200, 9)]
+    recordings = [audio.tones(t) for t in texts]
+    for own, r in zip(audio.prints_of(recordings, audio.TONES), recordings):
+        assert np.bitwise_count(own ^ audio.prints_of([r], audio.TONES)[0]).sum() <= 2
+
+
+def test_alignments_against_brute_force(spark):
+    """All pairs of fingerprints that share a posted hash and a long enough stretch end in one class, and no others."""
+    rng = np.random.default_rng(11)
+    new = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    passages = [new(30) for _ in range(6)]
+    rows = []
+    for i in range(40):
+        p = passages[rng.integers(6)][rng.integers(8) :][: rng.integers(6, 31)].copy()
+        p[rng.random(len(p)) < 0.1] ^= np.uint32(5)
+        rows.append((f"r{i:02}", np.concatenate([new(rng.integers(3, 12)), p, new(rng.integers(3, 12))])))
+    label = {k: k for k, _ in rows}
+    for a, (x, p) in enumerate(rows):
+        for y, q in rows[:a]:
+            best = max(audio.shared_passage(q, p, o)[1] for o in range(-len(p), len(q)))
+            if best >= audio.LEAST_FRAMES:
+                label = {k: min(label[x], label[y]) if v in (label[x], label[y]) else v for k, v in label.items()}
+    links = audio.aligned(spark.createDataFrame([(k, bytearray(p.tobytes())) for k, p in rows], "node string, prints binary")).collect()
+    got = {k: k for k, _ in rows}
+    for r in links:
+        low = min(got[r["node"]], got[r["other"]])
+        got = {k: low if v in (got[r["node"]], got[r["other"]]) else v for k, v in got.items()}
+    pairs = lambda own: {(x, y) for x in own for y in own if x < y and own[x] == own[y]}
+    assert pairs(got) <= pairs(label) and len(pairs(got)) >= 0.9 * len(pairs(label)) > 20
+
+
 def test_audio_passage_behind_short_leaders(spark):
     rng = np.random.default_rng(5)
     new = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
