@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratascope.llm import byte_bpe, line_dedup, mixing, near_dedup, queries, toxicity
-from stratascope.llm.common import drop_written, table, written
+from stratascope.llm.common import drop_written, keeps, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in an earlier document, but for two edits, go; n_chars follows the text."""
     kept = line_dedup.without_repeats(docs, edits=2, least_chars=20)
-    return kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    return keeps(kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns), kept)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     before: DataFrame | None = None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        drop_written(before)
+        made = stage(spark, docs, sf_dir)
+        docs = written(made, f"stage-{name}")
+        drop_written(made, before)
         before = docs
     return docs
