@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,15 +66,59 @@ def ratio_margin(distances: DataFrame, most: float) -> DataFrame:
     return two.where("_i = 1 AND _next > 0").select("left", "right", "distance", (F.col("distance") / F.col("_next")).alias("ratio")).where(F.col("ratio") <= most)
 
 
+def nearest_values(left: DataFrame, right: DataFrame, count: int, *keys: str) -> DataFrame:
+    """left, right, distance, next: the nearest rights (keys, id, value) of each left, ties by id; ``count`` is 1 or 2.
+
+    Sorted by value, a left's nearest rights stand next to it: the two values below or equal, the two above, and the two
+    least ids of each. Nothing is compared beyond those. ``next`` is the distance to the second nearest.
+    """
+    at_value = Window.partitionBy(*keys, "value").orderBy("id")
+    few = right.where("value IS NOT NULL").withColumn("i", F.row_number().over(at_value)).where("i <= 2").groupBy(*keys, "value").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    here, in_order = F.struct("value", "ids"), Window.partitionBy(*keys).orderBy("value")
+    rows = few.select(*keys, "value", F.lit(0).alias("side"), here.alias("here"), F.lag(here).over(in_order).alias("before"), F.lead(here).over(in_order).alias("after"))
+    asking = left.where("value IS NOT NULL").select(*keys, "value", F.lit(1).alias("side"), F.col("id").alias("left"))
+    both = rows.unionByName(asking, allowMissingColumns=True)
+    seen = F.when(F.col("side") == 0, F.struct("here", "before", "after"))
+    up = Window.partitionBy(*keys).orderBy("value", "side").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys).orderBy(F.desc("value"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("low", F.last(seen, ignorenulls=True).over(up)).withColumn("high", F.last(seen, ignorenulls=True).over(down)).where("side = 1")
+    each = lambda c: F.coalesce(F.transform(c["ids"], lambda i: F.struct(F.round(F.abs(c["value"] - F.col("value")), 6).alias("distance"), i.alias("right"))), F.array())
+    near = F.array_sort(F.concat(each(F.col("low.here")), each(F.col("low.before")), each(F.col("high.here")), each(F.col("high.after"))))
+    found = met.select(*keys, "left", near.alias("near"))
+    return found.select(*keys, "left", F.posexplode(F.slice("near", 1, count)).alias("at", "n"), F.try_element_at("near", F.lit(2))["distance"].alias("next")).select(*keys, "left", "n.right", "n.distance", "next")
+
+
+def mutual_nearest_values(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """left, right, distance of pairs that are each other's nearest by value."""
+    there = nearest_values(left, right, 1, *keys).select("left", "right", "distance")
+    back = nearest_values(right, left, 1, *keys).select(F.col("left").alias("right"), F.col("right").alias("left"))
+    return there.join(back, ["left", "right"])
+
+
+def ratio_margin_values(left: DataFrame, right: DataFrame, most: float, *keys: str) -> DataFrame:
+    """left, right, distance, ratio where the nearest by value is at most ``most`` times as far as the second nearest."""
+    return nearest_values(left, right, 1, *keys).where("next > 0").select("left", "right", "distance", (F.col("distance") / F.col("next")).alias("ratio")).where(F.col("ratio") <= most)
+
+
 def features_within(fixes: DataFrame, features: DataFrame, radius_km: float, *keys: str) -> DataFrame:
     """id, n, nearest_km of the features (lat, lon) within a radius of each fix at the same keys; fixes without any stay.
 
-    Both sides are dealt into latitude bands as wide as the radius, so that a fix meets three bands only.
+    Both sides are dealt into latitude bands as wide as the radius, and within a band into cells of longitude that are no
+    narrower than the radius can reach there, so that a fix meets nine cells; bands near a pole are one cell.
     """
     band = radius_km / 111.0
-    f = fixes.select(*keys, "id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(F.sequence(F.floor(F.col("lat") / band) - 1, F.floor(F.col("lat") / band) + 1)).alias("_band"))
-    g = features.select(*keys, "lat", "lon", F.floor(F.col("lat") / band).alias("_band"))
-    met = f.join(g, [*keys, "_band"]).withColumn("km", great_circle_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))).where(F.col("km") <= radius_km)
+    reach = math.radians(band)
+
+    def cells(at: Column) -> Column:
+        edge = F.radians(F.greatest(F.abs(at), F.abs(at + 1)) * band + band)
+        wide = F.degrees(F.asin(F.least(F.lit(1.0), math.sin(min(reach, math.pi / 2)) / F.cos(edge))))
+        return F.when(edge + reach < math.pi / 2, F.greatest(F.lit(1), F.floor(360 / wide))).otherwise(1).cast("long")
+
+    cell = lambda lon: F.floor(F.pmod(lon, F.lit(360.0)) * F.col("_cells") / 360)
+    f = fixes.select(*keys, "id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(F.sequence(F.floor(F.col("lat") / band) - 1, F.floor(F.col("lat") / band) + 1)).alias("_band")).withColumn("_cells", cells(F.col("_band")))
+    f = f.withColumn("_cell", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: F.pmod(cell(F.col("_lon")) + i, F.col("_cells"))))))
+    g = features.select(*keys, "lat", "lon", F.floor(F.col("lat") / band).alias("_band")).withColumn("_cells", cells(F.col("_band"))).withColumn("_cell", F.pmod(cell(F.col("lon")), F.col("_cells"))).drop("_cells")
+    met = f.join(g, [*keys, "_band", "_cell"]).withColumn("km", great_circle_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))).where(F.col("km") <= radius_km)
     near = met.groupBy(*keys, "id").agg(F.count("*").alias("n"), F.min("km").alias("nearest_km"))
     return fixes.select(*keys, "id").join(near, [*keys, "id"], "left").fillna(0, ["n"])
 

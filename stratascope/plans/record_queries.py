@@ -37,20 +37,20 @@ DIST_SQL = """dd AS (SELECT c.c_custkey AS l, s.s_suppkey AS r, round(abs(c.c_ac
 rk AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY d, r) AS i, row_number() OVER (PARTITION BY r ORDER BY d, l) AS j, lead(d) OVER (PARTITION BY l ORDER BY d, r) AS nxt FROM dd)"""
 
 
-def _distances(spark, d):
-    c = r.read(spark, d, "customer").select(F.col("c_custkey").alias("left"), "c_acctbal", F.col("c_nationkey").alias("k"))
-    s = r.read(spark, d, "supplier").select(F.col("s_suppkey").alias("right"), "s_acctbal", F.col("s_nationkey").alias("k"))
-    return c.join(s, "k").select("left", "right", F.round(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 6).alias("distance"))
+def _balances(spark, d):
+    c = r.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"), F.col("c_nationkey").alias("k"))
+    s = r.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("value"), F.col("s_nationkey").alias("k"))
+    return c, s
 
 
 @queries.add("mutual_nearest", f'WITH {DIST_SQL} SELECT l AS "left", r AS "right", d AS distance FROM rk WHERE i = 1 AND j = 1')
 def mutual_nearest(spark, d):
-    return neighbours.mutual_nearest(_distances(spark, d))
+    return neighbours.mutual_nearest_values(*_balances(spark, d), "k")
 
 
 @queries.add("ratio_margin", f'WITH {DIST_SQL} SELECT l AS "left", r AS "right", d AS distance, {sql_round("d / nxt", "ratio")} FROM rk WHERE i = 1 AND nxt > 0 AND d / nxt <= 0.6')
 def ratio_margin(spark, d):
-    return rounded(neighbours.ratio_margin(_distances(spark, d), 0.6), "ratio")
+    return rounded(neighbours.ratio_margin_values(*_balances(spark, d), 0.6, "k"), "ratio")
 
 
 PLACES_SQL = "fx AS (SELECT c_custkey AS id, c_custkey % 120 - 60.0::DOUBLE AS lat, (c_custkey * 37) % 360 - 180.0::DOUBLE AS lon FROM customer), ft AS (SELECT (s_suppkey * 7) % 120 - 60.0::DOUBLE AS lat, (s_suppkey * 53) % 360 - 180.0::DOUBLE AS lon FROM supplier)"
