@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratascope.errors import Refused
+from stratascope.folders import stored
 
 
 def plane(rows: pd.DataFrame, height: int, width: int) -> np.ndarray | None:
@@ -213,23 +214,55 @@ def complete_linkage(distance: np.ndarray, tolerance: float) -> np.ndarray:
     return label
 
 
+def connected(pairs: DataFrame) -> DataFrame:
+    """node, component: the least node that pairs (a, b) lead to; least labels spread, and jump to their labels' labels."""
+    both = stored(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "pairs")
+    labels, total = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("component")), "labels"), None
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("theirs")), "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
+        spread = labels.join(near, "node").select("node", F.least("component", "theirs").alias("component"))
+        jumped = spread.join(labels.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left")
+        labels = stored(jumped.select("node", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if now == total:
+            return labels
+        total = now
+
+
+def within(points: DataFrame, group: str, tolerance: float) -> DataFrame:
+    """a, b: ids of vectors of one group within the tolerance, met in cells as wide as the tolerance of their first two components."""
+    cell = lambda i: F.floor(F.coalesce(F.try_element_at("v", F.lit(i)), F.lit(0.0)) / tolerance)
+    own = points.select(group, F.col("id").alias("a"), F.col("v").alias("x"), cell(1).alias("i"), cell(2).alias("j"))
+    around = F.array(*[F.struct((F.col("i") + i).alias("i"), (F.col("j") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    other = points.select(group, F.col("id").alias("b"), F.col("v").alias("y"), cell(1).alias("i"), cell(2).alias("j")).withColumn("c", F.explode(around)).select(group, "b", "y", "c.i", "c.j")
+    square = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, z: s + z)
+    return own.join(other, [group, "i", "j"]).where("a < b").where(F.sqrt(square) <= tolerance * (1 + 1e-9)).select("a", "b")
+
+
 def clusters(points: DataFrame, group: str, tolerance: float, most: int = 5000) -> DataFrame:
     """group, id, cluster (its least id) of vectors, by complete linkage of Euclidean distance within each group.
 
-    A group of more than ``most`` vectors is refused before anything is computed.
+    ``points`` has the group, a unique id and v. Linkage never merges beyond the tolerance, so that vectors which no chain of
+    such distances connects never meet: each connected part is linked by itself. A part of more than ``most`` vectors is
+    refused before anything is linked; a group may be of any size.
     """
-    if (n := points.groupBy(group).count().agg(F.max("count")).first()[0] or 0) > most:
-        raise Refused(f"a group has {n} vectors and {most} are allowed")
+    part = connected(within(points, group, tolerance))
+    rows = stored(points.join(part.withColumnRenamed("node", "id"), "id"), "parts")
+    if (n := rows.groupBy("component").count().agg(F.max("count")).first()[0] or 0) > most:
+        raise Refused(f"{n} vectors are connected within the tolerance and {most} are allowed")
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
         v = np.stack(rows["v"].to_numpy()).astype(float)
-        label = complete_linkage(np.sqrt(np.maximum(0, ((v[:, None] - v[None]) ** 2).sum(-1))), tolerance)
+        d = np.stack([np.sqrt(((v - x) ** 2).sum(axis=1)) for x in v])
+        label = complete_linkage(d, tolerance)
         ids = rows["id"].to_numpy()
         return pd.DataFrame({group: rows[group].to_numpy(), "id": ids, "cluster": ids[label]})
 
     kind = points.schema[group].dataType.simpleString()
-    return points.groupBy(group).applyInPandas(one, f"{group} {kind}, id long, cluster long")
+    linked = rows.groupBy("component").applyInPandas(one, f"{group} {kind}, id long, cluster long")
+    alone = points.join(part.select(F.col("node").alias("id")), "id", "left_anti").select(group, "id", F.col("id").alias("cluster"))
+    return linked.unionByName(alone)
 
 
 def covariance(rows: DataFrame, columns: list[str]) -> np.ndarray:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratascope.errors import Refused
-from stratascope.operators import clocks, events, governance, grids, intervals, kernels, neighbours, profiles, testing, verification
+from stratascope.operators import clocks, events, governance, grids, intervals, kernels, neighbours, nulls, profiles, search, testing, verification
 from stratascope.sources import catalogue, delimited
 from stratascope.streaming import streams
 
@@ -161,3 +161,61 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("user_id long, t timestamp").parquet(str(tmp_path / "in"))
     got = streams.run_once(streams.merged_supports(stream, 900), str(tmp_path), "append").collect()
     assert (1, 10_000, 11_400) in {(r["user_id"], r["start"], r["end"]) for r in got}
+
+
+def test_clusters_of_parts_and_of_whole_groups(spark):
+    """Linking connected parts gives what linking whole groups gives, and no group is too large."""
+    rng = np.random.default_rng(3)
+    rows = [(i, int(i % 3), [float(x) for x in rng.normal(size=2)]) for i in range(150)]
+    got = {r["id"]: r["cluster"] for r in kernels.clusters(spark.createDataFrame(rows, "id long, group long, v array<double>"), "group", 0.5, most=60).collect()}
+    want = {}
+    for g in range(3):
+        own = [(i, v) for i, k, v in rows if k == g]
+        at = np.array([v for _, v in own])
+        label = kernels.complete_linkage(np.sqrt(((at[:, None] - at[None]) ** 2).sum(-1)), 0.5)
+        want |= {i: own[c][0] for (i, _), c in zip(own, label)}
+    assert got == want
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    assert {r["node"]: r["component"] for r in kernels.connected(chain).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_surrogates_keep_what_they_must(spark):
+    record = spark.createDataFrame([(c, f, float(f * (c == "a") + 1000 * (c == "b") - f)) for c in "ab" for f in range(0, 96) if f % 7], "channel string, frame long, value double")
+    whole = {c: sorted(r["value"] for r in record.collect() if r["channel"] == c) for c in "ab"}
+    for moved in (nulls.circular_clock_shift(record, 3, 10, 1), nulls.whole_cycle_clock_shift(record, 3, 12, 1), nulls.within_group_clock_shift(record, 3, F.floor(F.col("frame") / 24), 1)):
+        rows = moved.collect()
+        assert len(rows) == 3 * record.count()
+        for draw in (1, 2, 3):
+            for c in "ab":
+                assert sorted(r["value"] for r in rows if r["draw"] == draw and r["channel"] == c) == whole[c]
+    assert {r["frame"] for r in nulls.block_bootstrap(record, 1, 5, 1).collect()} == {r["frame"] for r in record.collect()}
+    with pytest.raises(Refused):
+        nulls.global_value_shuffle(record)
+
+
+def test_axes_and_unions_refuse_what_is_too_much(spark):
+    axis = spark.range(40).select(F.col("id").alias("x"))
+    with pytest.raises(Refused):
+        search.parameter_grid(axis, axis.withColumnRenamed("x", "y"))
+    with pytest.raises(Refused):
+        search.merged([axis, axis], "x")
+
+
+def test_nearest_values_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    left, right = ([(int(i), int(rng.integers(2)), float(rng.integers(12))) for i in range(n)] for n in (40, 25))
+    make = lambda rows: spark.createDataFrame(rows, "id long, k long, value double")
+    got = {r["left"]: (r["right"], r["distance"], r["next"]) for r in neighbours.nearest_values(make(left), make(right), 1, "k").collect()}
+    for i, k, v in left:
+        near = sorted((abs(v - w), j) for j, q, w in right if q == k)
+        assert got[i] == (near[0][1], near[0][0], near[1][0])
+
+
+def test_features_near_poles_and_seam(spark):
+    rng = np.random.default_rng(5)
+    fixes, features = ([(int(i), float(np.degrees(np.arcsin(rng.uniform(-1, 1)))), float(rng.uniform(-180, 180))) for i in range(n)] for n in (80, 300))
+    make = lambda rows: spark.createDataFrame(rows, "id long, lat double, lon double")
+    got = {r["id"]: r["n"] for r in neighbours.features_within(make(fixes), make(features), 1500.0).collect()}
+    for i, a, b in fixes:
+        d = [6371 * 2 * np.arcsin(min(1, np.sqrt(np.sin(np.radians(c - a) / 2) ** 2 + np.cos(np.radians(a)) * np.cos(np.radians(c)) * np.sin(np.radians(e - b) / 2) ** 2))) for _, c, e in features]
+        assert got[i] == sum(x <= 1500 for x in d)
