@@ -56,14 +56,15 @@ def interior_cells(spark, d):
 LAGS_SQL = "w AS (SELECT max(1000 * 6371.0::DOUBLE * cos(radians(y - 60.0::DOUBLE)) * radians(2.0::DOUBLE)) AS m FROM fld), l AS (SELECT j::INT AS level, (3 * (2 ** j - 1) + 1)::INT AS support FROM range(1, 5) t(j)), fl AS (SELECT level, support, ceil(round(support * m / (10 * 86400.0::DOUBLE), 9))::BIGINT AS floor FROM l, w)"
 
 
-@queries.add("physical_lags", r.with_views("fld", more=LAGS_SQL) + "SELECT level, support, floor, lag_seconds, CASE WHEN lag_seconds % 86400 = 0 THEN (lag_seconds / 86400)::BIGINT END AS frames, coalesce(CASE WHEN lag_seconds % 86400 = 0 THEN (lag_seconds / 86400)::BIGINT END >= floor, false) AS admissible FROM fl, (SELECT unnest([86400, 100000, 432000, 864000, 1728000])::DOUBLE AS lag_seconds)")
+@queries.add("physical_lags", r.with_views("fld", more=LAGS_SQL) + "SELECT level, support, floor, lag_seconds, CASE WHEN lag_seconds % 86400 = 0 THEN lag_seconds / 86400 END AS frames, coalesce(CASE WHEN lag_seconds % 86400 = 0 THEN (lag_seconds / 86400)::BIGINT END >= floor, false) AS admissible FROM fl, (SELECT unnest([86400, 100000, 432000, 864000, 1728000])::DOUBLE AS lag_seconds)")
 def physical_lags(spark, d):
     """Lags in days for each level of a filter of four taps, at ten metres a second over the field's widest cell."""
     f = r.field(spark, d)
     levels = discovery.interior_cells(f, *r.extent(spark, d), 4, 4).select("level", "support")
     widest = f.agg(F.max(geometry.dx_metres(F.col("y") - 60.0, 2.0)).alias("metres"))
     floors = discovery.lag_floors(levels.crossJoin(F.broadcast(widest)), F.col("metres"), 10.0, 86400.0).drop("metres")
-    return discovery.physical_lags(floors, [86400, 100000, 432000, 864000, 1728000], 86400.0)
+    out = discovery.physical_lags(floors, [86400, 100000, 432000, 864000, 1728000], 86400.0)
+    return out.withColumn("frames", F.col("frames").cast("double"))
 
 
 @queries.add("tolerance_bounds", f"""WITH v AS (SELECT c_nationkey AS nation, abs(c_acctbal) AS distance FROM customer), n AS (SELECT nation, count(*) AS n, quantile_cont(distance, 0.8) AS q FROM v GROUP BY 1),
