@@ -18,16 +18,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, keeps, tidy, written
+from .tokens import each
 
 ROUNDS, SURE = 2, 0.98
-#: Metadata values are hashed into this many columns each.
-META_BUCKETS = 16
+#: Metadata values are hashed into this many sparse columns.
+META_COLUMNS = 1 << 14
 TEXT_FEATURES = ("log_words", "word_length", "letters", "digits", "blanks", "symbols", "upper", "distinct", "top_word", "same_neighbour", "same_lines", "line_length", "line_ends", "marked_words", "upper_words", "stops", "long_words", "bars")
 _ENDS = tuple(".!?:;\"'…")
 
@@ -65,39 +67,43 @@ def text_features(text: str) -> list[float]:
 
 def _text_view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [text_features(t.as_py() or "") for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("meta_view"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "meta_view", "text_view"])
+        rows = [text_features(t or "") for t in each(batch.column("text"))]
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(rows, pa.list_(pa.float64()))], [*rest, "text_view"])
 
 
-def _meta_view(categories: Sequence[str], sizes: Sequence[str]) -> Column:
-    def hashed_one(c: str) -> Column:
-        bucket = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0"))), F.lit(META_BUCKETS))
-        return F.transform(F.sequence(F.lit(0), F.lit(META_BUCKETS - 1)), lambda i: (i == bucket).cast("double"))
+def _meta_columns(categories: Sequence[str], sizes: Sequence[str]) -> dict[str, Column]:
+    """c0, c1, ...: the categories as text; n0, n1, ...: logarithms of the sizes and their squares."""
+    out = {f"c{i}": F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for i, c in enumerate(categories)}
+    for i, c in enumerate(sizes):
+        log = F.log1p(F.greatest(F.lit(0.0), F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0))))
+        out |= {f"n{2 * i}": log, f"n{2 * i + 1}": log * log}
+    return out
 
-    hashed = [hashed_one(c) for c in categories]
-    logs = [F.log1p(F.greatest(F.lit(0.0), F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)))) for c in sizes]
-    return F.concat(*hashed, F.array(*logs, *[x * x for x in logs]))
 
+def _vectors(made: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``made`` with text_view and meta_view as vectors, the latter sparse."""
+    words, numbers = [c for c in columns if c.startswith("c")], [c for c in columns if c.startswith("n")]
+    if words:
+        made = FeatureHasher(numFeatures=META_COLUMNS, inputCols=words, outputCol="words").transform(made)
+    made = VectorAssembler(inputCols=[*(["words"] if words else []), *numbers], outputCol="meta_view").transform(made)
+    return made.withColumn("text_view", array_to_vector("text_view"))
 
-class Linear:
-    """A fitted view: intercept + weights . features, as a Spark expression."""
 
-    def __init__(self, weights: Sequence[float], intercept: float):
-        self.weights, self.intercept = [float(w) for w in weights], float(intercept)
+def _fit(rows: DataFrame, view: str, label: Column) -> LogisticRegressionModel:
+    """Logistic regression over all rows with a label."""
+    data = rows.select(view, label.cast("double").alias("label")).where("label IS NOT NULL")
+    return LogisticRegression(featuresCol=view, maxIter=20, regParam=1e-3, standardization=True).fit(data)
 
-    def logit(self, view: Column) -> Column:
-        w = F.array(*[F.lit(x) for x in self.weights])
-        return F.aggregate(F.zip_with(view, w, lambda a, b: a * b), F.lit(self.intercept), lambda s, x: s + x)
 
-    def probability(self, view: Column) -> Column:
-        return 1 / (1 + F.exp(-self.logit(view)))
+def _scored(rows: DataFrame, model: LogisticRegressionModel, out: str) -> DataFrame:
+    """``rows`` with the model's logit as the column ``out``."""
+    own = model.setRawPredictionCol("raw").setProbabilityCol("").setPredictionCol("")
+    return own.transform(rows).withColumn(out, vector_to_array("raw")[1]).drop("raw")
 
 
-def _fit(rows: DataFrame, view: Column, label: Column) -> Linear:
-    """Logistic regression over all rows with a label."""
-    data = rows.select(array_to_vector(view).alias("features"), label.cast("double").alias("label")).where("label IS NOT NULL")
-    model = LogisticRegression(maxIter=20, regParam=1e-3, standardization=True).fit(data)
-    return Linear(model.coefficients.toArray(), model.intercept)
+def _probability(logit: str) -> Column:
+    return 1 / (1 + F.exp(-F.col(logit)))
 
 
 def fold(doc_id: Column) -> Column:
@@ -107,24 +113,26 @@ def fold(doc_id: Column) -> Column:
 def quality_scores(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("lang", "source"), sizes: Sequence[str] = ("n_chars",), doc_id: str = "doc_id", text: str = "text", label: str = "quality", rounds: int = ROUNDS, sure: float = SURE, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score (of label 1), predicted, text_score and meta_score of every row of ``docs``."""
     own = labels.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), _meta_view(categories, sizes).alias("meta_view"))
-    made = written(rows.mapInArrow(_text_view, "doc_id long, meta_view array<double>, text_view array<double>"), "features")
-    both = written(made.join(own, "doc_id", "left").withColumn("fold", fold(F.col("doc_id"))), "views")
+    meta = _meta_columns(categories, sizes)
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *[c.alias(k) for k, c in meta.items()])
+    kinds = ", ".join(f"{k} {'string' if k.startswith('c') else 'double'}" for k in meta)
+    made = written(rows.mapInArrow(tidy(_text_view), f"doc_id long, {kinds}, text_view array<double>"), "features")
+    both = _vectors(made.join(own, "doc_id", "left").withColumn("fold", fold(F.col("doc_id"))), list(meta)).select("doc_id", "label", "fold", "text_view", "meta_view")
+    both = written(both, "views")
     drop_written(made)
-    a, b, given = F.col("text_view"), F.col("meta_view"), F.when(F.col("fold") < 2, F.col("label"))
+    given = F.when(F.col("fold") < 2, F.col("label"))
     known = {(r["train"], r["label"]): r["count"] for r in both.where("fold <> 2 AND label IS NOT NULL").groupBy((F.col("fold") < 2).alias("train"), "label").count().collect()}
     held = (F.col("fold") == 2).alias("held_out")
     if len(known) < 4:
         ones, every = sum(n for (_, x), n in known.items() if x == 1), sum(known.values())
         share = F.lit(ones / every if every else 1.0)
-        return both.select("doc_id", held, share.alias("score"), (share >= threshold).cast("int").alias("predicted"), share.alias("text_score"), share.alias("meta_score"))
-    by_text, by_meta = _fit(both, a, given), _fit(both, b, given)
+        return keeps(both.select("doc_id", held, share.alias("score"), (share >= threshold).cast("int").alias("predicted"), share.alias("text_score"), share.alias("meta_score")), both)
+    by_text, by_meta = _fit(both, "text_view", given), _fit(both, "meta_view", given)
+    views = lambda: _scored(_scored(both, by_text, "by_text"), by_meta, "by_meta")
     for _ in range(rounds):
-        free = F.col("label").isNull()
-        said = lambda p: F.when(p >= sure, 1).when(p <= 1 - sure, 0)
-        from_text, from_meta = said(by_text.probability(a)), said(by_meta.probability(b))
-        by_text, by_meta = _fit(both, a, F.when(free, from_meta).otherwise(given)), _fit(both, b, F.when(free, from_text).otherwise(given))
-    views = F.array(by_text.logit(a), by_meta.logit(b))
-    last = _fit(both, views, F.when(F.col("fold") == 3, F.col("label")))
-    score = last.probability(views)
-    return both.select("doc_id", held, score.alias("score"), (score >= threshold).cast("int").alias("predicted"), by_text.probability(a).alias("text_score"), by_meta.probability(b).alias("meta_score"))
+        free, rated = F.col("label").isNull(), views()
+        said = lambda view: F.when(_probability(view) >= sure, 1).when(_probability(view) <= 1 - sure, 0)
+        by_text, by_meta = _fit(rated, "text_view", F.when(free, said("by_meta")).otherwise(given)), _fit(rated, "meta_view", F.when(free, said("by_text")).otherwise(given))
+    rated = views().withColumn("both", array_to_vector(F.array("by_text", "by_meta")))
+    rated = _scored(rated, _fit(rated, "both", F.when(F.col("fold") == 3, F.col("label"))), "logit").withColumn("score", _probability("logit"))
+    return keeps(rated.select("doc_id", held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), _probability("by_text").alias("text_score"), _probability("by_meta").alias("meta_score")), both)
