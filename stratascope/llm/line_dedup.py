@@ -16,7 +16,7 @@ Lines are compared without blanks at their ends. Lines under LEAST_CHARS charact
 left alone.
 
 Cases: a null text stays null and has no lines; repeated rows of one doc_id are one document, whose own lines count once
-each; a null doc_id comes before all others; an empty table gives an empty result. A document that had lines and loses
+each, and where their texts differ each row loses its own repeats only; a null doc_id comes before all others; an empty table gives an empty result. A document that had lines and loses
 all of them is dropped by ``without_repeats``; other columns are carried along.
 """
 
@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, keeps, packed, tidy, written
@@ -384,9 +384,14 @@ def _links(edits: int) -> Callable:
     return link
 
 
+def _bare(line: Column) -> Column:
+    """A line without blanks at its ends."""
+    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line (hash), check (a second hash) and text of every line that isn't blank."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).select("doc_id", "line_no", F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("text"))
+    each = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).select("doc_id", "line_no", _bare(F.col("raw")).alias("text"))
     return each.where("text <> ''").select("doc_id", "line_no", F.xxhash64("text").alias("line"), F.xxhash64("text", F.lit(1)).alias("check"), "text")
 
 
@@ -430,7 +435,7 @@ def line_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame | None:
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line_no, first_doc, first_line, exact: every line that repeats one that stands first elsewhere.
+    """doc_id, line_no, line (its hash), first_doc, first_line, exact: every line that repeats one that stands first elsewhere.
 
     ``exact`` tells whether a line with the same text stands before it.
     """
@@ -449,7 +454,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST
     here = F.struct("doc_id", "line_no")
     later = slim.join(first, ["line", "check"]).where(~here.eqNullSafe(F.col("class_first")))
     drop_written(classes)
-    return keeps(later.select("doc_id", "line_no", F.col("class_first.doc_id").alias("first_doc"), F.col("class_first.line_no").alias("first_line"), (~here.eqNullSafe(F.col("first"))).alias("exact")).distinct(), slim, first)
+    return keeps(later.select("doc_id", "line_no", "line", F.col("class_first.doc_id").alias("first_doc"), F.col("class_first.line_no").alias("first_line"), (~here.eqNullSafe(F.col("first"))).alias("exact")).distinct(), slim, first)
 
 
 def repeat_report(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -469,11 +474,11 @@ def repeat_report(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_
 def without_repeats(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without the lines that repeat earlier ones; rows that lose all their lines go."""
     found = repeated_lines(docs, edits, least_chars, doc_id, text)
-    by_doc = written(found.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "repeats")
+    by_doc = written(found.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "line")).alias("gone")), "repeats")
     drop_written(found)
     rows = packed(docs, key=F.col(f"`{doc_id}`").cast("long")).alias("r").join(by_doc.alias("b"), F.expr("r.key <=> b.doc_id"), "left")
     lines = F.split(F.col(f"row.`{text}`").cast("string"), "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
+    left = F.filter(lines, lambda x, i: ~F.array_contains("gone", F.struct(i.alias("line_no"), F.xxhash64(_bare(x)).alias("line"))))
     whole = F.col(f"row.`{text}`")
-    kept = rows.withColumn("left", F.when(F.col("gone").isNotNull(), left)).where(F.col("left").isNull() | F.exists("left", lambda x: F.length(F.btrim(x, F.lit(" \t\r\x0b\x0c"))) > 0))
+    kept = rows.withColumn("left", F.when(F.col("gone").isNotNull(), left)).where(F.col("left").isNull() | F.exists("left", lambda x: F.length(_bare(x)) > 0))
     return keeps(kept.select(*[(F.when(F.col("left").isNull(), whole).otherwise(F.array_join("left", "\n")) if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]), by_doc)

@@ -36,18 +36,18 @@ def without_repeats(rows: list[tuple]) -> list[tuple]:
     label = classes(len(names), near)
     head = {c: min(first[names[i]] for i in range(len(names)) if label[i] == c) for c in set(label)}
     head_of = {names[i]: head[label[i]] for i in range(len(names))}
-    gone: dict[tuple, set[int]] = {}  # rows of one id are one document
+    gone: dict[tuple, set[tuple]] = {}  # rows of one id are one document
     for row in rows:
         for k, line in enumerate((row[1] or "").split("\n")):
             if (bare := line.strip(" \t\r\x0b\x0c")) and head_of[bare] != (order(row[0]), k):
-                gone.setdefault(order(row[0]), set()).add(k)
+                gone.setdefault(order(row[0]), set()).add((k, bare))
     out = []
     for row in rows:
         cut = gone.get(order(row[0]), set())
         if row[1] is None or not cut:
             out.append(row if row[1] is None else (*row[:4], len(row[1])))
             continue
-        left = [line for k, line in enumerate(row[1].split("\n")) if k not in cut]
+        left = [line for k, line in enumerate(row[1].split("\n")) if (k, line.strip(" \t\r\x0b\x0c")) not in cut]
         if any(line.strip(" \t\r\x0b\x0c") for line in left):
             text = "\n".join(left)
             out.append((row[0], text, *row[2:4], len(text)))

@@ -110,6 +110,11 @@ def test_short_lines_repeat_exactly(spark, make_docs):
     assert {(r["doc_id"], r["text"]) for r in line_dedup.without_repeats(docs).collect()} == {(1, "yes\n\nno, not"), (2, "\nyet"), (4, "no, no")}
 
 
+def test_rows_of_one_id_lose_their_own_repeats(spark, make_docs):
+    docs = make_docs([(1, "first line of the first one\nsecond line of the first one", "a"), (2, "something else stands here\nsecond line of the first one", "a"), (2, "nothing that repeats stands here\nquite another ending of it all", "a")])
+    assert sorted(r["text"] for r in line_dedup.without_repeats(docs).where("doc_id = 2").collect()) == ["nothing that repeats stands here\nquite another ending of it all", "something else stands here"]
+
+
 def test_lines_of_odd_rows(spark, make_docs, odd_rows):
     docs = make_docs([*odd_rows, (8, "a line that is long enough to count\nand another one, quite long too", "a"), (9, "a line that is long enough to count", "a")])
     left = line_dedup.without_repeats(docs)
