@@ -17,7 +17,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(v) -> str:
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "null"
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
