@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, byte_bpe, line_dedup, mixing, near_dedup, personal_data, quality, toxicity, url_filter, vector_search
+from . import audio, bit_clusters, byte_bpe, line_dedup, mixing, near_dedup, personal_data, quality, token_alignment, toxicity, url_filter, vector_search
 from .common import table
 
 URL_POLICY = url_filter.UrlPolicy(
@@ -78,6 +78,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded_digests(table(spark, sf_dir, "documents"), byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_level = token_alignment.ByteLevel(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = token_alignment.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.alignments(table(spark, sf_dir, "documents"), byte_level, pieces, public_tokenizers.PATTERN)
+
+
+def op13_bit_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_clusters.clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, seed=1).drop("centroid")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -90,6 +100,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_near_dedup": op9_near_dedup,
         "op10_byte_bpe": op10_byte_bpe,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_bit_clusters": op13_bit_clusters,
     }
 
 
@@ -125,4 +137,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_mix_sources": f"WITH {mix} SELECT doc_id, size_ AS size, source_size, target, (size_ * n_)::BIGINT AS taken, source, n_::BIGINT AS copies FROM mixed_",
         "op3_exact_top_k": TOP_K_SQL,
         "op6_url_filter": _url_sql(),
+        "op13_bit_clusters": bit_clusters.CLUSTERS_SQL,
     }
