@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bit_clusters, byte_bpe, line_dedup, mixing, near_dedup, personal_data, quality, token_alignment, toxicity, url_filter, vector_search
+from . import audio, bit_clusters, byte_bpe, cosine_links, line_dedup, mixing, near_dedup, personal_data, quality, token_alignment, toxicity, url_filter, vector_search
 from .common import table
 
 URL_POLICY = url_filter.UrlPolicy(
@@ -78,6 +78,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded_digests(table(spark, sf_dir, "documents"), byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine_links.near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     byte_level = token_alignment.ByteLevel(public_tokenizers.path("byte_bpe_50k.json"))
     pieces = token_alignment.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
@@ -100,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_near_dedup": op9_near_dedup,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_near_vectors": op11_near_vectors,
         "op12_token_alignment": op12_token_alignment,
         "op13_bit_clusters": op13_bit_clusters,
     }
