@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from stratascope.plans import discovery_queries, event_queries, field_queries, interval_queries, null_queries, plane_queries, record_queries, search_queries, source_queries
+from stratascope.plans import discovery_queries, event_queries, field_queries, interval_queries, motif_queries, null_queries, plane_queries, record_queries, search_queries, source_queries
 
-MODULES = (event_queries, interval_queries, field_queries, record_queries, source_queries, null_queries, search_queries, plane_queries, discovery_queries)
+MODULES = (event_queries, interval_queries, field_queries, record_queries, source_queries, null_queries, search_queries, plane_queries, discovery_queries, motif_queries)
+
+
+def _joined(parts: list[dict]) -> dict:
+    """The parts as one; a name that stands in two of them is refused."""
+    out: dict = {}
+    for part in parts:
+        if both := sorted(out.keys() & part.keys()):
+            raise ValueError(f"registered twice: {', '.join(both)}")
+        out |= part
+    return out
 
 
 def queries() -> dict[str, Callable]:
-    return {name: f for m in MODULES for name, f in m.queries.queries.items()}
+    return _joined([m.queries.queries for m in MODULES])
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.queries.sql.items()}
+    return _joined([m.queries.sql for m in MODULES])

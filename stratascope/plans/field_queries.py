@@ -79,13 +79,13 @@ def haar_round_trip(spark, d):
     return rounded(back, "value")
 
 
-@queries.add("stationary_haar", r.with_views("ch", more="l AS (SELECT *, lead(value, 4) OVER (PARTITION BY channel ORDER BY frame) AS later FROM ch)") + f"SELECT channel, frame, {sql_round('(value + later) / 2', 'approximation')}, {sql_round('(value - later) / 2', 'detail')} FROM l WHERE later IS NOT NULL")
-def stationary_haar(spark, d):
+@queries.add("haar_details", r.with_views("ch", more="l AS (SELECT *, lead(value, 4) OVER (PARTITION BY channel ORDER BY frame) AS later FROM ch)") + f"SELECT channel, frame, {sql_round('(value + later) / 2', 'approximation')}, {sql_round('(value - later) / 2', 'detail')} FROM l WHERE later IS NOT NULL")
+def haar_details(spark, d):
     return rounded(grids.haar_detail(r.channels(spark, d), 4, "channel"), "approximation", "detail")
 
 
-@queries.add("pooled_field", r.with_views("fld") + f"SELECT y // 5 AS y, x // 5 AS x, {sql_round('avg(value)', 'value', 9)} FROM fld GROUP BY 1, 2")
-def pooled_field(spark, d):
+@queries.add("pooled_squares", r.with_views("fld") + f"SELECT y // 5 AS y, x // 5 AS x, {sql_round('avg(value)', 'value', 9)} FROM fld GROUP BY 1, 2")
+def pooled_squares(spark, d):
     return rounded(grids.pooled(r.field(spark, d), 5), "value", digits=9)
 
 

@@ -15,6 +15,8 @@ class Registry:
 
     def add(self, name: str, sql: str | None = None):
         def keep(f: Callable) -> Callable:
+            if name in self.queries:
+                raise ValueError(f"registered twice: {name}")
             self.queries[name] = f
             if sql:
                 self.sql[name] = sql
