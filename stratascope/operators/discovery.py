@@ -38,25 +38,33 @@ def confirmed_motifs(occurrences: DataFrame, scenes: DataFrame, held_out: Column
     return out.select("motif", "support", share.alias("share"), "rank", "held_support", held_share.alias("held_share"), (held_share / share).alias("lift"))
 
 
-def relations(pairs: DataFrame, period: float) -> DataFrame:
-    """``pairs`` of features a and b (structs of y, x, scale, time, duration, angle) with how they stand to each other.
-
-    distance and lag are in units of the geometric mean of both scales and durations; direction is the bearing of b from a
-    less a's own angle; containment is how far b lies within a, of a's extent; co_occur where the lag is 1 at most.
+def relations(pairs: DataFrame, period: float, directed: bool = False) -> DataFrame:
+    """``pairs`` of features a and b (structs of y, x, scale, extent, time, duration, angle) with how they stand to each other.
+
+    distance and lag are in units of the geometric mean of both scales and durations; relative_scale is a's scale over b's.
+    direction is the bearing of b from a, from rows to columns, less a's own angle, on a circle of ``period`` degrees; null
+    where both are at one place. convergence, of directed angles only, is the sum of the cosines of each one's angle against
+    the bearing to the other: above 0 both point inward. containment is how much of a's extent is left when b's and the
+    distance are taken off, as a share; co_occur where the lag is 1 at most.
     """
     a, b = (lambda f: F.col(f"a.{f}")), (lambda f: F.col(f"b.{f}"))
     dy, dx, elapsed = b("y") - a("y"), b("x") - a("x"), b("time") - a("time")
     apart, lag = F.sqrt(dy * dy + dx * dx), elapsed / F.sqrt(a("duration") * b("duration"))
-    inside = (a("scale") - apart - b("scale")) / a("scale")
+    inside = (a("extent") - (apart + b("extent"))) / a("extent")
+    bearing = lambda y, x: F.when(apart > 0, F.degrees(F.atan2(x, y)))
+    turn = lambda bearing, angle: wrapped_difference(bearing, angle, period)
+    inward = F.cos(F.radians(turn(bearing(dy, dx), a("angle")))) + F.cos(F.radians(turn(bearing(-dy, -dx), b("angle"))))
+    more = {"convergence": inward, "converging": inward > 0} if directed else {}
     return pairs.withColumns({
         "distance": apart / F.sqrt(a("scale") * b("scale")),
-        "relative_scale": b("scale") / a("scale"),
+        "relative_scale": a("scale") / b("scale"),
         "lag": lag,
-        "direction": wrapped_difference(F.degrees(F.atan2(dy, dx)), a("angle"), period),
+        "direction": turn(bearing(dy, dx), a("angle")),
         "containment": inside,
         "contained": inside >= 0,
         "succession": F.signum(elapsed).cast("int"),
         "co_occur": F.abs(lag) <= 1,
+        **more,
     })
 
 
@@ -103,16 +111,21 @@ def tolerance_rank(n: int, coverage: float, confidence: float) -> int | None:
 
 
 def tolerance_bounds(distances: DataFrame, coverage: float, confidence: float, *keys: str) -> DataFrame:
-    """keys, n, quantile and bound: the empirical quantile, and the distance above it with the confidence asked for (null where n is too small)."""
+    """keys, n, quantile and bound, of the positive distances: the one at place ceil(coverage * n) in their order, and the least one above the share ``coverage`` with the confidence asked for (null where n is too small).
+
+    Distances are counted by value, and places are running sums of these counts, so that no window orders rows that are alike.
+    """
 
     @F.pandas_udf("long")
     def rank(n: pd.Series) -> pd.Series:
         return n.map(lambda x: tolerance_rank(int(x), coverage, confidence)).astype("Int64")
 
-    w = Window.partitionBy(*keys)
-    at = distances.where("distance IS NOT NULL").withColumn("i", F.row_number().over(w.orderBy("distance")))
-    size = distances.groupBy(*keys).agg(F.count("distance").alias("n"), F.percentile("distance", F.lit(coverage)).alias("quantile")).where("n > 0").withColumn("k", rank("n"))
-    return size.join(at.select(*keys, F.col("i").alias("k"), F.col("distance").alias("bound")), [*keys, "k"], "left").select(*keys, "n", "quantile", "bound")
+    counts = distances.where("distance > 0").groupBy(*keys, "distance").agg(F.count("*").alias("k"))
+    size = counts.groupBy(*keys).agg(F.sum("k").alias("n")).withColumn("at", F.ceil(F.round(F.col("n") * coverage, 9))).withColumn("rank", rank("n"))
+    upto = F.sum("k").over(Window.partitionBy(*keys).orderBy("distance"))
+    placed = counts.withColumn("upto", upto).join(size, list(keys)) if keys else counts.withColumn("upto", upto).crossJoin(size)
+    holds = lambda place: F.min(F.when(F.col("upto") >= F.col(place), F.col("distance")))
+    return placed.groupBy(*keys, "n").agg(holds("at").alias("quantile"), holds("rank").alias("bound"))
 
 
 def clopper_pearson(successes: int, trials: int, confidence: float = 0.95) -> tuple[float, float]:

@@ -35,27 +35,56 @@ def _moved(rows: DataFrame, shift: Column, draws: int, *keys: str) -> DataFrame:
     return out.join(places, [*keys, "to"]).select("draw", "channel", F.col("new").alias("frame"), "value")
 
 
+def _least_size(rows: DataFrame, *keys: str) -> int:
+    """Rows of the shortest record; a record of fewer than two has nothing to shift between."""
+    least = rows.groupBy(*keys).count().agg(F.min("count")).first()[0]
+    if least is not None and least < 2:
+        raise Refused("a null needs two rows or more of every channel")
+    return least or 0
+
+
 def circular_clock_shift(record: DataFrame, draws: int, floor: int, seed: int) -> DataFrame:
     """draw, channel, frame, value: a channel's values rolled by ``floor`` rows or more from either end."""
+    if 0 < _least_size(record, "channel") < 2 * floor:
+        raise Refused(f"a record is too short for a shift by {floor} rows from either end")
     shift = F.lit(floor) + drawn(F.lit(seed), F.col("draw"), F.col("channel")) % F.greatest(F.lit(1), F.col("size") - 2 * floor + 1)
     return _moved(ranked(record, "channel"), shift, draws, "channel")
 
 
 def whole_cycle_clock_shift(record: DataFrame, draws: int, cycle: int, seed: int) -> DataFrame:
-    """The same by whole cycles of ``cycle`` rows, so that the calendar stays in place."""
+    """The same by whole cycles of ``cycle`` rows, so that the calendar stays in place.
+
+    Refused where a record doesn't span more than one cycle: the shift would be by the whole record, or by nothing.
+    """
+    least = _least_size(record, "channel")
+    if cycle < 1 or 0 < least <= cycle:
+        raise Refused(f"a cycle of {cycle} rows isn't one that every record of {least} rows or more spans more than once")
     cycles = F.greatest(F.lit(1), F.floor(F.col("size") / cycle) - 1)
     return _moved(ranked(record, "channel"), cycle * (1 + drawn(F.lit(seed), F.col("draw"), F.col("channel")) % cycles), draws, "channel")
 
 
 def within_group_clock_shift(record: DataFrame, draws: int, group: Column, seed: int) -> DataFrame:
-    """The same within each group of rows; a group of one row stays."""
-    rows = ranked(record.withColumn("group", group), "channel", "group")
+    """The same within each group of rows; a group of one row stays.
+
+    Refused where a channel is all one group: that would be the unrestricted shift under another name.
+    """
+    grouped = record.withColumn("group", group)
+    _least_size(record, "channel")
+    if not grouped.groupBy("channel").agg(F.countDistinct("group").alias("n")).where("n < 2").isEmpty():
+        raise Refused("a channel is all one group")
+    rows = ranked(grouped, "channel", "group")
     shift = F.when(F.col("size") > 1, 1 + drawn(F.lit(seed), F.col("draw"), F.col("channel"), F.col("group")) % F.greatest(F.lit(1), F.col("size") - 1)).otherwise(0)
     return _moved(rows, shift, draws, "channel", "group")
 
 
 def block_bootstrap(record: DataFrame, draws: int, length: int, seed: int) -> DataFrame:
-    """draw, channel, frame, value: runs of ``length`` rows, each from a place drawn for it, one after the other."""
+    """draw, channel, frame, value: runs of ``length`` rows, each from a place drawn for it, one after the other.
+
+    Refused where a block isn't shorter than every record.
+    """
+    least = _least_size(record, "channel")
+    if length < 1 or 0 < least <= length:
+        raise Refused(f"a block of {length} rows isn't shorter than a record of {least}")
     rows = ranked(record, "channel")
     block = F.floor(F.col("at") / length)
     start = drawn(F.lit(seed), F.col("draw"), F.col("channel"), block) % F.greatest(F.lit(1), F.col("size") - length + 1)

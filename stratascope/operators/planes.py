@@ -108,13 +108,17 @@ def spherical_laplacian(field: DataFrame, lat: Column, dlat: float, dlon: float,
 
 
 def likeness(pairs: DataFrame, *keys: str) -> DataFrame:
-    """keys, n, mse, rmse, psnr and ssim of (truth, forecast), over the range of the truth."""
+    """keys, n, mse, rmse, psnr and ssim of (truth, forecast), over the range of the truth, which counts as 1 where it is 0.
+
+    ssim takes the covariance over n and the variances over n - 1, and is null for a single pair; psnr adds 1e-8 to rmse.
+    """
     t, f = F.col("truth"), F.col("forecast")
-    g = pairs.where(t.isNotNull() & f.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg((f - t) * (f - t)).alias("mse"), (F.max(t) - F.min(t)).alias("range"), F.avg(t).alias("mt"), F.avg(f).alias("mf"), F.var_pop(t).alias("vt"), F.var_pop(f).alias("vf"), F.covar_pop(t, f).alias("c"))
+    g = pairs.where(t.isNotNull() & f.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg((f - t) * (f - t)).alias("mse"), (F.max(t) - F.min(t)).alias("range"), F.avg(t).alias("mt"), F.avg(f).alias("mf"), F.var_samp(t).alias("vt"), F.var_samp(f).alias("vf"), F.covar_pop(t, f).alias("c"))
+    g = g.withColumn("range", F.when(F.col("range") > 0, F.col("range")).otherwise(1.0))
     c1, c2 = F.pow(0.01 * F.col("range"), 2), F.pow(0.03 * F.col("range"), 2)
     ssim = (2 * F.col("mt") * F.col("mf") + c1) * (2 * F.col("c") + c2) / ((F.col("mt") * F.col("mt") + F.col("mf") * F.col("mf") + c1) * (F.col("vt") + F.col("vf") + c2))
-    psnr = F.when((F.col("mse") > 0) & (F.col("range") > 0), 10 * F.log10(F.col("range") * F.col("range") / F.col("mse")))
-    return g.select(*keys, "n", "mse", F.sqrt("mse").alias("rmse"), psnr.alias("psnr"), F.when(F.col("range") > 0, ssim).alias("ssim"))
+    psnr = 20 * F.log10(F.col("range") / (F.sqrt("mse") + 1e-8))
+    return g.select(*keys, "n", "mse", F.sqrt("mse").alias("rmse"), psnr.alias("psnr"), ssim.alias("ssim"))
 
 
 def sample_moments(samples: DataFrame, *keys: str) -> DataFrame:

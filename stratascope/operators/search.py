@@ -25,10 +25,24 @@ def directional_pairs(rules: DataFrame, figures: list[str]) -> DataFrame:
     return there.join(back, ["a", "b", "lo", "hi"], "full")
 
 
-def indistinguishable(candidates: DataFrame, value: str, error: Column) -> DataFrame:
-    """Candidates within one standard error of the best one's value; the error is the best one's."""
-    best = candidates.select(F.col(value).alias("best"), error.alias("error")).groupBy().agg(F.max(F.struct("best", "error")).alias("b"))
-    return candidates.crossJoin(F.broadcast(best)).where(F.col(value) >= F.col("b.best") - F.col("b.error")).drop("b")
+def best_of_pairs(candidates: DataFrame, strength: str, order: list[str], *pair: str) -> DataFrame:
+    """One candidate for each pair: the strongest, then the first in the order. A link is one hypothesis, at whatever lags it shows."""
+    first = F.min_by(F.struct(*candidates.columns), F.struct((-F.col(strength)).alias("s"), *order)).alias("c")
+    return candidates.groupBy(*pair).agg(first).select("c.*")
+
+
+def fisher_z(strength: Column) -> Column:
+    return F.atanh(F.least(F.abs(strength), F.lit(0.999999)))
+
+
+def indistinguishable(candidates: DataFrame, strength: str, n_effective: str) -> DataFrame:
+    """Candidates within one standard error of the best one on Fisher's z scale: 1 / sqrt(n_effective - 3), of the best, n_effective being 4 at least.
+
+    Of several that are best, the one with the most effective pairs sets the error.
+    """
+    best = candidates.groupBy().agg(F.max(F.struct(F.col(strength).alias("strength"), F.col(n_effective).alias("n"))).alias("b"))
+    error = 1 / F.sqrt(F.greatest(F.lit(4.0), F.col("b.n")) - 3)
+    return candidates.crossJoin(F.broadcast(best)).where(fisher_z(F.col("b.strength")) - fisher_z(F.col(strength)) <= error).drop("b")
 
 
 def chosen(candidates: DataFrame, order: list[Column], cap: int, *keys: str) -> DataFrame:

@@ -77,8 +77,8 @@ def spherical_laplacian(spark, d):
     return rounded(out.withColumn("laplacian", 1e6 * F.col("laplacian")), "laplacian")
 
 
-@queries.add("field_likeness", r.with_views("prs", more="""m AS (SELECT x, count(*) AS n, avg((forecast - truth) * (forecast - truth)) AS mse, max(truth) - min(truth) AS rg, avg(truth) AS mt, avg(forecast) AS mf, var_pop(truth) AS vt, var_pop(forecast) AS vf, covar_pop(truth, forecast) AS c FROM prs GROUP BY 1),
-q AS (SELECT *, (0.01::DOUBLE * rg) ** 2 AS c1, (0.03::DOUBLE * rg) ** 2 AS c2 FROM m)""") + f"SELECT x, n, {sql_round('mse', digits=3)}, {sql_round('sqrt(mse)', 'rmse', 4)}, {sql_round('CASE WHEN mse > 0 AND rg > 0 THEN 10 * log10(rg * rg / mse) END', 'psnr')}, {sql_round('CASE WHEN rg > 0 THEN (2 * mt * mf + c1) * (2 * c + c2) / ((mt * mt + mf * mf + c1) * (vt + vf + c2)) END', 'ssim')} FROM q")
+@queries.add("field_likeness", r.with_views("prs", more="""m AS (SELECT x, count(*) AS n, avg((forecast - truth) * (forecast - truth)) AS mse, CASE WHEN max(truth) > min(truth) THEN max(truth) - min(truth) ELSE 1.0 END AS rg, avg(truth) AS mt, avg(forecast) AS mf, var_samp(truth) AS vt, var_samp(forecast) AS vf, covar_pop(truth, forecast) AS c FROM prs GROUP BY 1),
+q AS (SELECT *, (0.01::DOUBLE * rg) ** 2 AS c1, (0.03::DOUBLE * rg) ** 2 AS c2 FROM m)""") + f"SELECT x, n, {sql_round('mse', digits=3)}, {sql_round('sqrt(mse)', 'rmse', 4)}, {sql_round('20 * log10(rg / (sqrt(mse) + 1e-8))', 'psnr')}, {sql_round('(2 * mt * mf + c1) * (2 * c + c2) / ((mt * mt + mf * mf + c1) * (vt + vf + c2))', 'ssim')} FROM q")
 def field_likeness(spark, d):
     return rounded(rounded(rounded(planes.likeness(r.pairs(spark, d), "x"), "mse", digits=3), "rmse", digits=4), "psnr", "ssim")
 

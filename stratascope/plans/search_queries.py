@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stratascope.operators import events, search
 from stratascope.plans import recasts as r
-from stratascope.plans.event_queries import CORR_SQL, COUNTS_SQL, LAGS
+from stratascope.plans.event_queries import CORR_SQL, COUNTS_SQL, LAGS, R1_SQL
 from stratascope.plans.registry import Registry, rounded, sql_round
 
 queries = Registry()
@@ -31,14 +31,22 @@ def directional_pairs(spark, d):
     return search.directional_pairs(_rules(spark, d), ["support", "lift"])
 
 
-BEST_SQL = CORR_SQL + ", s AS (SELECT driver, driven, lag, n, round(abs(r), 9) AS strength FROM cc), best AS (SELECT strength AS top, (1 - strength * strength) / sqrt(n - 2) AS error FROM s ORDER BY strength DESC, (1 - strength * strength) / sqrt(n - 2) DESC LIMIT 1), near AS (SELECT driver, driven, lag, strength FROM s, best WHERE strength >= top - error)"
+BEST_SQL = CORR_SQL + ", " + R1_SQL + """, sr AS (SELECT driver, driven, lag, round(abs(r), 9) AS strength, greatest(3.0, cc.n * (1 - least(greatest(a.r1 * b.r1, -0.999), 0.999)) / (1 + least(greatest(a.r1 * b.r1, -0.999), 0.999))) AS ne FROM cc JOIN r1 a ON a.channel = driver JOIN r1 b ON b.channel = driven),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY driver, driven ORDER BY strength DESC, lag) AS place FROM sr) WHERE place = 1), best AS (SELECT strength AS top, ne AS top_ne FROM s ORDER BY strength DESC, ne DESC LIMIT 1),
+near AS (SELECT driver, driven, lag, strength FROM s, best WHERE atanh(least(top, 0.999999::DOUBLE)) - atanh(least(strength, 0.999999::DOUBLE)) <= 1 / sqrt(greatest(4.0, top_ne) - 3))"""
 
 
 def _near_best(spark, d):
     from stratascope.operators import clocks
 
-    s = clocks.lagged_correlations(r.channels(spark, d), list(range(7))).select("driver", "driven", "lag", "n", F.round(F.abs("r"), 9).alias("strength"))
-    return search.indistinguishable(s, "strength", (1 - F.col("strength") * F.col("strength")) / F.sqrt(F.col("n") - 2)).select("driver", "driven", "lag", "strength")
+    record = r.channels(spark, d)
+    s = clocks.lagged_correlations(record, list(range(7))).select("driver", "driven", "lag", "n", F.round(F.abs("r"), 9).alias("strength"))
+    own = clocks.lag_one(record, "channel")
+    side = lambda name: F.broadcast(own.select(F.col("channel").alias(name), F.col("r1").alias(f"r_{name}")))  # noqa: E731  a row a channel
+    product = F.least(F.greatest(F.col("r_driver") * F.col("r_driven"), F.lit(-0.999)), F.lit(0.999))
+    s = s.join(side("driver"), "driver").join(side("driven"), "driven").withColumn("n_effective", F.greatest(F.lit(3.0), F.col("n") * (1 - product) / (1 + product)))
+    best = search.best_of_pairs(s.select("driver", "driven", "lag", "strength", "n_effective"), "strength", ["lag"], "driver", "driven")
+    return search.indistinguishable(best, "strength", "n_effective").select("driver", "driven", "lag", "strength")
 
 
 @queries.add("indistinguishable_from_best", r.with_views("ch", more=BEST_SQL) + f"SELECT driver, driven, lag, {sql_round('strength')} FROM near")
