@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from stratascope.plans import discovery_queries, event_queries, field_queries, interval_queries, motif_queries, null_queries, plane_queries, power_queries, record_queries, search_queries, source_queries, transform_queries
+from stratascope.plans import calibration_queries, discovery_queries, event_queries, field_queries, interval_queries, motif_queries, null_queries, plane_queries, power_queries, record_queries, search_queries, source_queries, transform_queries
 
-MODULES = (event_queries, interval_queries, field_queries, record_queries, source_queries, null_queries, search_queries, plane_queries, discovery_queries, motif_queries, transform_queries, power_queries)
+MODULES = (event_queries, interval_queries, field_queries, record_queries, source_queries, null_queries, search_queries, plane_queries, discovery_queries, motif_queries, transform_queries, power_queries, calibration_queries)
 
 
 def _joined(parts: list[dict]) -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratascope.folders import stored
-from stratascope.operators import spatial_power
+from stratascope.operators import spatial_power, subspaces
 from stratascope.plans import recasts as r
 from stratascope.plans.event_queries import entropy_sql
 from stratascope.plans.registry import Registry, rounded, sql_round
@@ -72,3 +72,47 @@ md AS (SELECT crop, CASE WHEN 2 * count(effective) > count(*) THEN median(effect
 def attenuation_curve(spark, d):
     field, frames = stack(spark, d)
     return rounded(spatial_power.attenuation(field, SIDE, SIDE, frames, LAG, BINS), "fraction", "effective", "te")
+
+
+ROW_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+FEATURES, SPLIT = ("discount", "price", "quantity", "tax"), 2
+
+
+def samples(spark, d):
+    """(half, key, quantity, price, discount, tax, target, nuisance): rows of lineitem; what is paid for one, by the part's size."""
+    parts = r.read(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("nuisance"), F.col("p_retailprice").alias("price"))
+    rows = r.read(spark, d, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    target = F.col("l_extendedprice") / 1000 * (1 - F.col("l_discount"))
+    return rows.select((F.col("l_orderkey") % SPLIT).alias("half"), F.expr(ROW_ID).alias("key"), F.col("l_quantity").alias("quantity"), "price", F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), target.alias("target"), "nuisance")
+
+
+SAMPLES_SQL = f"""sm AS (SELECT l_orderkey % {SPLIT} AS half, {ROW_ID} AS key, l_quantity AS quantity, p_retailprice AS price, l_discount AS discount, l_tax AS tax, l_extendedprice / 1000 * (1 - l_discount) AS target, p_size::DOUBLE AS nuisance FROM lineitem JOIN part ON l_partkey = p_partkey),
+g AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}' for c in (*FEATURES, 'target'))}, quantile_cont(nuisance, [1::DOUBLE / 3, 2::DOUBLE / 3]) AS cuts FROM sm WHERE half = 0),
+z AS (SELECT key, (nuisance > cuts[1])::INT + (nuisance > cuts[2])::INT AS region, [{', '.join(f'({c} - m_{c}) / s_{c}' for c in (*FEATURES, 'target'))}] AS v FROM sm, g WHERE half = 0)"""
+
+
+@queries.add("subspace_moments", f"""WITH {SAMPLES_SQL}, dr AS (SELECT draw, region, [v[1], v[2], v[3], v[4], v[5] * (1 - 2 * (('0x' || substr(md5(concat_ws(':', 7, draw, key)), 1, 12))::BIGINT % 2))] AS v FROM z, range(1, 4) t(draw)),
+ij AS (SELECT i, j FROM range(1, 6) a(i), range(1, 6) b(j) WHERE i <= j)
+SELECT draw::INT AS draw, region, count(*) AS n, (i - 1)::INT AS i, (j - 1)::INT AS j, {sql_round('sum(v[i] * v[j])', 'product', 4)} FROM dr, ij GROUP BY draw, region, i, j""")
+def subspace_moments(spark, d):
+    """The sums of the first null draws: products of scores by region and draw."""
+    from itertools import combinations_with_replacement
+
+    rows = samples(spark, d).where("half = 0")
+    s = subspaces.scores_of(rows, FEATURES, "target", "nuisance")
+    m = subspaces.moments(subspaces.signed(subspaces.scored(rows, s, F.col("key")), 3, 7), len(FEATURES), "draw", "region")
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in combinations_with_replacement(range(len(FEATURES) + 1), 2)])
+    return rounded(m.select("draw", "region", "n", F.explode(F.arrays_zip(cells.alias("at"), "products")).alias("c")).select("draw", "region", "n", "c.at.i", "c.at.j", F.col("c.products").alias("product")), "product", digits=4)
+
+
+@queries.add("stable_subspaces")
+def stable_subspaces(spark, d):
+    """Spans found on the orders of even number and confirmed on the others."""
+    rows = stored(samples(spark, d), "samples")
+    recipe = subspaces.Recipe(dimensions=(1, 2), ridges=(0.1, 1.0), draws=199)
+    half, key = rows.where("half = 0"), F.col("key")
+    s = subspaces.scores_of(half, FEATURES, "target", "nuisance")
+    spans = subspaces.generated(half, s, key, recipe)
+    again = subspaces.confirmed(rows.where("half = 1"), spans, s, key, recipe)
+    found = spans.select("label", F.col("explained").alias("found_explained"), F.col("q").alias("found_q"), "farthest")
+    return rounded(again.join(found, "label").select("label", "found_explained", "found_q", "farthest", "candidate", "explained", "q", "region_range", "replicated"), "found_explained", "found_q", "farthest", "explained", "q", "region_range")
