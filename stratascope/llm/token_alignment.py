@@ -23,6 +23,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,9 +58,9 @@ class ByteLevel:
         self.ranks = {bytes(alphabet[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
         self.size = 1 + max(self.ranks.values())
 
-    def encoder(self, pattern: str) -> Callable[[list[str]], list[list[int]]]:
+    def encoder(self, pattern: str) -> Callable[[str], np.ndarray]:
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        return lambda texts: [own.encode_ordinary(" " + t) for t in texts]
+        return lambda text: np.array(own.encode_ordinary(" " + text), np.int32)
 
     def table(self) -> list[bytes]:
         out = [b""] * self.size
@@ -75,55 +76,79 @@ class Pieces:
         with open(path, "rb") as f:
             self.proto = f.read()
 
-    def encoder(self) -> tuple[Callable[[list[str]], list[list[int]]], list[bytes]]:
+    def encoder(self) -> tuple[Callable[[str], np.ndarray], list[bytes]]:
         own = SentencePieceProcessor(model_proto=self.proto)
         pieces = [(own.IdToPiece(i), own.IsByte(i)) for i in range(own.GetPieceSize())]
         table = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in pieces]
-        return lambda texts: own.encode(texts, num_threads=1), table
+        return lambda text: np.array(own.encode(text, num_threads=1), np.int32), table
 
 
-def common_ends(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """Runs and groups (i, j, n, m): tokens i to i + n and j to j + m. If n = m they lie one to one; otherwise they are one group.
+def common_ends(a: list[int], b: list[int]) -> list[int]:
+    """Runs and groups (i, j, n, m), one after the other in one list: tokens i to i + n and j to j + m.
 
-    ``a`` and ``b`` hold increasing ends and have the same last one.
+    If n = m they lie one to one; otherwise they are one group. ``a`` and ``b`` hold increasing ends with the same last one.
     """
-    i = j = 0
-    while i < len(a):
+    out: list[int] = []
+    add, i, j, n = out.extend, 0, 0, len(a)
+    while i < n:
         start, size = i, 1
-        while i < len(a) and a[i : i + size] == b[j : j + size]:  # probes double as long as they fit the shift j - i
+        while i < n and a[i : i + size] == b[j : j + size]:  # probes double as long as they fit the shift j - i
             i, j, size = i + size, j + size, 2 * size
-        while size > 1 and i < len(a):  # and then halve, to where the stretch ends
-            size //= 2
-            if a[i : i + size] == b[j : j + size]:
-                i, j = i + size, j + size
-        i, j = min(i, len(a)), min(j, len(b))
-        if i > start:
-            yield start, j - (i - start), i - start, i - start
-        if i < len(a):
+        if size > 1:
+            while size > 1 and i < n:  # and then halve, to where the stretch ends
+                size //= 2
+                if a[i : i + size] == b[j : j + size]:
+                    i, j = i + size, j + size
+            if i > n:  # the last probe reached over the end
+                i, j = n, j - (i - n)
+            add((start, j - i + start, i - start, i - start))
+        if i < n:  # an irregular group: on to the next common end
             p, q = i, j
-            while a[p] != b[q]:
-                if a[p] < b[q]:
+            x, y = a[p], b[q]
+            while x != y:
+                if x < y:
                     p += 1
+                    x = a[p]
                 else:
                     q += 1
-            yield i, j, p + 1 - i, q + 1 - j
+                    y = b[q]
+            add((i, j, p + 1 - i, q + 1 - j))
             i, j = p + 1, q + 1
-
-
-def aligned(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[int, str, np.ndarray]:
-    """The number of groups, the groups as text, and the linked pairs of ids, a << 32 | b."""
-    names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    text, at_a, at_b = [], [], []
-    for i, j, n, m in common_ends(ends_a.tolist(), ends_b.tolist()):
-        if n == m and (n == 1 or ends_a[i] == ends_b[j]):
-            text.extend(map("|".join, zip(names_a[i : i + n], names_b[j : j + n])))
-            at_a.extend(range(i, i + n))
-            at_b.extend(range(j, j + n))
-        else:
-            text.append(f"{','.join(names_a[i : i + n])}|{','.join(names_b[j : j + m])}")
-            at_a.append(i + n - 1)
-            at_b.append(j + m - 1)
-    return len(text), ";".join(text), a[at_a].astype(np.int64) << B_BITS | b[at_b].astype(np.int64)
+    return out
+
+
+@cache
+def _shown(size: int) -> pa.Array:
+    """Each id with each sign that can follow it: 4 * id + (0 a comma, 1 a bar, 2 a semicolon)."""
+    return pa.array([f"{i}{sign}" for i in range(size) for sign in ",|;,"])
+
+
+def laid_out(table: pa.Array, at: np.ndarray) -> memoryview:
+    """The texts or bytes at these places of a table, one after the other."""
+    rows = table.take(pa.array(at))
+    _, offsets, data = rows.buffers()
+    end = np.frombuffer(offsets, np.int32, len(at) + 1)[-1]
+    return memoryview(data).cast("B")[:end] if data is not None else memoryview(b"")
+
+
+def aligned(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[int, memoryview, np.ndarray]:
+    """The number of groups, the groups as ASCII text, and the linked pairs of ids, a << 32 | b."""
+    listed_a, listed_b = ends_a.tolist(), ends_b.tolist()
+    found = np.array(common_ends(listed_a, listed_b), np.int64).reshape(-1, 4)
+    # one to one: as many tokens on both sides that start to end together; any other stretch is one group
+    single = (found[:, 2] == found[:, 3]) & (ends_a[found[:, 0]] == ends_b[found[:, 1]])
+    groups = np.where(single, found[:, 2], 1)
+    within = np.arange(groups.sum()) - np.repeat(np.cumsum(groups) - groups, groups)
+    last_a, last_b = (np.repeat(np.where(single, found[:, k], found[:, k] + found[:, k + 2] - 1), groups) + within for k in (0, 1))
+    # in the text, A's tokens of a group stand after B's of the groups before it, and B's after A's of the group itself
+    codes, before = np.empty(len(a) + len(b), np.int32), np.concatenate(([-1], last_b[:-1])) + 1
+    place_a = np.arange(len(a)) + np.repeat(before, np.diff(last_a, prepend=-1))
+    place_b = np.arange(len(b)) + np.repeat(last_a + 1, np.diff(last_b, prepend=-1))
+    codes[place_a], codes[place_b] = 4 * a, 4 * b
+    codes[place_a[last_a]] += 1
+    codes[place_b[last_b]] += 2
+    text = laid_out(_shown(1 << max(16, int(codes.max()).bit_length() - 2)), codes)
+    return len(last_a), text[:-1], a[last_a].astype(np.int64) << B_BITS | b[last_b].astype(np.int64)
 
 
 def _align(shared, pattern: str, chunk_chars: int, keep_groups: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -149,18 +174,18 @@ def _align(shared, pattern: str, chunk_chars: int, keep_groups: bool) -> Callabl
         encode_a, table_a = byte_level.encoder(pattern), byte_level.table()
         encode_b, table_b = pieces.encoder()
         size_a, size_b = (np.array([len(x) for x in t], np.int64) for t in (table_a, table_b))
+        table_a, table_b = (pa.array(t, pa.binary()) for t in (table_a, table_b))
         nothing = (0, 0, 0, "", "" if keep_groups else None, np.empty(0, np.int64), np.empty(0, np.int32))
         chunk, chars, docs = uuid.uuid4().int >> 65, 0, []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), each(batch.column(1), 64)):
                 found = nothing
                 if text:
-                    (a,), (b,), whole = encode_a([text]), encode_b([text]), (" " + text).encode()
-                    if b"".join(map(table_a.__getitem__, a)) == whole == b"".join(map(table_b.__getitem__, b)):
-                        a, b = np.array(a, np.int32), np.array(b, np.int32)
+                    a, b, whole = encode_a(text), encode_b(text), (" " + text).encode()
+                    if laid_out(table_a, a) == whole == laid_out(table_b, b):
                         n, groups, links = aligned(a, b, np.cumsum(size_a[a]), np.cumsum(size_b[b]))
                         pairs, times = np.unique(links, return_counts=True)
-                        found = (len(a), len(b), n, hashlib.sha256(groups.encode()).hexdigest(), groups if keep_groups else None, pairs, times.astype(np.int32))
+                        found = (len(a), len(b), n, hashlib.sha256(groups).hexdigest(), bytes(groups).decode() if keep_groups else None, pairs, times.astype(np.int32))
                 docs.append((doc_id, *found))
                 chars += len(text or "") + 64
                 if chars >= chunk_chars:
