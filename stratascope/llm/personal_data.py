@@ -9,7 +9,9 @@ before and the one after; the sign before, quotes left out. So does its form: th
 is long. Patterns and instances are a graph. In each round a pattern's confidence in a kind is the mean of what its
 distinct instances score for the kind, and an instance's score is the noisy-or of its patterns; seeds stay certain.
 Candidates that reach CONFIDENT become spans of that kind wherever they occur with a pattern of their surroundings that
-reaches it too; a form alone never decides. Patterns count with LEAST_SEEDS distinct seeds or more.
+reaches it too; a form alone never decides. Patterns count with LEAST_SEEDS distinct seeds or more. What a kind demands of
+its digits holds for candidates as for seeds: a candidate that can't be a card, an address or a phone number scores
+nothing as one. ``pattern_report`` tells what was learned from what, round by round.
 
 Offsets are code points, end exclusive. A pattern's matches and the text between them come from the same left-to-right
 scan, and a running sum over them gives the places; patterns start only where a run of their characters starts, so that
@@ -85,6 +87,19 @@ def _valid(kind: Column, value: Column) -> Column:
     )
 
 
+def possible(kind: str, value: Column) -> Column:
+    """Whether a candidate could be an identifier of this kind, however it is written: single digits may be told apart by other signs than in the base pattern."""
+    n = F.length(_digits(value))
+    if kind == "card":
+        return F.when((n >= 13) & (n <= 19), luhn(_digits(value))).otherwise(False)
+    if kind == "ip":
+        parts = F.filter(F.split(value, "[^0-9]+"), lambda x: x != "")
+        return ~value.rlike("[A-Za-z@]") & (F.size(parts) == 4) & F.forall(parts, lambda x: x.cast("double") <= 255)
+    if kind == "phone":
+        return ~value.rlike("[A-Za-z@]") & (n >= 7) & (n <= 15)
+    return value.rlike("[^@]@[^@]") if kind == "email" else F.lit(True)
+
+
 def _spans(hits: DataFrame) -> DataFrame:
     """rid, kind, start, end, value, left, right: every match that holds, with its place."""
     each = [hits.select("rid", F.lit(k).alias("kind"), F.posexplode(k).alias("pos", "m")) for k in (*KINDS, "candidate")]
@@ -101,7 +116,8 @@ def _apart(spans: DataFrame) -> DataFrame:
     base = F.col("kind") != "candidate"
     by_start = Window.partitionBy("rid").orderBy("start", F.when(base, 0).otherwise(1))
     before = F.max(F.when(base, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(base, F.col("start"))).over(by_start.rowsBetween(0, Window.unboundedFollowing))
+    from_end = Window.partitionBy("rid").orderBy(F.desc("start"), F.when(base, 1).otherwise(0))  # a running minimum: frames to the end would be summed up anew for each row
+    after = F.min(F.when(base, F.col("start"))).over(from_end.rowsBetween(Window.unboundedPreceding, 0))
     marked = spans.withColumn("before", before).withColumn("after", after)
     clear = (F.coalesce("before", F.lit(-1)) <= F.col("start")) & F.coalesce(F.col("after") >= F.col("end"), F.lit(True))
     return marked.where(base | clear).drop("before", "after")
@@ -138,56 +154,68 @@ def _seeds(spans: DataFrame) -> DataFrame:
     return spans.withColumn("kind", F.when((F.col("kind") == "candidate") & (F.col("value").rlike(SECRET) | quoted), "secret").otherwise(F.col("kind")))
 
 
-def learned(spans: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, least_seeds: int = LEAST_SEEDS) -> DataFrame:
-    """rid, kind, start, end of the candidates that the bootstrap adds."""
+def learned(spans: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, least_seeds: int = LEAST_SEEDS) -> tuple[DataFrame, DataFrame]:
+    """rid, kind, start, end of the candidates that the bootstrap adds; and the patterns: round, pattern, kind, seeds, instances, confidence."""
     kinds = LEARNED
     seen = written(_contexts(spans).select("rid", F.col("kind").alias("found_as"), "start", "end", F.lower("value").alias("instance"), "pattern", "near"), "contexts")
     edges = written(seen.groupBy("pattern", "instance").agg(*[F.max((F.col("found_as") == k).cast("int")).alias(f"seed_{k}") for k in kinds]), "graph")
     support = edges.groupBy("pattern").agg(F.count("*").alias("n"), *[F.sum(f"seed_{k}").alias(f"n_{k}") for k in kinds])
     usable = written(support.where(reduce(Column.__or__, [F.col(f"n_{k}") >= least_seeds for k in kinds])), "patterns")
     graph = written(edges.join(usable, "pattern"), "edges")
-    scores, old = graph.groupBy("instance").agg(*[F.max(f"seed_{k}").cast("double").alias(k) for k in kinds]), None
-    scores = written(scores, "instances")
+    scores = written(graph.groupBy("instance").agg(*[F.max(f"seed_{k}").cast("double").alias(k) for k in kinds]), "instances")
+    rules: list[DataFrame] = []
     for _ in range(rounds):
         rated = graph.join(scores, "instance")
         share = lambda k: F.when(F.max(f"n_{k}") >= least_seeds, F.sum(k) / F.count("*")).otherwise(0.0)
-        patterns = written(rated.groupBy("pattern").agg(*[share(k).alias(f"p_{k}") for k in kinds]), "confidence")
+        rules.append(written(rated.groupBy("pattern").agg(F.count("*").alias("instances"), *[F.max(f"n_{k}").alias(f"n_{k}") for k in kinds], *[share(k).alias(f"p_{k}") for k in kinds]), "confidence"))
         doubt = lambda k: F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col(f"p_{k}"))))
-        again = graph.join(patterns, "pattern").groupBy("instance").agg(*[F.greatest(F.max(f"seed_{k}").cast("double"), 1 - F.exp(doubt(k))).alias(k) for k in kinds])
+        told = lambda k: F.when(possible(k, F.col("instance")), 1 - F.exp(doubt(k))).otherwise(0.0)
+        again = graph.join(rules[-1].select("pattern", *[f"p_{k}" for k in kinds]), "pattern").groupBy("instance").agg(*[F.greatest(F.max(f"seed_{k}").cast("double"), told(k)).alias(k) for k in kinds])
         again = written(again, "instances")
-        drop_written(scores, old)
-        scores, old = again, patterns
+        drop_written(scores)
+        scores = again
     kind = F.greatest(*[F.struct(F.col(k).alias("by"), F.lit(k).alias("kind")) for k in kinds])
     sure = scores.select("instance", kind.alias("k")).where(F.col("k.by") >= confident).select("instance", F.col("k.kind").alias("kind"))
-    held = old.select("pattern", *[F.when(F.col(f"p_{k}") >= confident, F.lit(k)).alias(f"is_{k}") for k in kinds]).where(F.coalesce(*[f"is_{k}" for k in kinds]).isNotNull())
+    held = rules[-1].select("pattern", *[F.when(F.col(f"p_{k}") >= confident, F.lit(k)).alias(f"is_{k}") for k in kinds]).where(F.coalesce(*[f"is_{k}" for k in kinds]).isNotNull())
     out = seen.where("found_as = 'candidate' AND near").join(held, "pattern").join(sure, "instance").where(F.array_contains(F.array(*[f"is_{k}" for k in kinds]), F.col("kind")))
-    seeds = seen.where("found_as = 'secret'").select("rid", F.col("found_as").alias("kind"), "start", "end")
-    out = written(out.select("rid", "kind", "start", "end").unionByName(seeds).distinct(), "learned")
-    drop_written(seen, edges, usable, graph, scores, old)
-    return out
+    out = written(out.select("rid", "kind", "start", "end").distinct(), "learned")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"n_{k}").alias("seeds"), F.col(f"p_{k}").alias("confidence")) for k in kinds])).alias("k")
+    told = [r.select(F.lit(i + 1).alias("round"), "pattern", "instances", each).select("round", "pattern", "k.kind", "k.seeds", "instances", "k.confidence").where("confidence > 0") for i, r in enumerate(rules)]
+    patterns = written(reduce(DataFrame.unionByName, told), "learned-patterns")
+    drop_written(seen, edges, usable, graph, scores, *rules)
+    return out, patterns
 
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, confident: float = CONFIDENT, least_seeds: int = LEAST_SEEDS) -> DataFrame:
-    """doc_id, base and spans of every row: arrays of (kind, start, end), by kind as in LEARNED, then start.
+    """doc_id, base, seeds, learned and spans of every row: arrays of (kind, start, end), by kind as in LEARNED, then start.
 
-    ``base`` holds what the four patterns find; ``spans`` also secrets and what the bootstrap adds.
+    ``base`` holds what the four patterns find, ``seeds`` secrets by their form, ``learned`` what contexts alone reveal, and
+    ``spans`` all of them.
     """
     own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     digit = F.col("text").rlike("[0-9]")
     needs = {"email": F.col("text").contains("@"), "ip": digit, "card": digit, "phone": F.col("text").contains("+"), "candidate": F.col("text").rlike("[0-9@]")}
     hits = written(_pieces(own, PATTERNS | {"candidate": CANDIDATE}, needs), "matches")
     spans = written(_seeds(_apart(_spans(hits))), "spans")
-    more = learned(spans, rounds, confident, least_seeds)
+    more, patterns = learned(spans, rounds, confident, least_seeds)
     place = F.create_map(*[F.lit(x) for i, k in enumerate(LEARNED) for x in (k, i)])[F.col("kind")]
-    every = spans.where("kind NOT IN ('candidate', 'secret')").select("rid", "kind", "start", "end", F.lit(True).alias("base")).unionByName(more.select("rid", "kind", "start", "end", F.lit(False).alias("base")))
-    in_order = F.array_sort(F.collect_list(F.struct(place.alias("place"), "start", "end", "kind", "base")))  # the spans of one text
+    own_kind = F.when(F.col("kind") == "secret", "seeds").otherwise("base").alias("by")
+    every = spans.where("kind <> 'candidate'").select("rid", "kind", "start", "end", own_kind).unionByName(more.select("rid", "kind", "start", "end", F.lit("learned").alias("by")))
+    in_order = F.array_sort(F.collect_list(F.struct(place.alias("place"), "start", "end", "kind", "by")))  # the spans of one text
     by_row = every.groupBy("rid").agg(in_order.alias("all"))
     joined = hits.select("rid", "doc_id").join(by_row, "rid", "left")
-    none = F.array().cast("array<struct<place:int,start:bigint,end:bigint,kind:string,base:boolean>>")
-    whole = F.coalesce("all", none)
+    whole = F.coalesce("all", F.array().cast("array<struct<place:int,start:bigint,end:bigint,kind:string,by:string>>"))
     plain = lambda a: F.transform(a, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    out = joined.select("doc_id", plain(F.filter(whole, lambda x: x["base"])).alias("base"), plain(whole).alias("spans"))
-    return keeps(out, hits, spans, more)
+    part = lambda by: plain(F.filter(whole, lambda x: x["by"] == by)).alias(by)
+    parts = [part(by) for by in ("base", "seeds", "learned")]
+    out = keeps(joined.select("doc_id", *parts, plain(whole).alias("spans")), hits, spans, more, patterns)
+    out._learned_patterns = patterns
+    return out
+
+
+def pattern_report(found: DataFrame) -> DataFrame:
+    """round, pattern, kind, seeds, instances, confidence: what the bootstrap behind the result of ``personal_data`` learned."""
+    return found._learned_patterns
 
 
 def as_text(spans: Column) -> Column:

@@ -28,7 +28,7 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count("base", k) for k in personal_data.KINDS],
         F.sha2(personal_data.as_text(F.col("base")), 256).alias("base_sha256"),
         personal_data.as_text(F.col("spans")).alias("spans"),
-        (F.size("spans") - F.size("base")).cast("long").alias("n_learned"),
+        F.size("learned").cast("long").alias("n_learned"),
         count("spans", "secret"),
         F.size("spans").cast("long").alias("n_spans"),
     )

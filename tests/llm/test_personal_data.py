@@ -73,3 +73,46 @@ def test_luhn(spark, number, good):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(pd_.luhn(F.lit(number)).alias("x")).first()["x"] is good
+
+
+def test_unseen_identifiers_of_every_kind_and_no_invalid_card(spark):
+    """Each kind is seeded in a context of its own; identifiers written otherwise than the base patterns say turn up there."""
+
+    def luhn_card(i: int) -> str:
+        own = f"4{i:014d}"
+        return next(own + str(c) for c in range(10) if holds("card", own + str(c)))
+
+    rows = []
+    for i in range(9):
+        rows += [(i, f"noise {i} my mail address is user{i}@mail.example.com , as said"), (100 + i, f"then {i} it ran on host: 10.20.30.{40 + i} , fine")]
+        rows += [(200 + i, f"see {i} my card number: {luhn_card(i * 7919 + 11)} , thanks"), (300 + i, f"do {i} please ring me on +44 20 7946 0{100 + i} today"), (400 + i, f'old {i} secret = "{i * 7919 + 0xABCDEF:08x}{i:032x}" end')]
+    dots = lambda d: ".".join(d[k : k + 4] for k in range(0, 16, 4))
+    good, bad = luhn_card(424242), luhn_card(424242)[:-1] + str((int(luhn_card(424242)[-1]) + 5) % 10)
+    unseen = {500: ("email", "jane.doe@intranet", "so my mail address is {} , as said"), 501: ("ip", "10 20 30 77", "then it ran on host: {} , fine"), 502: ("card", dots(good), "see my card number: {} , thanks"), 503: ("phone", "(020) 794 6018", "do please ring me on {} today"), 504: ("secret", "a1b2c3d4e5f60718", "new secret = {} end")}
+    rows += [(i, form.format(v)) for i, (_, v, form) in unseen.items()]
+    refused = {600: f"see my card number: {dots(bad)} , thanks", 601: "then it ran on host: 10 20 30 777 , fine", 602: "do please ring me on 12345 today", 603: "so my mail address is 12345678 , as said"}
+    rows += refused.items()
+    found = pd_.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in found.collect()}
+    text = dict(rows)
+    for i, (kind, value, _) in unseen.items():
+        assert [(k, text[i][a:b]) for k, a, b in got[i]["learned"]] == [(kind, value)] and got[i]["spans"] == got[i]["learned"], i
+    assert all(not got[i]["spans"] for i in refused)
+    assert sum(len(r["learned"]) for r in got.values()) == len(unseen) and all(len(got[400 + i]["seeds"]) == 1 and not got[400 + i]["learned"] for i in range(9))
+    report = pd_.pattern_report(found).collect()
+    assert {r["round"] for r in report} == {1, 2, 3} and all(0 < r["confidence"] <= 1 and r["seeds"] <= r["instances"] for r in report)
+    (host,) = [r for r in report if r["round"] == 3 and r["kind"] == "ip" and r["pattern"] == "host: _"]
+    assert host["seeds"] == 9 and host["instances"] == 11
+
+
+def test_many_matches_in_one_text_take_time_in_their_number(spark):
+    import time
+
+    def seconds(n: int) -> float:
+        df = spark.createDataFrame([(1, " ".join(f"u{i}@example.com x{i}" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert len(pd_.personal_data(df).first()["base"]) == n
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(16_000) < 6 * seconds(4_000) + 5
