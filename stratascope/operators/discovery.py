@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stratascope.folders import stored
 from stratascope.functions.geometry import wrapped_difference
 from stratascope.operators.neighbours import subsets
 
@@ -153,6 +154,7 @@ def stationary_haar(field: DataFrame, height: int, width: int, levels: int) -> D
         four = now.join(at(0, d, "r"), ["y", "x"]).join(at(d, 0, "b"), ["y", "x"]).join(at(d, d, "c"), ["y", "x"])
         v, r, b, c = (F.col(n) for n in ("v", "r", "b", "c"))
         level = four.select(F.lit(j).alias("level"), "y", "x", ((v + r + b + c) / 4).alias("ll"), ((v - r + b - c) / 4).alias("lh"), ((v + r - b - c) / 4).alias("hl"), ((v - r - b + c) / 4).alias("hh"))
+        level = stored(level, "level")  # joined four times by the next one
         out = level if out is None else out.unionByName(level)
         now = level.select("y", "x", F.col("ll").alias("v"))
     return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratascope.errors import Refused
+from stratascope.folders import stored
 
 
 def drawn(*parts: Column) -> Column:
@@ -112,7 +113,7 @@ def strongest(correlations: DataFrame) -> DataFrame:
 def precedence_test(record: DataFrame, moved: DataFrame, lags: list[int]) -> DataFrame:
     """driver, driven, observed, n, reached, p_value of the strongest lag, and family_p against the largest of all pairs in a draw."""
     observed = strongest(pair_correlations(record.withColumn("draw", F.lit(0).cast("long")), record, lags)).select("driver", "driven", F.col("strength").alias("observed"))
-    null = strongest(pair_correlations(moved, record, lags))
+    null = stored(strongest(pair_correlations(moved, record, lags)), "null-strengths")  # read for each pair and for the largest of a draw
     largest = null.groupBy("draw").agg(F.max("strength").alias("largest"))
     both = null.join(largest, "draw").join(observed, ["driver", "driven"])
     g = both.groupBy("driver", "driven", "observed").agg(F.count("*").alias("n"), F.count_if(F.col("strength") >= F.col("observed")).alias("reached"), F.count_if(F.col("largest") >= F.col("observed")).alias("reached_all"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stratascope.errors import Refused
 
@@ -23,11 +24,31 @@ def probe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def checked_clock(df: DataFrame, time: str, order: str) -> DataFrame:
-    """``df`` if its time strictly increases in the given order; otherwise it is refused."""
-    step = F.col(time) <= F.lag(time).over(Window.orderBy(order))  # a file's own order: one pass over one record
-    bad = df.select(F.col(time), F.col(order)).withColumn("_bad", step | F.col(time).isNull()).where("_bad").limit(1).collect()
-    if bad:
-        raise Refused(f"{time} doesn't increase at {order} {bad[0][order]}")
+    """``df`` if its time strictly increases in the given order; otherwise it is refused.
+
+    Ranges of the order are checked where they are; what meets at their edges is compared from one row a range.
+    """
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = low = bad = None
+        for batch in batches:
+            times, places = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for t, at in zip(times, places):
+                if bad is None and (t is None or last is not None and t <= last):
+                    bad = at
+                first, low = (t, at) if low is None else (first, low)
+                last = t
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((low, pa.int64()), (first, pa.float64()), (last, pa.float64()), (bad, pa.int64()))], ["low", "first", "last", "bad"])
+
+    rows = df.select(F.col(time).cast("double").alias("t"), F.col(order).cast("long").alias("at")).repartitionByRange("at").sortWithinPartitions("at")
+    before = None
+    for r in rows.mapInArrow(check, "low long, first double, last double, bad long").orderBy("low").collect():  # a row a range
+        edge = before is not None and r["first"] is not None and r["first"] <= before
+        wrong = r["low"] if edge else r["bad"]
+        if wrong is not None:
+            raise Refused(f"{time} doesn't increase at {order} {wrong}")
+        before = r["last"]
     return df
 
 
