@@ -91,10 +91,12 @@ def common_ends(a: list[int], b: list[int]) -> list[int]:
     out: list[int] = []
     add, i, j, n = out.extend, 0, 0, len(a)
     while i < n:
-        start, size = i, 1
-        while i < n and a[i : i + size] == b[j : j + size]:  # probes double as long as they fit the shift j - i
-            i, j, size = i + size, j + size, 2 * size
-        if size > 1:
+        x, y = a[i], b[j]
+        if x == y:
+            start, size = i, 2
+            i, j = i + 1, j + 1
+            while i < n and a[i : i + size] == b[j : j + size]:  # probes double as long as they fit the shift j - i
+                i, j, size = i + size, j + size, 2 * size
             while size > 1 and i < n:  # and then halve, to where the stretch ends
                 size //= 2
                 if a[i : i + size] == b[j : j + size]:
@@ -102,9 +104,8 @@ def common_ends(a: list[int], b: list[int]) -> list[int]:
             if i > n:  # the last probe reached over the end
                 i, j = n, j - (i - n)
             add((start, j - i + start, i - start, i - start))
-        if i < n:  # an irregular group: on to the next common end
+        else:  # an irregular group: on to the next common end
             p, q = i, j
-            x, y = a[p], b[q]
             while x != y:
                 if x < y:
                     p += 1
