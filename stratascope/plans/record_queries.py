@@ -68,7 +68,7 @@ def theta_join_haversine(spark, d):
 @queries.add("constellations", "SELECT a.l_orderkey AS orderkey, a.l_linenumber || '+' || b.l_linenumber || '+' || c.l_linenumber AS members FROM lineitem a JOIN lineitem b USING (l_orderkey) JOIN lineitem c USING (l_orderkey) WHERE a.l_linenumber < b.l_linenumber AND b.l_linenumber < c.l_linenumber")
 def constellations(spark, d):
     lines = r.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("member"))
-    return neighbours.subsets(lines, 3, "orderkey", most=16)
+    return neighbours.subsets(lines, 3, "orderkey")
 
 
 REGIONS = [("north", 20, 60, -180, 180), ("south", -60, -20, -180, 180), ("west", -30, 30, -180, -10), ("east", -15, 15, -5, 170)]

@@ -219,3 +219,11 @@ def test_features_near_poles_and_seam(spark):
     for i, a, b in fixes:
         d = [6371 * 2 * np.arcsin(min(1, np.sqrt(np.sin(np.radians(c - a) / 2) ** 2 + np.cos(np.radians(a)) * np.cos(np.radians(c)) * np.sin(np.radians(e - b) / 2) ** 2))) for _, c, e in features]
         assert got[i] == sum(x <= 1500 for x in d)
+
+
+def test_constellations_of_a_large_order(spark, tmp_path):
+    from stratascope.plans import record_queries
+
+    spark.range(1, 21).select(F.lit(1).cast("long").alias("l_orderkey"), F.col("id").cast("int").alias("l_linenumber")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [r["members"] for r in record_queries.constellations(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted("+".join(map(str, c)) for c in itertools.combinations(range(1, 21), 3))
