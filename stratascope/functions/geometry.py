@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EARTH_KM = 6371.0
 
@@ -20,6 +24,21 @@ def wrapped_difference(a: Column, b: Column, period: float) -> Column:
     return d - F.floor(d / period) * period - period / 2
 
 
+@F.pandas_udf(DoubleType())
+def facing(dy: pd.Series, dx: pd.Series, angle: pd.Series, period: pd.Series) -> pd.Series:
+    """The cosine of an angle against the bearing (dy, dx), the difference taken on a circle of ``period`` degrees.
+
+    By the C library's atan2 and cos: the sum of two cosines that cancel is 0 or the last bit of either, and its sign then
+    depends on whose they are. The JVM's differ in that bit.
+    """
+
+    def one(y: float, x: float, a: float, p: float) -> float:
+        d = math.degrees(math.atan2(x, y)) - a + p / 2
+        return math.cos(math.radians(d - math.floor(d / p) * p - p / 2)) if math.isfinite(d) else math.nan
+
+    return pd.Series([one(*r) for r in zip(dy.tolist(), dx.tolist(), angle.tolist(), period.tolist())], dtype="float64")
+
+
 def periodic_distance(a: Column, b: Column, period: float) -> Column:
     d = F.abs(a - b)
     return F.least(d, period - d)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratascope.folders import stored
-from stratascope.functions.geometry import wrapped_difference
+from stratascope.functions.geometry import facing, wrapped_difference
 from stratascope.operators.neighbours import subsets
 
 
@@ -54,7 +54,8 @@ def relations(pairs: DataFrame, period: float, directed: bool = False) -> DataFr
     inside = (a("extent") - (apart + b("extent"))) / a("extent")
     bearing = lambda y, x: F.when(apart > 0, F.degrees(F.atan2(x, y)))
     turn = lambda bearing, angle: wrapped_difference(bearing, angle, period)
-    inward = F.cos(F.radians(turn(bearing(dy, dx), a("angle")))) + F.cos(F.radians(turn(bearing(-dy, -dx), b("angle"))))
+    circle = F.lit(float(period))
+    inward = F.when(apart > 0, facing(dy, dx, a("angle"), circle) + facing(-dy, -dx, b("angle"), circle))
     more = {"convergence": inward, "converging": inward > 0} if directed else {}
     return pairs.withColumns({
         "distance": apart / F.sqrt(a("scale") * b("scale")),

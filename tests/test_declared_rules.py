@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 import numpy as np
 import pytest
@@ -94,3 +95,19 @@ def test_a_query_name_stands_once():
         r.add("one")(lambda spark, d: None)
     with pytest.raises(ValueError, match="twice"):
         catalogue._joined([{"a": 1}, {"a": 2}])
+
+
+def test_cosines_that_cancel_are_those_of_the_sql(spark):
+    """Lines of sf0.1 whose bearings cancel to 0 or to the last bit."""
+    import duckdb
+
+    from stratascope.plans import discovery_queries as q
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").where("l_orderkey IN (4993, 9509, 27717, 29509)")
+    with tempfile.TemporaryDirectory() as folder:
+        rows.write.parquet(f"{folder}/lineitem.parquet")
+        db = duckdb.connect()
+        db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+        want = sorted(db.execute(f"SELECT orderkey, line, part, next_part, converging FROM ({q.queries.sql['feature_relations']})").fetchall())
+        got = q.feature_relations(spark, folder).select("orderkey", "line", "part", "next_part", "converging").collect()
+    assert sorted(map(tuple, got)) == want
