@@ -17,12 +17,13 @@ def similarities(points: DataFrame, queries: DataFrame, id_col: str, vector: str
     """id, other, similarity: each query's k nearest points by cosine, ties to the smaller id.
 
     Points and queries meet in blocks: each block of queries visits each block of points once, as matrices, and sends on k
-    rows a query. Queries and points are numbered by a hash of their id.
+    rows a query. Queries and points are numbered by a hash of their id. Both sides number blocks in one type: a cogroup
+    hashes its keys as they are, and an int and a long of one value go to different tasks.
     """
     n, m = points.count(), queries.count()
     parts, asks = max(1, -(-n // block)), max(1, -(-m // block))
-    p = points.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("part")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
-    q = queries.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(asks)).alias("ask")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    p = points.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("long").alias("part")).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asks - 1).cast("long"))))
+    q = queries.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(asks)).cast("long").alias("ask")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def unit(v: pd.Series) -> np.ndarray:
         a = np.stack(v.to_numpy()).astype(np.float64)

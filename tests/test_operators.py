@@ -227,3 +227,30 @@ def test_constellations_of_a_large_order(spark, tmp_path):
     spark.range(1, 21).select(F.lit(1).cast("long").alias("l_orderkey"), F.col("id").cast("int").alias("l_linenumber")).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = [r["members"] for r in record_queries.constellations(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted("+".join(map(str, c)) for c in itertools.combinations(range(1, 21), 3))
+
+
+def test_blocks_of_neighbours_meet(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(300, 4))
+    rows = spark.createDataFrame([(i, v[i].tolist()) for i in range(300)], "id long, v array<double>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small partitions would be read by one task
+    try:
+        found = neighbours.similarities(rows, rows.where("id % 10 = 0"), "id", "v", 3, block=16).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for i in range(0, 300, 10):
+        order = [int(j) for j in np.argsort(-(unit @ unit[i])) if j != i][:3]
+        assert [r["other"] for r in sorted((r for r in found if r["id"] == i), key=lambda r: r["rank"])] == order
+
+
+def test_crowded_places_are_compared_once(spark):
+    """2,000 rows at each of two places 556 km apart, a lone fix, and one whose place is unknown."""
+    spots = [(0.0, 0.0), (5.0, 0.0)]
+    features = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 0.0).otherwise(5.0).alias("lat"), F.lit(0.0).alias("lon"))
+    fixes = spark.createDataFrame([(i, *spots[i % 2]) for i in range(2000)] + [(2000, 60.0, 10.0), (2001, None, 0.0)], "id long, lat double, lon double")
+    out = neighbours.features_within(fixes, features, 900.0)
+    got = {r["id"]: r["n"] for r in out.collect()}
+    assert got == {i: 4000 if i < 2000 else 0 for i in range(2002)}
+    joined = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(_n" in joined  # places meet with the number of their rows
