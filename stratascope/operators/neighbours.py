@@ -105,8 +105,11 @@ def features_within(fixes: DataFrame, features: DataFrame, radius_km: float, *ke
     """id, n, nearest_km of the features (lat, lon) within a radius of each fix at the same keys; fixes without any stay.
 
     Both sides are dealt into latitude bands as wide as the radius, and within a band into cells of longitude that are no
-    narrower than the radius can reach there, so that a fix meets nine cells; bands near a pole are one cell.
+    narrower than the radius can reach there, so that a fix meets nine cells; bands near a pole are one cell. Rows at one
+    place are one row with their number on either side, so that what meets grows with the places and not with the rows.
     """
+    features = features.groupBy(*keys, "lat", "lon").agg(F.count("*").alias("_n"))
+    places = fixes.select(*keys, "lat", "lon").distinct()
     band = radius_km / 111.0
     reach = math.radians(band)
 
@@ -116,12 +119,12 @@ def features_within(fixes: DataFrame, features: DataFrame, radius_km: float, *ke
         return F.when(edge + reach < math.pi / 2, F.greatest(F.lit(1), F.floor(360 / wide))).otherwise(1).cast("long")
 
     cell = lambda lon: F.floor(F.pmod(lon, F.lit(360.0)) * F.col("_cells") / 360)
-    f = fixes.select(*keys, "id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(F.sequence(F.floor(F.col("lat") / band) - 1, F.floor(F.col("lat") / band) + 1)).alias("_band")).withColumn("_cells", cells(F.col("_band")))
+    f = places.select(*keys, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(F.sequence(F.floor(F.col("lat") / band) - 1, F.floor(F.col("lat") / band) + 1)).alias("_band")).withColumn("_cells", cells(F.col("_band")))
     f = f.withColumn("_cell", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: F.pmod(cell(F.col("_lon")) + i, F.col("_cells"))))))
-    g = features.select(*keys, "lat", "lon", F.floor(F.col("lat") / band).alias("_band")).withColumn("_cells", cells(F.col("_band"))).withColumn("_cell", F.pmod(cell(F.col("lon")), F.col("_cells"))).drop("_cells")
+    g = features.select(*keys, "lat", "lon", "_n", F.floor(F.col("lat") / band).alias("_band")).withColumn("_cells", cells(F.col("_band"))).withColumn("_cell", F.pmod(cell(F.col("lon")), F.col("_cells"))).drop("_cells")
     met = f.join(g, [*keys, "_band", "_cell"]).withColumn("km", great_circle_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))).where(F.col("km") <= radius_km)
-    near = met.groupBy(*keys, "id").agg(F.count("*").alias("n"), F.min("km").alias("nearest_km"))
-    return fixes.select(*keys, "id").join(near, [*keys, "id"], "left").fillna(0, ["n"])
+    near = met.groupBy(*keys, F.col("_lat").alias("lat"), F.col("_lon").alias("lon")).agg(F.sum("_n").alias("n"), F.min("km").alias("nearest_km"))
+    return fixes.select(*keys, "id", "lat", "lon").join(near, [*keys, "lat", "lon"], "left").drop("lat", "lon").fillna(0, ["n"])
 
 
 def subsets(members: DataFrame, size: int, *keys: str, member: str = "member", most: int | None = None) -> DataFrame:
