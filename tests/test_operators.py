@@ -254,3 +254,46 @@ def test_crowded_places_are_compared_once(spark):
     assert got == {i: 4000 if i < 2000 else 0 for i in range(2002)}
     joined = out._jdf.queryExecution().optimizedPlan().toString()
     assert "sum(_n" in joined  # places meet with the number of their rows
+
+
+def _spans(seed, n, ids):
+    rnd = random.Random(seed)
+    return [(rnd.randrange(ids), a := rnd.randrange(-20, 60), a + rnd.randrange(0, 15), rnd.uniform(1, 9)) for _ in range(n)]
+
+
+def test_overlaps_of_keys_in_blocks(spark):
+    rows = _spans(4, 120, 23)
+    out = intervals.pairwise_overlap(spark.createDataFrame(rows, "k long, start long, end long, v double").drop("v"), "k", 2.0, block=5)
+    got = {(r["left"], r["right"]): (r["overlap"], r["effective"]) for r in out.collect()}
+    cover = {k: {t for q, a, b, _ in rows if q == k for t in range(a, b)} for k in range(23)}
+    assert got == {(i, j): (n, n / 2) for i in cover for j in cover if i < j and (n := len(cover[i] & cover[j]))}
+    assert "_bucket" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row for a pair and a stretch
+
+
+def test_correlation_makes_no_pairs(spark):
+    left, right = _spans(5, 90, 3), _spans(6, 70, 3)
+    make = lambda rows: spark.createDataFrame(rows, "k long, start long, end long, value double")
+    out = intervals.weighted_correlation(make(left), make(right), 7, "k")
+    got = {r["k"]: r for r in out.collect()}
+    for k in range(3):
+        met = np.array([(min(b, e) - max(a, s), x, y) for q, a, b, x in left for r, s, e, y in right if q == r == k and b > a and e > s and a < e and s < b])
+        w, x, y = met.T
+        mean = lambda z: (w * z).sum() / w.sum()  # noqa: B023, E731
+        r = (mean(x * y) - mean(x) * mean(y)) / np.sqrt((mean(x * x) - mean(x) ** 2) * (mean(y * y) - mean(y) ** 2))
+        assert (got[k]["n_pairs"], got[k]["weight"]) == (len(met), w.sum()) and got[k]["r"] == pytest.approx(r)
+    assert "a_start" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quantiles_over_parts(spark):
+    from stratascope.operators import dependence
+
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=500), np.repeat(0.25, 200), [np.inf, -np.inf]])
+    rows = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "value double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9]
+    assert dependence.quantiles(rows, "value", shares)[1:] == pytest.approx(np.quantile(v, shares[1:]).tolist())
+    assert dependence.quantiles(rows.limit(0), "value", shares) is None
+    coded = dependence.quantile_codes(rows.where("value IS NOT NULL"), 4)
+    assert "percentile" not in coded._jdf.queryExecution().optimizedPlan().toString()  # whose buffer is the whole column, in one task
+    edges = np.quantile(v, [0.25, 0.5, 0.75])
+    assert sorted(r["code"] for r in coded.collect()) == sorted(int((edges <= x).sum()) for x in v)
