@@ -20,8 +20,8 @@ def motif_occurrences(members: DataFrame, size: int, most: int) -> DataFrame:
 
 
 def mined_motifs(occurrences: DataFrame, least: int) -> DataFrame:
-    """motif, support: sets that occur in ``least`` scenes or more."""
-    return occurrences.groupBy("motif").agg(F.countDistinct("scene").alias("support")).where(F.col("support") >= least)
+    """motif, support: sets that occur in ``least`` scenes or more; ``occurrences`` has each set of a scene once, as ``motif_occurrences`` gives them."""
+    return occurrences.where("scene IS NOT NULL").groupBy("motif").agg(F.count("*").alias("support")).where(F.col("support") >= least)
 
 
 def confirmed_motifs(occurrences: DataFrame, scenes: DataFrame, held_out: Column, least: int, most: int) -> DataFrame:
@@ -33,7 +33,7 @@ def confirmed_motifs(occurrences: DataFrame, scenes: DataFrame, held_out: Column
     n = scenes.select("scene").distinct().withColumn("held", held_out).agg(F.count_if(~F.col("held")).alias("n_found"), F.count_if("held").alias("n_held"))
     found = mined_motifs(marked.where("NOT held"), least)
     ranked = found.orderBy(F.desc("support"), "motif").limit(most).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("support"), "motif")))  # ``most`` rows
-    held = marked.where("held").join(F.broadcast(ranked.select("motif")), "motif").groupBy("motif").agg(F.countDistinct("scene").alias("held_support"))
+    held = marked.where("held").join(F.broadcast(ranked.select("motif")), "motif").where("scene IS NOT NULL").groupBy("motif").agg(F.count("*").alias("held_support"))
     out = ranked.join(held, "motif", "left").fillna(0, ["held_support"]).crossJoin(F.broadcast(n))
     share, held_share = F.col("support") / F.col("n_found"), F.col("held_support") / F.col("n_held")
     return out.select("motif", "support", share.alias("share"), "rank", "held_support", held_share.alias("held_share"), (held_share / share).alias("lift"))
