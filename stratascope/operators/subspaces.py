@@ -11,12 +11,14 @@ are thirds of the nuisance at cuts that belong to the generating half. Two to si
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,15 +155,12 @@ def objective(whole: Sums, regions: list[Sums], ridge: float, recipe: Recipe) ->
 
 
 def fitted(matrix: np.ndarray, dimension: int, recipe: Recipe, stream: int) -> np.ndarray:
-    """The best of several starts of block power iteration."""
-    rng, best, most = np.random.default_rng(recipe.seed + stream), None, -math.inf
-    for _ in range(recipe.starts):
-        q = np.linalg.qr(rng.standard_normal((len(matrix), dimension)))[0]
-        for _ in range(recipe.iterations):
-            q = np.linalg.qr(matrix @ q)[0]
-        if (value := float(np.trace(q.T @ matrix @ q))) > most:
-            best, most = q, value
-    return best
+    """The best of several starts of block power iteration, all starts at once."""
+    rng = np.random.default_rng(recipe.seed + stream)
+    q = np.linalg.qr(np.stack([rng.standard_normal((len(matrix), dimension)) for _ in range(recipe.starts)]))[0]
+    for _ in range(recipe.iterations):
+        q = np.linalg.qr(matrix @ q)[0]
+    return q[int(np.argmax(np.einsum("sid,ij,sjd->s", q, matrix, q)))]
 
 
 def projector(basis: np.ndarray) -> np.ndarray:
@@ -186,6 +185,49 @@ def _by_draw(rows: DataFrame, width: int) -> dict[int, list[Sums]]:
     return out
 
 
+def _signed_by_draw(rows: DataFrame, width: int, draws: int, seed: int) -> dict[int, list[Sums]]:
+    """The regions' sums of each draw of ``signed``, without a row for each draw and row.
+
+    A sign turns the target's sum and its products with the features, nothing else. A batch of rows is thus a matrix of signs
+    times a matrix of what they turn; the hashes are the same, their parity is the last bit of the sixth byte.
+    """
+    at = list(combinations_with_replacement(range(width + 1), 2))
+    turned = [k for k, (i, j) in enumerate(at) if j == width and i < width]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, total = [hashlib.md5(f"{seed}:{draw}:".encode()) for draw in range(1, draws + 1)], {}
+        for batch in batches:
+            v, region = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width + 1), batch.column("region").to_numpy(zero_copy_only=False)
+            ids = [x.encode() for x in batch.column("id").to_pylist()]
+            signs = np.empty((draws, len(ids)))
+            for d, head in enumerate(heads):
+                bits = bytearray(len(ids))
+                for k, x in enumerate(ids):
+                    own = head.copy()
+                    own.update(x)
+                    bits[k] = own.digest()[5] & 1
+                signs[d] = 1.0 - 2.0 * np.frombuffer(bits, np.uint8)
+            products = np.stack([v[:, i] * v[:, j] for i, j in at], axis=1)
+            for r in np.unique(region):
+                own = region == r
+                n, sums, both, own_signs = total.get(r, (0, 0.0, 0.0, 0.0))
+                flips = signs[:, own] @ np.column_stack([v[own, width], products[own][:, turned]])
+                total[r] = (n + int(own.sum()), sums + v[own].sum(axis=0), both + products[own].sum(axis=0), own_signs + flips)
+        for r, (n, sums, both, flips) in total.items():
+            s, q = np.repeat(sums[None], draws, 0), np.repeat(both[None], draws, 0)
+            s[:, width], q[:, turned] = flips[:, 0], flips[:, 1:]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, draws + 1), pa.int32()), pa.array(np.full(draws, r), pa.int32()), pa.array(np.full(draws, n), pa.int64()), pa.array(s.tolist(), pa.list_(pa.float64())), pa.array(q.tolist(), pa.list_(pa.float64()))], ["draw", "region", "n", "s", "q"])
+
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // 50_000))  # a draw a row is hashed, whatever size the files have
+    each = rows.repartition(tasks, "id").mapInArrow(add, "draw int, region int, n long, s array<double>, q array<double>")
+    sums = F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width + 1)])
+    products = F.array(*[F.sum(F.get("q", F.lit(k))) for k in range(len(at))])
+    out: dict[int, list[Sums]] = {}
+    for row in each.groupBy("draw", "region").agg(F.sum("n").alias("n"), sums.alias("sums"), products.alias("products")).orderBy("draw", "region").collect():
+        out.setdefault(row["draw"], []).append(Sums.of(row))
+    return out
+
+
 def _whole(parts: list[Sums]) -> Sums:
     return sum(parts[1:], parts[0])
 
@@ -204,7 +246,7 @@ def generated(rows: DataFrame, s: Scores, row_id: Column, recipe: Recipe = Recip
     shaken = _by_draw(perturbed(own, recipe.perturbations, recipe.noise, recipe.seed), width)
     if s.cuts and (len(shaken[0]) < REGIONS or min(r.n for r in shaken[0]) < max(20, 4 * (max(recipe.dimensions) + 1))):
         raise Refused("a region of the nuisance has too few rows")
-    null = _by_draw(signed(own, recipe.draws, recipe.seed), width)
+    null = _signed_by_draw(own, width, recipe.draws, recipe.seed)
     fit = lambda parts, i: fitted(objective(_whole(parts), parts, members[i][1], recipe), members[i][0], recipe, 1009 * i)
     out = []
     for i, (dimension, ridge) in enumerate(members):
@@ -239,7 +281,7 @@ def confirmed(rows: DataFrame, spans: DataFrame, s: Scores, row_id: Column, reci
     least = max(10, 2 * (max(recipe.dimensions) + 1)) if s.cuts else 40
     if len(parts) < (REGIONS if s.cuts else 1) or min(p.n for p in parts) < least:
         raise Refused("a region of the nuisance has too few rows")
-    null = {d: _whole(p) for d, p in _by_draw(signed(own, recipe.draws, recipe.seed + 1), width).items()}
+    null = {d: _whole(p) for d, p in _signed_by_draw(own, width, recipe.draws, recipe.seed + 1).items()}
     out = []
     for f in frozen:
         basis = np.array(f["basis"])

@@ -110,3 +110,11 @@ def test_refusals(spark):
     ):
         with pytest.raises(Refused):
             refused()
+
+def test_signed_sums_need_no_row_a_draw(spark):
+    rows = spark.createDataFrame([(str(i), i % 3, [0.1 * i, -0.2 * i + 3, float(i % 7)]) for i in range(60)], "id string, region int, v array<double>")
+    want, got = sub._by_draw(sub.signed(rows, 9, 5), 2), sub._signed_by_draw(rows, 2, 9, 5)
+    assert want.keys() == got.keys()
+    for draw, parts in want.items():
+        for a, b in zip(parts, got[draw], strict=True):
+            assert a.n == b.n and np.allclose(a.s, b.s) and np.allclose(a.q, b.q)
