@@ -111,3 +111,10 @@ def test_cosines_that_cancel_are_those_of_the_sql(spark):
         want = sorted(db.execute(f"SELECT orderkey, line, part, next_part, converging FROM ({q.queries.sql['feature_relations']})").fetchall())
         got = q.feature_relations(spark, folder).select("orderkey", "line", "part", "next_part", "converging").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_support_keeps_no_scenes(spark):
+    members = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "b"), (3, "a"), (None, "a"), (None, "b")], "scene long, member string")
+    found = discovery.mined_motifs(discovery.motif_occurrences(members, 2, 9), 2)
+    assert [tuple(r) for r in found.collect()] == [("a+b", 2)]
+    assert "distinct" not in found._jdf.queryExecution().analyzed().toString().replace("Distinct", "").lower()
