@@ -5,12 +5,12 @@
    filter make a packed 32-bit integer a frame.
 2. Recordings with equal fingerprints form a class. Runs of RUN integers are hashed, and the least hash of every WINNOW
    neighbouring runs is posted, so that any two recordings with RUN + WINNOW - 1 equal integers in a row post one alike.
-3. A posting first meets the least recording that has its hash, its leader; a hash of n recordings gives n - 1 rows.
-   Their offsets, counted over all hashes of a pair, are the offset histogram, and its mode aligns the pair.
-4. Along that offset the bit errors of the two fingerprints are scored, and the best stretch is the shared passage.
-5. Where the recordings of a hash aren't all in one class by then, because a leader holds too little of the passage, all
-   of its pairs across classes are aligned too. Classes are thus those of all pairs that post a hash alike; the links
-   that are counted and the best one are among the alignments made, with leaders and across classes.
+3. Recordings that hashes tie together, directly or over others, form a part. A part is cut into blocks of recordings, and
+   each pair of blocks is compared within a task: all of its pairs that post a hash alike meet there, at each offset that a
+   common hash gives, so that no pair is written down before it is found to share a passage.
+4. Along an offset the bit errors of the two fingerprints are scored, and the best stretch of all offsets is the shared
+   passage; pairs whose passage is long enough are linked. Links are counted and the best kept for each recording in the
+   task, and a forest of them goes on to the classes, so that what is written grows with the blocks and not with the links.
 
 Cases: null or empty samples, and those too short for one fingerprint, have none and are linked with nothing; equal
 recordings share a class; repeated rows are separate rows; very long recordings are cut into blocks of windows, so that
@@ -22,10 +22,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,12 @@ from .tokens import each
 RUN, WINNOW, LEAST_FRAMES, MOST_ERROR = 4, 4, 12, 0.2
 #: Samples that a task turns into frames at once, unless one recording has more.
 BLOCK_SAMPLES = 400_000
+#: Recordings and bytes of fingerprints of a block that meets others, about, unless one recording has more.
+BLOCK_RECORDINGS, BLOCK_BYTES = 1024, 8_000_000
+#: Fingerprints that are compared at once, about.
+AT_ONCE = 2_000_000
+#: What a frame adds to a stretch and each of its bit errors takes off, in whole numbers: a stretch grows at error rates below MOST_ERROR.
+GAIN, LOSS = 32 * Fraction(MOST_ERROR).limit_denominator(1000).numerator, Fraction(MOST_ERROR).limit_denominator(1000).denominator
 
 
 @dataclass(frozen=True)
@@ -143,14 +151,89 @@ def shared_passage(x: np.ndarray, y: np.ndarray, offset: int) -> tuple[int, int,
     a, b = max(0, offset), min(len(x), len(y) + offset)
     if b <= a:
         return 0, 0, 1.0
-    errors = np.bitwise_count(x[a:b] ^ y[a - offset : b - offset]).astype(np.float64)
-    total = np.concatenate(([0.0], np.cumsum(32 * MOST_ERROR - errors)))
+    errors = np.bitwise_count(x[a:b] ^ y[a - offset : b - offset]).astype(np.int64)
+    total = np.concatenate(([0], np.cumsum(GAIN - LOSS * errors)))
     low = np.minimum.accumulate(total)
     end = int(np.argmax(total - low))
     start = int(np.argmin(total[: end + 1]))
     return a + start, end - start, float(errors[start:end].sum() / (32 * max(1, end - start)))
 
 
+class _Block:
+    """Recordings of a block: their nodes, prints one after the other, and postings by key."""
+
+    def __init__(self, own: pa.StructArray):
+        self.node = own.field("node")
+        prints = [np.frombuffer(p.as_py(), np.uint32) for p in own.field("prints")]
+        self.size = np.array([len(p) for p in prints], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate(prints)
+        posted = [_postings(p) for p in prints]
+        self.row = np.repeat(np.arange(len(prints)), [len(k) for k, _ in posted])  # by recording
+        self.key, self.at = (np.concatenate([p[i] for p in posted]) for i in (0, 1))
+        self.by_key = np.argsort(self.key, kind="stable")
+        self.keys = self.key[self.by_key]
+
+
+def _stretches(x: _Block, y: _Block, i: np.ndarray, j: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``shared_passage`` of recordings i of x and j of y at these offsets: starts, lengths and bit errors (whole numbers)."""
+    a = np.maximum(0, offset)
+    n = np.minimum(x.size[i], y.size[j] + offset) - a
+    first = np.cumsum(n + 1) - (n + 1)  # a stretch of none stands first
+    of = np.repeat(np.arange(len(i)), n + 1)
+    at = np.arange(len(of)) - first[of]
+    frame = np.maximum(at - 1, 0) + a[of]
+    errors = np.bitwise_count(x.flat[x.start[i][of] + frame] ^ y.flat[y.start[j][of] + frame - offset[of]]).astype(np.int64)
+    total = np.cumsum(np.where(at > 0, GAIN - LOSS * errors, 0))
+    total -= total[first][of]
+    apart = of * (2 * LOSS * 32 * (int(n.max()) + 1))  # so that the running minimum starts anew
+    low = np.minimum.accumulate(total - apart) + apart
+    rise, none = total - low, len(of)
+    end = np.minimum.reduceat(np.where(rise == np.maximum.reduceat(rise, first)[of], at, none), first)
+    begin = np.minimum.reduceat(np.where(total == low[first + end][of], at, none), first)
+    frames = end - begin
+    return a + begin, frames, (GAIN * frames - (total[first + end] - total[first + begin])) // LOSS
+
+
+def _links(x: _Block, y: _Block, least_frames: int) -> tuple[np.ndarray, ...]:
+    """i, j, offset, start, frames, errors of the pairs of recordings of x and y (i > j in one block) that share a passage: y, moved, agrees with x."""
+    out = [np.empty((6, 0), np.int64)]
+    low, high = np.searchsorted(y.keys, x.key, "left"), np.searchsorted(y.keys, x.key, "right")
+    met, begin = np.cumsum(high - low), 0
+    ends = np.searchsorted(x.row, np.arange(len(x.size)), "right")  # postings up to each recording's last
+    while begin < len(met):
+        before = met[begin] - (high - low)[begin]
+        end = int(ends[x.row[max(begin, int(np.searchsorted(met, before + AT_ONCE, "right")) - 1)]])  # whole recordings
+        n = (high - low)[begin:end]
+        own = np.repeat(np.arange(begin, end), n)
+        other = y.by_key[low[own] + np.arange(len(own)) - (np.cumsum(n) - n)[own - begin]]
+        i, j, offset = x.row[own], y.row[other], x.at[own] - y.at[other]
+        begin = end
+        if x is y:
+            i, j, offset = i[i > j], j[i > j], offset[i > j]
+        if not len(i):
+            continue
+        (pair, offset), hits = _counted(i * len(y.size) + j, offset)
+        i, j = pair // len(y.size), pair % len(y.size)
+        room = np.cumsum(np.minimum(x.size[i], y.size[j]))
+        cuts = [0, *(np.flatnonzero(np.diff(room // AT_ONCE)) + 1).tolist(), len(i)]
+        found = [_stretches(x, y, i[p:q], j[p:q], offset[p:q]) for p, q in zip(cuts, cuts[1:]) if q > p]
+        start, frames, errors = (np.concatenate(c) for c in zip(*found))
+        best = np.lexsort((offset, np.abs(offset), -hits, errors, -frames, pair))
+        best = best[np.concatenate(([True], np.diff(pair[best]) != 0))]
+        best = best[frames[best] >= least_frames]
+        out.append(np.stack([v[best] for v in (i, j, offset, start, frames, errors)]))
+    return tuple(np.concatenate(out, axis=1))
+
+
+def _counted(pair: np.ndarray, offset: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The distinct pairs of values, in order, and how often each occurs."""
+    order = np.lexsort((offset, pair))
+    pair, offset = pair[order], offset[order]
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(pair) != 0) | (np.diff(offset) != 0))))
+    return (pair[first], offset[first]), np.diff(np.append(first, len(pair)))
+
+
 def fingerprints(recordings: DataFrame, samples: Callable[[object], np.ndarray], column: str, chroma: Chroma) -> DataFrame:
     """``recordings`` without ``column``, with n_frames and prints (packed 32-bit integers) instead.
 
@@ -178,68 +261,118 @@ def fingerprints(recordings: DataFrame, samples: Callable[[object], np.ndarray],
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "n_frames", "prints")
 
 
-def aligned(prints: DataFrame, least_frames: int = LEAST_FRAMES) -> DataFrame:
-    """node, other, offset, start, frames, bit_error: alignments between classes (columns node, prints)."""
+def _blocks(prints: DataFrame) -> DataFrame:
+    """a, b: pairs of blocks (lists of node and prints) of each part of the recordings (node, prints); b is null where a meets itself."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, places, rows = [], [], []
-            for i, p in enumerate(batch.column("prints")):
-                k, at = _postings(np.frombuffer(p.as_py(), np.uint32))
-                keys.append(k)
-                places.append(at)
-                rows.append(np.full(len(k), i))
-            cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.empty(0, t)
-            yield pa.RecordBatch.from_arrays([pa.array(cat(keys, np.uint64).view(np.int64)), batch.column("node").take(pa.array(cat(rows, np.int64))), pa.array(cat(places, np.int64))], ["key", "node", "at"])
+            keys = [_postings(np.frombuffer(p.as_py(), np.uint32))[0] for p in batch.column("prints")]
+            rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)), batch.column("node").take(pa.array(rows.astype(np.int64)))], ["key", "node"])
 
     kind = prints.schema["node"].dataType.simpleString()
-    posted = written(prints.select("node", "prints").mapInArrow(tidy(post), f"key long, node {kind}, at long"), "postings")
-    leaders = written(posted.groupBy("key").agg(F.min(F.struct("node", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.node").alias("other"), F.col("first.at").alias("there")), "leaders")
-    out = _compared(posted.join(leaders, "key").where("node <> other").select("node", "other", "at", "there"), prints, least_frames)
-    label = components(out.select(F.col("node").alias("a"), F.col("other").alias("b"))).select("node", F.col("component").alias("label"))
-    labelled = written(posted.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    apart = written(labelled.join(open_, "key"), "apart")
-    x, y = apart.select("key", "node", "at", "label"), apart.select(F.col("key").alias("key_y"), F.col("node").alias("other"), F.col("at").alias("there"), F.col("label").alias("label_y"))
-    met = x.join(y, F.expr("key = key_y AND label <> label_y AND other < node")).select("node", "other", "at", "there")
-    more = _compared(met, prints, least_frames)
-    both = written(out.unionByName(more), "alignments")
-    drop_written(posted, leaders, labelled, apart, out, more)
-    return both
-
-
-def _compared(met: DataFrame, prints: DataFrame, least_frames: int) -> DataFrame:
-    """Alignments of pairs of classes that met (node, other, at, there), each at its most frequent offset."""
+    posted = written(prints.select("node", "prints").mapInArrow(tidy(post), f"key long, node {kind}"), "postings")
+    # A recording posts a key once; keys of one recording alone tie nothing and go before anything is joined.
+    leaders = posted.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    part = components(posted.join(leaders, "key").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    drop_written(posted)
+    tied = written(prints.select("node", "prints").join(part, "node"), "tied")
+    cut = F.ceil(F.greatest(F.count("*") / BLOCK_RECORDINGS, F.sum(F.length("prints")) / BLOCK_BYTES))
+    sizes = tied.groupBy("component").agg(cut.alias("of"))
+    block = F.pmod(F.xxhash64("node"), F.col("of")).alias("block")
+    lists = written(tied.join(sizes, "component").groupBy("component", "of", block).agg(F.collect_list(F.struct("node", "prints")).alias("a")), "blocks")
+    alone = lists.select("a", F.lit(None).cast(lists.schema["a"].dataType).alias("b"))
+    cut_up = lists.where("of > 1")
+    later = cut_up.select("component", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("with"), "block").where(F.col("with") > F.col("block")).drop("block")
+    across = later.join(cut_up.select("component", F.col("block").alias("with"), F.col("a").alias("b")), ["component", "with"]).select("a", "b")
+    return keeps(alone.unionByName(across), tied, lists)
+
+
+def _met(batches: Iterator[pa.RecordBatch], least_frames: int) -> Iterator[tuple[_Block, _Block, tuple[np.ndarray, ...]]]:
+    """The blocks of each row and their links."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            x = _Block(batch.column("a")[r].values)
+            y = _Block(batch.column("b")[r].values) if batch.column("b")[r].is_valid else x
+            links = _links(x, y, least_frames)
+            if len(links[0]):
+                yield x, y, links
+
+
+def aligned(prints: DataFrame, least_frames: int = LEAST_FRAMES) -> DataFrame:
+    """node, other, offset, start, frames, bit_error: each two recordings (columns node, prints) that post a hash alike and share a passage, once.
+
+    ``recording_classes`` counts these without writing them down: copies in many versions make as many rows here as they make pairs.
+    """
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, y, (i, j, offset, start, frames, errors) in _met(batches, least_frames):
+            a, b = x.node.take(pa.array(i)), y.node.take(pa.array(j))
+            yield pa.RecordBatch.from_arrays([a, b, *map(pa.array, (offset, start, frames, errors / (32 * frames)))], ["a", "b", "offset", "start", "frames", "bit_error"])
+
     kind = prints.schema["node"].dataType.simpleString()
-    counted = met.groupBy("node", "other", (F.col("there") - F.col("at")).alias("offset")).agg(F.count("*").alias("hits"))
-    best = counted.groupBy("node", "other").agg(F.max_by("offset", F.struct("hits", -F.abs("offset"), "offset")).alias("offset"))
-    own = prints.select("node", F.col("prints").alias("y"))
-    pairs = best.join(own, "node").join(prints.select(F.col("node").alias("other"), F.col("prints").alias("x")), "other")
+    blocks = _blocks(prints)
+    met = blocks.mapInArrow(tidy(pairs), f"a {kind}, b {kind}, offset long, start long, frames long, bit_error double")
+    turned = F.col("a") > F.col("b")  # then the later one is the node and the earlier one stands still
+    out = met.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other"), F.when(turned, -F.col("offset")).otherwise(F.col("offset")).alias("offset"), F.when(turned, F.col("start") - F.col("offset")).otherwise(F.col("start")).alias("start"), "frames", "bit_error")
+    out = written(out, "alignments")
+    drop_written(blocks)
+    return out
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared_passage(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), o) for x, y, o in zip(batch.column("x"), batch.column("y"), batch.column("offset").to_pylist())]
-            cols = list(zip(*found)) if found else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("other"), batch.column("offset"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["node", "other", "offset", "start", "frames", "bit_error"])
 
-    out = pairs.select("node", "other", "offset", "x", "y").mapInArrow(tidy(compare), f"node {kind}, other {kind}, offset long, start long, frames long, bit_error double")
-    return written(out.where(F.col("frames") >= least_frames), "alignments")
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n things the least that the links lead to."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _summed(prints: DataFrame, least_frames: int) -> DataFrame:
+    """node, root, n, best of each pair of blocks: how many links a recording has in it, the best of them, and a recording that links lead to."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, y, (i, j, offset, start, frames, errors) in _met(batches, least_frames):
+            nodes = x.node if x is y else pa.concat_arrays([x.node, y.node])
+            k = j if x is y else j + len(x.size)
+            root = _roots(i, k, len(nodes))
+            # Each link from both ends: a recording, moved by the offset, agrees with the other one from its frame ``start`` on.
+            own, other = np.concatenate([i, k]), np.concatenate([k, i])
+            moved, begin = np.concatenate([-offset, offset]), np.concatenate([start - offset, start])
+            frames, errors = np.tile(frames, 2), np.tile(errors, 2)
+            name = np.empty(len(nodes), np.int64)
+            name[pa.compute.sort_indices(nodes).to_numpy()] = np.arange(len(nodes))
+            order = np.lexsort((name[other], -errors / frames, frames, own))
+            last = np.flatnonzero(np.append(np.diff(own[order]) != 0, True))
+            best, n = order[last], np.diff(last, prepend=-1)
+            kept = [nodes.take(pa.array(other[best])), *map(pa.array, (moved[best], begin[best], frames[best], errors[best] / (32 * frames[best])))]
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(own[best])), nodes.take(pa.array(root[own[best]])), pa.array(n.astype(np.int64)), pa.StructArray.from_arrays(kept, ["other", "offset", "start", "frames", "bit_error"])], ["node", "root", "n", "best"])
+
+    kind = prints.schema["node"].dataType.simpleString()
+    blocks = _blocks(prints)
+    out = written(blocks.mapInArrow(tidy(sums), f"node {kind}, root {kind}, n long, best struct<other: {kind}, offset: long, start: long, frames: long, bit_error: double>"), "alignments")
+    drop_written(blocks)
+    return out
 
 
 def recording_classes(prints: DataFrame, least_frames: int = LEAST_FRAMES) -> DataFrame:
     """``prints`` (with n_frames and prints) with node, class, n_links and the best alignment (other, offset, start, frames, bit_error).
 
-    ``n_links`` counts the alignments made: with leaders, and across classes that leaders left apart.
+    ``n_links`` counts the other fingerprints that post a hash alike and share a passage; copies of one fingerprint count once.
 
     ``node`` is the SHA-256 of the fingerprint; ``class`` the least node that alignments lead to, null without one.
     """
     own = [c for c in prints.columns if c not in ("node", "class", "n_links", "other", "offset", "start", "frames", "bit_error")]
     whole = written(prints.select(*[F.col(f"`{c}`") for c in own]).withColumn("node", F.when(F.col("n_frames") > 0, F.sha2("prints", 256))), "fingerprints")
     nodes = written(whole.where("node IS NOT NULL").groupBy("node").agg(F.first("prints").alias("prints")), "recordings")
-    links = aligned(nodes, least_frames)
-    both = links.select("node", "other", "offset", "start", "frames", "bit_error").unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other"), (-F.col("offset")).alias("offset"), (F.col("start") - F.col("offset")).alias("start"), "frames", "bit_error"))
-    best = both.groupBy("node").agg(F.count("*").alias("n_links"), F.max_by(F.struct("other", "offset", "start", "frames", "bit_error"), F.struct("frames", -F.col("bit_error"), "other")).alias("best"))
-    labels = components(links.select(F.col("node").alias("a"), F.col("other").alias("b"))).select("node", F.col("component").alias("class"))
+    links = _summed(nodes, least_frames)
+    best = links.groupBy("node").agg(F.sum("n").alias("n_links"), F.max_by("best", F.struct("best.frames", -F.col("best.bit_error"), "best.other")).alias("best"))
+    labels = components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", F.col("component").alias("class"))
     of_node = written(nodes.select("node").join(labels, "node", "left").join(best, "node", "left").select("node", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "best.*"), "recording-classes")
     drop_written(nodes, links)
     return keeps(whole.drop("prints").join(of_node, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")), whole, of_node)

@@ -261,6 +261,40 @@ def test_audio_passage_behind_short_leaders(spark):
     assert any((r["node"], r["other"], r["offset"]) == ("b1", "b0", -1) and r["frames"] >= 40 for r in links)
 
 
+def test_audio_links_of_all_pairs(spark, monkeypatch):
+    """Links and the best one are those of all pairs that post a hash alike at any of their common offsets, whatever the blocks."""
+    rng = np.random.default_rng(17)
+    new = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    passage, rows = new(60), {}
+    for i in range(50):
+        p = passage[rng.integers(30) :][: rng.integers(6, 40)].copy()
+        p[rng.random(len(p)) < 0.15] ^= np.uint32(1 << 9)
+        rows[f"r{i:02}"] = np.concatenate([new(rng.integers(1, 12)), p, new(rng.integers(1, 12)), passage[:8] if i % 5 == 0 else new(2)])
+    want = {}
+    posted = {k: dict(zip(*map(np.ndarray.tolist, audio._postings(p)))) for k, p in rows.items()}
+    for a in rows:
+        for b in rows:
+            offsets = {posted[b][h] - posted[a][h] for h in posted[a].keys() & posted[b].keys()} if a > b else ()
+            found = max((audio.shared_passage(rows[b], rows[a], o) for o in offsets), key=lambda f: (f[1], -f[2]), default=(0, 0, 1.0))
+            if found[1] >= audio.LEAST_FRAMES:
+                want[a, b] = found
+    assert len(want) > 300
+    prints = spark.createDataFrame([(k, bytearray(p.tobytes())) for k, p in rows.items()], "node string, prints binary")
+    whole = spark.createDataFrame([(k, len(p), bytearray(p.tobytes())) for k, p in [*rows.items(), ("copy", rows["r00"])]], "id string, n_frames long, prints binary")
+    for block in (1024, 7):
+        monkeypatch.setattr(audio, "BLOCK_RECORDINGS", block)
+        got = {(r["node"], r["other"]): (r["start"], r["frames"], r["bit_error"]) for r in audio.aligned(prints).collect()}
+        assert got == want
+        for r in audio.recording_classes(whole).collect():
+            own = "r00" if r["id"] == "copy" else r["id"]
+            mine = [f for k, f in want.items() if own in k]
+            assert r["n_links"] == len(mine) and r["frames"] == max((f[1] for f in mine), default=None)
+            assert r["bit_error"] == min((f[2] for f in mine if f[1] == r["frames"]), default=None)
+            if mine:
+                other = next(p for p in rows.values() if hashlib.sha256(p.tobytes()).hexdigest() == r["other"])
+                assert audio.shared_passage(other, rows[own], r["offset"]) == (r["start"], r["frames"], r["bit_error"])
+
+
 def test_integral_image_against_sums():
     image = np.random.default_rng(1).uniform(size=(20, 12))
     one, other = audio.box_filters(8)[3]
