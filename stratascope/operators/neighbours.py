@@ -3,48 +3,131 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stratascope.folders import stored
 from stratascope.functions.geometry import great_circle_km
 
 
-def similarities(points: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, block: int = 1024) -> DataFrame:
-    """id, other, similarity: each query's k nearest points by cosine, ties to the smaller id.
-
-    Points and queries meet in blocks: each block of queries visits each block of points once, as matrices, and sends on k
-    rows a query. Queries and points are numbered by a hash of their id. Both sides number blocks in one type: a cogroup
-    hashes its keys as they are, and an int and a long of one value go to different tasks.
+def _packed(vectors: DataFrame, block: int, *ids: str) -> DataFrame:
+    """size, v and the ids, as bytes: rows of (ids, v) in blocks of ``block`` at most, a block a row."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, block):
+                own = batch.slice(low, block)
+                flat = own.column("v").flatten()
+                if own.column("v").null_count or flat.null_count:
+                    raise ValueError("a vector is missing or lacks a component")
+                parts = [own.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False).tobytes() for c in ids]
+                parts.append(flat.to_numpy(zero_copy_only=False).astype(np.float64).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([own.num_rows]), *[pa.array([x], pa.binary()) for x in parts]], ["size", *ids, "v"])
+
+    return vectors.select(*ids, "v").mapInArrow(pack, f"size long, {', '.join(f'{c} binary' for c in ids)}, v binary")
+
+
+class _Unit:
+    """A block of vectors: as they are, and of length one in single precision; those without a length are marked."""
+
+    def __init__(self, size: int, v: bytes):
+        self.v = np.frombuffer(v).reshape(size, -1)
+        length = np.linalg.norm(self.v, axis=1)
+        self.odd = ~(np.isfinite(length) & (length > 0))
+        self.unit = np.divide(self.v, length[:, None], out=np.zeros_like(self.v), where=~self.odd[:, None]).astype(np.float32)
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows to nine digits, summed component by component, as the SQL sums them; NaN where a length is zero."""
+    dot, left, right = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+    for i in range(a.shape[1]):
+        x, y = a[:, i], b[:, i]
+        dot, left, right = dot + x * y, left + x * x, right + y * y
+    with np.errstate(invalid="ignore", divide="ignore"):
+        s = np.clip(dot / np.sqrt(left * right), -1.0, 1.0) * 1e9
+        whole = np.trunc(s)
+        return (whole + np.sign(s) * (np.abs(s - whole) >= 0.5)) / 1e9
+
+
+def _first(row: np.ndarray, other: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's k first by falling s and rising other; NaN is above all, as in an ORDER BY."""
+    order = np.lexsort((other, -np.where(np.isnan(s), np.inf, s), row))
+    row, other, s = row[order], other[order], s[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], other[place < k], s[place < k]
+
+
+def _nearest(k: int, at_once: int = 1 << 21):
+    """rep, other, similarity: each query's k nearest of the points that meet it here."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = asks = reps = None
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(reps[best[0]]), pa.array(best[1]), pa.array(best[2])], ["rep", "other", "similarity"])
+
+        for batch in batches:
+            for q_size, q_rep, q_v, size, ids, v in zip(*[batch.column(c) for c in ("q_size", "q_rep", "q_v", "size", "id", "v")]):
+                if own != q_rep.as_py():
+                    if own is not None:
+                        yield found()
+                    own, asks = q_rep.as_py(), _Unit(q_size.as_py(), q_v.as_py())
+                    reps, best = np.frombuffer(own, np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                points, other = _Unit(size.as_py(), v.as_py()), np.frombuffer(ids.as_py(), np.int64)
+                slack = np.float32((asks.v.shape[1] + 16) * 2.0**-22)  # beyond what single precision can be off
+                step = max(1, at_once // len(other))
+                for low in range(0, len(reps), step):
+                    high = min(low + step, len(reps))
+                    s = asks.unit[low:high] @ points.unit.T
+                    s[asks.odd[low:high]], s[:, points.odd] = np.inf, np.inf
+                    last = np.full(high - low, -np.inf, np.float32)
+                    a, b = np.searchsorted(best[0], [low, high])
+                    held = np.bincount(best[0][a:b] - low, minlength=high - low)
+                    full = np.flatnonzero(held == k)
+                    if len(full):
+                        kth = best[2][a:b][np.cumsum(held)[full] - 1]
+                        last[full] = np.where(np.isnan(kth), np.inf, kth)
+                    if (held < k).any() and len(other) > k:  # nothing to go by yet
+                        last = np.maximum(last, np.partition(s, len(other) - k, axis=1)[:, len(other) - k])
+                    p, q = np.nonzero(s >= (last - slack)[:, None])
+                    for begin in range(0, len(p), at_once):  # where nearly all are alike, a part at a time
+                        pp, qq = p[begin : begin + at_once], q[begin : begin + at_once]
+                        a, b = np.searchsorted(best[0], [low, high])
+                        new = (pp + low, other[qq], _cosines(asks.v[pp + low], points.v[qq]))
+                        kept = _first(*[np.concatenate([x[a:b], y]) for x, y in zip(best, new)], k)
+                        best = tuple(np.concatenate([x[:a], y, x[b:]]) for x, y in zip(best, kept))
+        if own is not None:
+            yield found()
+
+    return search
+
+
+def similarities(points: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+    """id, other, similarity, rank: each query's k nearest points by cosine, ties to the smaller id.
+
+    Every query meets every point, in blocks as matrices, that are read where they are compared and not shuffled; a task
+    holds k + 1 rows a query and two blocks. A product in single precision tells which pairs can be among the nearest; these
+    are compared as they are. Of points that have one vector only the first k + 1 ids can be among the nearest, and queries
+    that have one vector ask once.
     """
-    n, m = points.count(), queries.count()
-    parts, asks = max(1, -(-n // block)), max(1, -(-m // block))
-    p = points.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("long").alias("part")).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asks - 1).cast("long"))))
-    q = queries.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(asks)).cast("long").alias("ask")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-
-    def unit(v: pd.Series) -> np.ndarray:
-        a = np.stack(v.to_numpy()).astype(np.float64)
-        size = np.linalg.norm(a, axis=1, keepdims=True)
-        return np.divide(a, size, out=np.zeros_like(a), where=size > 0)
-
-    def best(ask: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(ask) or not len(own):
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        s = np.round(unit(ask["v"]) @ unit(own["v"]).T, 9)
-        a, b = ask["id"].to_numpy(), own["id"].to_numpy()
-        order = np.argsort(b)
-        s, b = s[:, order], b[order]
-        s[a[:, None] == b[None, :]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"id": np.repeat(a, top.shape[1]), "other": b[top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()})
-        return out[np.isfinite(out["similarity"])]
-
-    near = q.groupBy("part", "ask").cogroup(p.groupBy("part", "ask")).applyInPandas(best, "id long, other long, similarity double")
-    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    alike = Window.partitionBy("v")
+    p = points.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).withColumn("_i", F.row_number().over(alike.orderBy("id"))).where(F.col("_i") <= k + 1)
+    q = stored(queries.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).withColumn("rep", F.min("id").over(alike)), "asking")
+    files = max(1, -(-points.count() // (8 * block)))
+    p = stored(_packed(p.repartition(files, "id"), block, "id"), "points")
+    tasks = max(points.sparkSession.sparkContext.defaultParallelism, files)
+    one = stored(_packed(q.where("id = rep").repartition(tasks, "rep"), block, "rep"), "queries")
+    met = one.select(*[F.col(c).alias(f"q_{c}") for c in one.columns]).hint("shuffle_replicate_nl").crossJoin(p)
+    near = met.mapInArrow(_nearest(k + 1), "rep long, other long, similarity double")
+    at = lambda key: Window.partitionBy(key).orderBy(F.desc("similarity"), "other")
+    near = near.withColumn("_i", F.row_number().over(at("rep"))).where(F.col("_i") <= k + 1).drop("_i")
+    return q.select("id", "rep").join(near, "rep").where("id <> other").drop("rep").withColumn("rank", F.row_number().over(at("id"))).where(F.col("rank") <= k)
 
 
 def mutual_alignment(left: DataFrame, right: DataFrame, k: int) -> DataFrame:

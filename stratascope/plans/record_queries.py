@@ -11,16 +11,16 @@ from stratascope.plans.registry import Registry, rounded, sql_round
 queries = Registry()
 K = 5
 
-# Neighbours: every hundredth vector asks, all vectors answer.
+# Neighbours: all vectors ask, and all answer.
 UNIT_SQL = """v AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS a, [x::DOUBLE FOR x IN embedding[1:32]] AS b FROM embeddings),
-q AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+q AS (SELECT * FROM v),
 sim AS (SELECT q.vec_id AS id, v.vec_id AS other, round(list_cosine_similarity(q.a, v.a), 9) AS s, round(list_cosine_similarity(q.b, v.b), 9) AS t FROM q JOIN v ON q.vec_id <> v.vec_id),
 near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS i, row_number() OVER (PARTITION BY id ORDER BY t DESC, other) AS j FROM sim)"""
 
 
 def _near(spark, d, dims=64):
     v = r.read(spark, d, "embeddings").withColumn("v", F.slice("embedding", 1, dims))
-    return neighbours.similarities(v, v.where("vec_id % 100 = 0"), "vec_id", "v", K)
+    return neighbours.similarities(v, v, "vec_id", "v", K)
 
 
 @queries.add("nearest_by_cosine", f"WITH {UNIT_SQL} SELECT id, other, {sql_round('s', 'similarity')}, i::INT AS rank FROM near WHERE i <= {K}")
