@@ -11,7 +11,6 @@ are thirds of the nuisance at cuts that belong to the generating half. Two to si
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -23,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratascope.errors import Refused
+from stratascope.operators.hashes import digests, numbers
 from stratascope.operators.nulls import drawn
 from stratascope.operators.testing import adjust, check_power, required_surrogates
 
@@ -185,6 +185,56 @@ def _by_draw(rows: DataFrame, width: int) -> dict[int, list[Sums]]:
     return out
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows in tasks of a size: each is hashed for all draws, whatever size the files have."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // 50_000))
+    return rows.repartition(tasks, "id")
+
+
+def _perturbed_by_draw(rows: DataFrame, width: int, draws: int, noise: float, seed: int) -> dict[int, list[Sums]]:
+    """The regions' sums of each draw of ``perturbed``, without a row for each draw and row: the same hashes, as arrays."""
+    at = list(combinations_with_replacement(range(width + 1), 2))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, total = [f"{seed}:{draw}:" for draw in range(1, draws + 1)], {}
+        for batch in batches:
+            v, region = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width + 1), batch.column("region").to_numpy(zero_copy_only=False)
+            unit = lambda i, which: [(numbers(w) + 1) / float((1 << 48) + 1) for w in digests(heads, batch.column("id"), f":{i}:{which}")]  # noqa: B023, E731
+            shaken = [v, *[v.copy() for _ in heads]]
+            for i in range(width + 1):
+                for draw, (r, t) in enumerate(zip(unit(i, "r"), unit(i, "t")), 1):
+                    shaken[draw][:, i] += noise * (np.sqrt(-2 * np.log(r)) * np.cos(2 * math.pi * t))
+            for region_ in np.unique(region):
+                own = region == region_
+                for draw, w in enumerate(shaken):
+                    n, sums, products = total.get((draw, region_), (0, 0.0, 0.0))
+                    total[draw, region_] = (n + int(own.sum()), sums + w[own].sum(axis=0), products + w[own].T @ w[own])
+        if total:
+            yield _as_batch([(draw, r, n, s, [q[i, j] for i, j in at]) for (draw, r), (n, s, q) in total.items()])
+
+    return _summed(_dealt(rows).mapInArrow(add, PARTS), width)
+
+
+#: A task's sums: counts, sums and products by draw and region.
+PARTS = "draw int, region int, n long, s array<double>, q array<double>"
+
+
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    draw, region, n, s, q = zip(*rows)
+    doubles = lambda x: pa.array([list(map(float, r)) for r in x], pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(draw, pa.int32()), pa.array(region, pa.int32()), pa.array(n, pa.int64()), doubles(s), doubles(q)], ["draw", "region", "n", "s", "q"])
+
+
+def _summed(each: DataFrame, width: int) -> dict[int, list[Sums]]:
+    """The regions' sums of each draw: as many rows as there are draws and regions."""
+    sums = F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width + 1)])
+    products = F.array(*[F.sum(F.get("q", F.lit(k))) for k in range((width + 1) * (width + 2) // 2)])
+    out: dict[int, list[Sums]] = {}
+    for row in each.groupBy("draw", "region").agg(F.sum("n").alias("n"), sums.alias("sums"), products.alias("products")).orderBy("draw", "region").collect():
+        out.setdefault(row["draw"], []).append(Sums.of(row))
+    return out
+
+
 def _signed_by_draw(rows: DataFrame, width: int, draws: int, seed: int) -> dict[int, list[Sums]]:
     """The regions' sums of each draw of ``signed``, without a row for each draw and row.
 
@@ -195,18 +245,12 @@ def _signed_by_draw(rows: DataFrame, width: int, draws: int, seed: int) -> dict[
     turned = [k for k, (i, j) in enumerate(at) if j == width and i < width]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, total = [hashlib.md5(f"{seed}:{draw}:".encode()) for draw in range(1, draws + 1)], {}
+        heads, total = [f"{seed}:{draw}:" for draw in range(1, draws + 1)], {}
         for batch in batches:
             v, region = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width + 1), batch.column("region").to_numpy(zero_copy_only=False)
-            ids = [x.encode() for x in batch.column("id").to_pylist()]
-            signs = np.empty((draws, len(ids)))
-            for d, head in enumerate(heads):
-                bits = bytearray(len(ids))
-                for k, x in enumerate(ids):
-                    own = head.copy()
-                    own.update(x)
-                    bits[k] = own.digest()[5] & 1
-                signs[d] = 1.0 - 2.0 * np.frombuffer(bits, np.uint8)
+            signs = np.empty((draws, len(v)))
+            for d, (_, word) in enumerate(digests(heads, batch.column("id"))):
+                signs[d] = 1.0 - 2.0 * (word >> 8 & 1)
             products = np.stack([v[:, i] * v[:, j] for i, j in at], axis=1)
             for r in np.unique(region):
                 own = region == r
@@ -216,16 +260,9 @@ def _signed_by_draw(rows: DataFrame, width: int, draws: int, seed: int) -> dict[
         for r, (n, sums, both, flips) in total.items():
             s, q = np.repeat(sums[None], draws, 0), np.repeat(both[None], draws, 0)
             s[:, width], q[:, turned] = flips[:, 0], flips[:, 1:]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, draws + 1), pa.int32()), pa.array(np.full(draws, r), pa.int32()), pa.array(np.full(draws, n), pa.int64()), pa.array(s.tolist(), pa.list_(pa.float64())), pa.array(q.tolist(), pa.list_(pa.float64()))], ["draw", "region", "n", "s", "q"])
+            yield _as_batch([(draw + 1, r, n, s[draw], q[draw]) for draw in range(draws)])
 
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // 50_000))  # a draw a row is hashed, whatever size the files have
-    each = rows.repartition(tasks, "id").mapInArrow(add, "draw int, region int, n long, s array<double>, q array<double>")
-    sums = F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width + 1)])
-    products = F.array(*[F.sum(F.get("q", F.lit(k))) for k in range(len(at))])
-    out: dict[int, list[Sums]] = {}
-    for row in each.groupBy("draw", "region").agg(F.sum("n").alias("n"), sums.alias("sums"), products.alias("products")).orderBy("draw", "region").collect():
-        out.setdefault(row["draw"], []).append(Sums.of(row))
-    return out
+    return _summed(_dealt(rows).mapInArrow(add, PARTS), width)
 
 
 def _whole(parts: list[Sums]) -> Sums:
@@ -243,7 +280,7 @@ def generated(rows: DataFrame, s: Scores, row_id: Column, recipe: Recipe = Recip
     if not check_power(recipe.draws, len(members), recipe.alpha, recipe.method):
         raise Refused(f"{recipe.draws} draws can't reject one of {len(members)}: {required_surrogates(len(members), recipe.alpha, recipe.method)} are needed")
     own = scored(rows, s, row_id)
-    shaken = _by_draw(perturbed(own, recipe.perturbations, recipe.noise, recipe.seed), width)
+    shaken = _perturbed_by_draw(own, width, recipe.perturbations, recipe.noise, recipe.seed)
     if s.cuts and (len(shaken[0]) < REGIONS or min(r.n for r in shaken[0]) < max(20, 4 * (max(recipe.dimensions) + 1))):
         raise Refused("a region of the nuisance has too few rows")
     null = _signed_by_draw(own, width, recipe.draws, recipe.seed)
